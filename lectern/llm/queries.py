@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_counts
-from .common import fresh_path, table
+from . import packing, quality, simhash, token_counts, toxicity
+from .common import fold_of, fresh_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -19,6 +19,23 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _judged(rows: DataFrame, cut: float) -> DataFrame:
+    return rows.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(toxicity.score_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.5)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(quality.score_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.3)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -31,6 +48,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": op1_simhash,
+        "op2_toxicity": op2_toxicity,
+        "op8_quality": op8_quality,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op10_token_counts": op10_token_counts,
     }
