@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, token_counts, toxicity
+from . import decontamination, licenses, packing, quality, secrets, simhash, token_counts, toxicity
 from .common import fold_of, fresh_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -32,6 +32,21 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.5)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = {f"n_{kind}": F.size(F.filter("base", lambda x, n=n: x["rank"] == n)).cast("long") for n, kind in enumerate(secrets.KINDS[:3])}
+    return rows.select("doc_id", *[c.alias(n) for n, c in counts.items()], F.sha2(secrets.told(F.col("base")), 256).alias("base_sha256"), secrets.told(F.col("spans")).alias("spans"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.3)
 
@@ -50,7 +65,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_toxicity": op2_toxicity,
+        "op3_secrets": op3_secrets,
+        "op7_decontamination": op7_decontamination,
         "op8_quality": op8_quality,
+        "op9_licenses": op9_licenses,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op10_token_counts": op10_token_counts,
     }
