@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: The base patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+HEX = r"[0-9a-f]{32,}"  # runs of 32 and more of [0-9a-f]+
 KINDS = ["assign", "access", "hex", "entropy"]
 #: Runs of key characters; possessive, so each is read once.
 CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}+"
@@ -64,29 +64,25 @@ def _spans(text: Column, pattern: str, kind: str, value_group: int | None = None
 
 def window_entropy(body: Column, alphabet: str, threshold: float, width: int = WINDOW) -> Column:
     """(first, last): the span of the windows whose entropy reaches the threshold; null first if none does."""
-    chars = F.split(body, "")
     weight = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(width + 2)])
     limit = (math.log2(width) - threshold) * width  # entropy >= threshold as a bound on the sum of c log c
+    come = F.transform(F.split(body, ""), lambda c: F.instr(F.lit(alphabet), c))
+    moves = F.transform(F.array(come), lambda c: F.zip_with(c, F.slice(F.concat(F.array_repeat(F.lit(0), width), c), F.lit(1), F.size(c)), lambda x, y: F.struct(x.alias("come"), y.alias("go"))))
     start = F.struct(
-        F.array_repeat(F.lit(0), len(alphabet) + 1).alias("n"), F.lit(0.0).alias("s"),
+        F.array_repeat(F.lit(0), len(alphabet) + 1).alias("n"), F.lit(0.0).alias("s"), F.lit(1).alias("size"),
         F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"),
     )
-    slot = lambda at: F.instr(F.lit(alphabet), F.get(chars, at))
 
-    def step(acc: Column, i: Column) -> Column:
-        come = slot(i)
-        n = F.get(acc["n"], come)
-        s = acc["s"] + F.get(weight, n + 1) - F.get(weight, n)
-        counts = F.transform(acc["n"], lambda v, j: F.when(j == come, v + 1).otherwise(v))
-        moved = F.struct(counts.alias("n"), s.alias("s"))
-        go = slot(i - width)
-        m = F.get(moved["n"], go)
-        gone = F.struct(F.transform(moved["n"], lambda v, j: F.when(j == go, v - 1).otherwise(v)).alias("n"), (moved["s"] - F.get(weight, m) + F.get(weight, m - 1)).alias("s"))
-        now = F.when(i >= width, gone).otherwise(moved)
-        high = (i >= width - 1) & (now["s"] <= limit + 1e-9)
-        return F.struct(now["n"].alias("n"), now["s"].alias("s"), F.when(high, F.coalesce(acc["first"], i - width + 1)).otherwise(acc["first"]).alias("first"), F.when(high, i + 1).otherwise(acc["last"]).alias("last"))
+    def step(acc: Column, x: Column) -> Column:
+        counts = F.transform(acc["n"], lambda v, j: v + (j == x["come"]).cast("int") - (j == x["go"]).cast("int"))
+        n, m = F.get(acc["n"], x["come"]), F.get(acc["n"], x["go"])
+        enters = F.get(weight, n + 1) - F.get(weight, n)
+        leaves = F.when(x["go"] > 0, F.get(weight, m) - F.get(weight, m - 1)).otherwise(0.0)
+        s = acc["s"] + F.when(x["come"] == x["go"], 0.0).otherwise(enters - leaves)
+        high = (acc["size"] >= width) & (s <= limit + 1e-9)
+        return F.struct(counts.alias("n"), s.alias("s"), (acc["size"] + 1).alias("size"), F.when(high, F.coalesce(acc["first"], acc["size"] - width)).otherwise(acc["first"]).alias("first"), F.when(high, acc["size"]).otherwise(acc["last"]).alias("last"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    return F.aggregate(F.get(moves, 0), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -100,7 +96,7 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
     some = docs.withColumns({
         "_assign": F.when(text.rlike(ASSIGN), _spans(text, ASSIGN, "assign", 2, 8)).otherwise(none),
         "_access": F.when(F.contains(text, F.lit("AKIA")), _spans(text, ACCESS, "access", None, 16)).otherwise(none),
-        "_hex": F.when(text.rlike(r"[0-9a-f]{32}"), _spans(text, HEX + r"(?<=[0-9a-f]{32})", "hex")).otherwise(none),
+        "_hex": F.when(text.rlike(r"[0-9a-f]{32}"), _spans(text, HEX, "hex")).otherwise(none),
         "_runs": F.when(text.rlike(r"[A-Za-z0-9+/=_-]{20}"), _spans(text, CANDIDATE, "entropy")).otherwise(none),
     })
     base = F.sort_array(F.concat("_assign", "_access", "_hex"))
