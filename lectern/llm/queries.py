@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, packing, quality, secrets, simhash, token_counts, toxicity
+from . import decontamination, licenses, packing, quality, secrets, simhash, token_counts, topk, toxicity
 from .common import fold_of, fresh_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -51,6 +51,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.3)
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontamination": op7_decontamination,
         "op8_quality": op8_quality,
         "op9_licenses": op9_licenses,
+        "op4_topk": op4_topk,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op10_token_counts": op10_token_counts,
     }
