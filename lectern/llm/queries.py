@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, packing, quality, secrets, simhash, token_counts, topk, toxicity
+from . import decontamination, language_model, licenses, packing, quality, secrets, simhash, token_counts, topk, toxicity
 from .common import fold_of, fresh_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,6 +38,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[c.alias(n) for n, c in counts.items()], F.sha2(secrets.told(F.col("base")), 256).alias("base_sha256"), secrets.told(F.col("spans")).alias("spans"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = language_model.scores(table(spark, sf_dir, "documents"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_toxicity": op2_toxicity,
         "op3_secrets": op3_secrets,
+        "op6_language_model": op6_language_model,
         "op7_decontamination": op7_decontamination,
         "op8_quality": op8_quality,
         "op9_licenses": op9_licenses,
