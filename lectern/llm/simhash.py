@@ -24,8 +24,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, fresh_path
 from .components import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -167,3 +168,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = codes.join(roots, codes["fp"] == roots["u"], "left").select("fp", "first_id", F.coalesce("v", "fp").alias("root"))
     named = of.groupBy("root").agg(F.min("first_id").alias("component"))
     return rows.join(of.join(named, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the smallest id (null after all others), of repeats any one.
+
+    The documents are written to the shared folder with a fingerprint and a row number, so that the rows
+    that go can be told whatever repeats; only those rows' numbers meet the texts again.
+    """
+    spark = docs.sparkSession
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            fps = [fingerprint(None if (t := v.as_py()) is None else t.encode()) for v in b.column(at)]
+            yield b.append_column("_simhash", pa.array(fps, pa.int64()))
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_simhash", T.LongType())])
+    path = fresh_path(spark, "simhash")
+    docs.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    stored = spark.read.parquet(path)
+    rows = stored.select("_row", F.col(f"`{id_col}`").cast("long").alias("id"), F.col("_simhash").alias("fp"))
+    order = F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), F.col("_row").alias("row"))
+    codes = cut(rows.groupBy("fp").agg(F.min(order).alias("first")))
+    roots = components(links(codes.select("fp")))
+    of = codes.join(roots, codes["fp"] == roots["u"], "left").select("fp", "first", F.coalesce("v", "fp").alias("root"))
+    stays = of.groupBy("root").agg(F.min("first").alias("first"))
+    stays = of.join(stays.select("root", F.col("first.row").alias("stays")), "root").select("fp", "stays")
+    gone = rows.join(stays, "fp").where("_row != stays").select("_row")
+    return stored.join(gone, "_row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
