@@ -86,7 +86,7 @@ def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Zeros and ones at each of 255 places (1 to 255, in heap order) from counts of 256 bytes."""
     zeros, ones = np.zeros(counts.shape), np.zeros(counts.shape)
     for level in range(8):
-        halves = counts.reshape(len(counts), 1 << level, 2, -1).sum(-1)
+        halves = counts.reshape(len(counts), 1 << level, 2, 128 >> level).sum(-1)
         zeros[:, 1 << level : 2 << level], ones[:, 1 << level : 2 << level] = halves[:, :, 0], halves[:, :, 1]
     return zeros, ones
 

@@ -78,7 +78,7 @@ def improve(bins: list[list[int]], lengths: list[int], size: int, patience: int
 
     The least full bin gives; a step moves one of its items to another bin, or swaps one or
     two of them for a shorter one there. The step with the greatest rise is taken. A bin from
-    which no step is left is put aside; after ``patience`` such bins the search ends.
+    which no step is left is put aside until another step is taken; after ``patience`` such bins the search ends.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
     under = {k for k, f in enumerate(fill) if f < size}
@@ -105,6 +105,7 @@ def improve(bins: list[list[int]], lengths: list[int], size: int, patience: int
         if best[1] is None:
             aside.add(giving)
             continue
+        aside.clear()  # what was stuck may move again
         _, offer, at = best
         to, other = int(owner[at]), int(item[at])
         shift = sum(lengths[i] for i in offer) - int(back[at])

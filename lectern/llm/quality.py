@@ -100,4 +100,4 @@ def score_table(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) ->
             x = np.array([features(t.as_py() or "") for t in b.column(1)]).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, score double")

@@ -85,8 +85,8 @@ def window_entropy(body: Column, alphabet: str, threshold: float, width: int = W
     return F.aggregate(F.get(moves, 0), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
-def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``base`` and ``spans``: arrays of (start, rank, end, body), sorted; rank is the kind's place in KINDS.
+def find(docs: DataFrame, text_col: str = "text", base_col: str = "base", spans_col: str = "spans") -> DataFrame:
+    """``docs`` with two more columns, base findings and all: arrays of (start, rank, end, body), sorted; rank is the kind's place in KINDS.
 
     Each pattern is tried only where a cheaper test says it may match. Candidates are read in a step of their own,
     so texts without any (most) never reach the fold.
@@ -100,7 +100,7 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "_runs": F.when(text.rlike(r"[A-Za-z0-9+/=_-]{20}"), _spans(text, CANDIDATE, "entropy")).otherwise(none),
     })
     base = F.sort_array(F.concat("_assign", "_access", "_hex"))
-    some = some.withColumn("base", base)
+    some = some.withColumn(base_col, base)
 
     def verdict(x: Column) -> Column:
         mixed = x["body"].rlike("[0-9]") & x["body"].rlike("[A-Za-z]")
@@ -112,12 +112,12 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
             at = F.when(x["body"].rlike(pattern), window_entropy(x["body"], alphabet, bits)).otherwise(at)
         return F.when(mixed & ~allowed, at)
 
-    free = F.filter("_runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    free = F.filter("_runs", lambda r: ~F.exists(base_col, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     judged = F.transform(free, lambda r: F.struct(r.alias("r"), verdict(r).alias("v")))
     high = F.filter(judged, lambda x: x["v"]["first"].isNotNull())
     added = F.transform(high, lambda x: F.struct((x["r"]["start"] + x["v"]["first"]).alias("start"), F.lit(KINDS.index("entropy")).alias("rank"), (x["r"]["start"] + x["v"]["last"]).alias("end"), F.substring(x["r"]["body"], x["v"]["first"] + 1, x["v"]["last"] - x["v"]["first"]).alias("body")))
-    spans = F.when(F.size("_runs") > 0, F.sort_array(F.concat("base", added))).otherwise(F.col("base"))
-    return some.withColumn("spans", spans).drop("_assign", "_access", "_hex", "_runs")
+    spans = F.when(F.size("_runs") > 0, F.sort_array(F.concat(base_col, added))).otherwise(F.col(base_col))
+    return some.withColumn(spans_col, spans).drop("_assign", "_access", "_hex", "_runs")
 
 
 def told(spans: Column) -> Column:
@@ -135,6 +135,6 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") ->
         more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0))), F.when(x["start"] >= acc["at"], mark).otherwise(""))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), more.alias("out"))
 
-    done = F.aggregate("spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    found = find(docs, text_col)
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, done).otherwise(text)).drop("base", "spans")
+    done = F.aggregate("_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    found = find(docs, text_col, "_base", "_spans")
+    return found.withColumn(text_col, F.when(F.size("_spans") > 0, done).otherwise(text)).drop("_base", "_spans")

@@ -148,5 +148,5 @@ def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text",
 
 def score_table(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> DataFrame:
     """(doc_id, score) of every document."""
-    rows = docs.select(F.col("doc_id"), F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     return score(rows, train(docs, labels, sample_rows=sample_rows)).select("doc_id", "score")
