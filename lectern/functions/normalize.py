@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rewrite import rewrite, trim_ws
+from .rewrite import bind, rewrite, trim_ws
 
 # Patterns that decide what counts as an artefact.
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F-￰-�\x{E0100}-\x{E01EF}]"
@@ -96,7 +96,7 @@ def unwrap_lines(t: Column) -> Column:
 
 def spaced_letters(t: Column) -> Column:
     for p in (SPACED_CAPITALS, SPACED_SMALL):
-        t = rewrite(t, p, lambda m: F.replace(m, F.lit(" "), F.lit("")))
+        t = bind(t, lambda x: rewrite(x, p, lambda m: F.replace(m, F.lit(" "), F.lit(""))))
     return t
 
 
@@ -115,18 +115,18 @@ def dimensions(t: Column) -> Column:
 def normalize(t: Column) -> Column:
     """The passes all formats share, in order."""
     for step in (strip_bom, strip_control, strip_invisible, line_endings, trailing_space, join_hyphens, print_headers, asterism_lines, illustration_markers, tabs_and_spaces, blank_lines):
-        t = step(t)
+        t = bind(t, step)
     return trim_ws(t)
 
 
 def normalize_universal(t: Column, hard_wrapped: bool = False) -> Column:
     t = normalize(t)
-    return italics(unwrap_lines(t) if hard_wrapped else t)
+    return bind(unwrap_lines(t) if hard_wrapped else t, italics)
 
 
 def normalize_page(t: Column) -> Column:
     """For page text layers: glyph repair, and single line feeds become spaces."""
-    t = spaced_digits(spaced_letters(normalize_universal(t)))
+    t = bind(bind(normalize_universal(t), spaced_letters), spaced_digits)
     return F.regexp_replace(t, r"(?<!\n)\n(?!\n)", " ")
 
 

@@ -15,6 +15,11 @@ def rewrite(text: Column, pattern: str, change: Callable[[Column], Column], grou
     return F.array_join(F.zip_with(pieces, matches, lambda p, m: F.concat(p, m)), "")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the value, which is worked out once however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def any_of(text: Column, phrases: list[str]) -> Column:
     """Whether the text contains one of the phrases."""
     found = F.lit(False)

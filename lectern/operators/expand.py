@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rewrite import bind
+
 
 def islands(hits: DataFrame, radius: int = 2) -> DataFrame:
     """Merged windows (doc_id, lo, hi, best) of hits (doc_id, idx, relevance): windows that touch are one; the best hit owns it."""
@@ -21,11 +23,14 @@ def stitch(texts: Column, most: int = 250) -> Column:
     """Ordered texts as one: the longest suffix of what there is that begins the next text isn't repeated."""
 
     def add(acc: Column, x: Column) -> Column:
-        sizes = F.sequence(F.least(F.lit(most), F.length(acc), F.length(x)), F.lit(0), F.lit(-1))
-        fit = F.get(F.filter(sizes, lambda n: F.right(acc, n) == F.left(x, n)), 0)
-        return F.when(acc == "", x).when(x == "", acc).when(fit > 0, F.concat(acc, F.substring(x, fit + 1, F.length(x)))).otherwise(F.concat(acc, F.lit(" "), x))
-
-    return F.aggregate(texts, F.lit(""), add)
+        tail = acc["tail"]
+        sizes = F.sequence(F.least(F.lit(most), F.length(tail), F.length(x)), F.lit(0), F.lit(-1))
+        fit = F.coalesce(F.get(F.filter(sizes, lambda n: F.right(tail, n) == F.left(x, n)), 0), F.lit(0))
+        fresh = F.when((tail == "") | (x == ""), x).otherwise(bind(fit, lambda n: F.when(n > 0, F.substring(x, n + 1, F.length(x))).otherwise(F.concat(F.lit(" "), x))))
+        return bind(fresh, lambda new: F.struct(F.concat(acc["out"], F.array(new)).alias("out"), F.right(F.concat(tail, new), F.lit(most)).alias("tail")))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("tail"))
+    return F.aggregate(texts, start, add, lambda acc: F.array_join(acc["out"], ""))
 
 
 def budget_stop(rows: DataFrame, group: str, order: list, cost: str, budget: int) -> DataFrame:
