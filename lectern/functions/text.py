@@ -22,7 +22,7 @@ REFERENCE_SITES = {
     "stanford encyclopedia of philosophy": "Stanford Encyclopedia",
 }
 AUTHOR_LINE = r"(?im)^\s*Author:\s*(.+?)\s*$"
-BY_LINE = r"(?m)^[ \t]*(?:(?:[Cc]o-)?[Aa]uthored[ \t]+|[Ww]ritten[ \t]+)?[Bb]y[ \t]+([A-Z][a-z][\p{L}.'’-]*(?:[ \t]+[A-Z][\p{L}.'’-]*)+)"
+BY_LINE = r"(?m)^[ \t]*(?:(?:[Cc]o-)?[Aa]uthored[ \t]+|[Ww]ritten[ \t]+)?[Bb]y[ \t]+([A-Z][a-z][\p{L}.'’-]*(?:[ \t]+(?:and[ \t]+)?[A-Z][\p{L}.'’-]*)+)"
 YEAR_PRINTED = r"(?i)(?:first published|originally published|first edition|copyright(?:\s*©)?|\(c\)|©)\s*(?:in\s+)?(\d{4})"
 YEAR_POSTED = r"(?i)(?:release date|posting date|publication date)[^0-9]{0,40}(\d{4})"
 SECTION_NUMBER = r"^(?:(?i:chapter|part|section|article|schedule)\s+)?\d{1,3}(?:\.\d{1,3}){0,3}\.?\s+\p{L}"

@@ -148,17 +148,18 @@ def body_font(page_lines: DataFrame) -> DataFrame:
 
 
 def heading_profile(seed_lines: DataFrame) -> DataFrame:
-    """Per document: medians and shares of lines known to be headings."""
-    share = lambda c: F.avg(F.col(c).cast("double"))
-    return seed_lines.groupBy("doc_id").agg(F.median("font_size").alias("font"), share("bold").alias("bold"), share("all_caps").alias("caps"), F.median("gap_above").alias("gap"), F.median("indent").alias("indent"))
+    """Per document: medians and shares of lines known to be headings, in columns seed_*."""
+    share = lambda c: F.avg(F.col(c).cast("double")).alias(f"seed_{c}")
+    mid = lambda c: F.median(c).alias(f"seed_{c}")
+    return seed_lines.groupBy("doc_id").agg(mid("font_size"), share("bold"), share("all_caps"), mid("gap_above"), mid("indent"))
 
 
-def resemblance(profile: str = "p") -> Column:
-    """How much a line (font_size, bold, all_caps, gap_above, indent, text) is like the profile's headings, 0 to 1."""
-    near = lambda a, b: F.greatest(F.lit(0.0), 1 - F.abs(a - b) / F.greatest(F.abs(b), F.lit(1.0)))
-    like = lambda c, p: 1 - F.abs(F.col(c).cast("double") - F.col(f"{profile}.{p}"))
+def resemblance() -> Column:
+    """How much a line (font_size, bold, all_caps, gap_above, indent, text) is like its document's seed_* profile, 0 to 1."""
+    near = lambda c: F.greatest(F.lit(0.0), 1 - F.abs(F.col(c) - F.col(f"seed_{c}")) / F.greatest(F.abs(f"seed_{c}"), F.lit(1.0)))
+    like = lambda c: 1 - F.abs(F.col(c).cast("double") - F.col(f"seed_{c}"))
     w = SEED_WEIGHTS
-    return w["font"] * near(F.col("font_size"), F.col(f"{profile}.font")) + w["bold"] * like("bold", "bold") + w["caps"] * like("all_caps", "caps") + w["gap"] * near(F.col("gap_above"), F.col(f"{profile}.gap")) + w["indent"] * near(F.col("indent"), F.col(f"{profile}.indent")) + w["shape"] * T.title_shape(F.col("text"))
+    return w["font"] * near("font_size") + w["bold"] * like("bold") + w["caps"] * like("all_caps") + w["gap"] * near("gap_above") + w["indent"] * near("indent") + w["shape"] * T.title_shape(F.col("text"))
 
 
 def map_quality(mapped: DataFrame) -> DataFrame:
