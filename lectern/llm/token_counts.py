@@ -17,6 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .encoding import encoder
 
 
@@ -80,4 +81,5 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str, id_col: str =
     known = stored()
     if known is None:  # an empty table leaves nothing to read
         known = new.limit(0)
+    known = cut(known)  # a join of two plain shuffles, of which Spark can split a hot text's partition
     return rows.join(known, "content_digest", "left").select("id", "n_bytes", "n_tokens")
