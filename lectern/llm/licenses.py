@@ -41,13 +41,19 @@ NOTICES = [
 GRAM = 4
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    """(template, label, phrase, grams, k, tpos, t_gram, t_words): a row per k-gram of a template."""
+def template_rows() -> list[tuple]:
+    """(template, label, phrase, grams, k, tpos, words) of each k-gram of a template."""
     rows = []
     for n, (text, label, phrase) in enumerate([(t, x, True) for t, x in PHRASES] + [(t, x, False) for t, x in NOTICES]):
         tokens = text.split()
         k = min(GRAM, len(tokens))
         rows += [(n, label, phrase, len(tokens) - k + 1, k, at, tokens[at : at + k]) for at in range(len(tokens) - k + 1)]
+    return rows
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    """(template, label, phrase, grams, t_k, tpos, t_words, t_gram): a fixed table of a few hundred rows."""
+    rows = template_rows()
     table = spark.createDataFrame(rows, "template int, label string, phrase boolean, grams int, k int, tpos int, t_words array<string>")
     of = F.lit(None).cast("long")
     for k in sorted({r[4] for r in rows}):
