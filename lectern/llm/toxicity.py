@@ -79,7 +79,7 @@ class FactorizationMachine:
         return self.bias + float(self.weight[active].sum() + 0.5 * (s @ s - (v * v).sum()))
 
 
-def fit(label: np.ndarray, buckets: pa.ListArray, features: int = 4096, rank: int = 4, epochs: int = 25, seed: int = 7) -> FactorizationMachine:
+def fit(label: np.ndarray, buckets: pa.ListArray, features: int = 512, rank: int = 4, epochs: int = 60, seed: int = 7) -> FactorizationMachine:
     y = (label > 0).astype(np.float64)
     empty = FactorizationMachine(float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1.5))), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank)))
     if not 0 < y.sum() < len(y):
