@@ -114,9 +114,11 @@ def dimensions(t: Column) -> Column:
 
 def normalize(t: Column) -> Column:
     """The passes all formats share, in order."""
-    for step in (strip_bom, strip_control, strip_invisible, line_endings, trailing_space, join_hyphens, print_headers, asterism_lines, illustration_markers, tabs_and_spaces, blank_lines):
+    for step in (strip_bom, strip_control, strip_invisible, line_endings, trailing_space, join_hyphens):
+        t = step(t)
+    for step in (print_headers, asterism_lines, illustration_markers):  # these look at the text more than once
         t = bind(t, step)
-    return trim_ws(t)
+    return trim_ws(blank_lines(tabs_and_spaces(t)))
 
 
 def normalize_universal(t: Column, hard_wrapped: bool = False) -> Column:

@@ -155,19 +155,34 @@ def resolve_headings(titles: DataFrame, lines: DataFrame, least: float = 0.5) ->
     pairs = pairs.select("doc_id", F.col("n").cast("long").alias("n"), F.col("line").cast("long").alias("line"), (1000 * F.col("fit") + 100 * bonus).alias("weight"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        c = rows.drop_duplicates(["n", "line"]).sort_values(["n", "line"]).to_dict("records")
-        best, back = [0.0] * len(c), [-1] * len(c)
-        for i, x in enumerate(c):
-            best[i] = x["weight"]
-            for j in range(i):
-                if c[j]["n"] < x["n"] and c[j]["line"] < x["line"] and best[j] + x["weight"] > best[i]:
-                    best[i], back[i] = best[j] + x["weight"], j
-        i = max(range(len(c)), key=lambda k: (best[k], -k))
+        c = rows.drop_duplicates(["n", "line"]).sort_values(["n", "line"]).reset_index(drop=True)
+        place = c["line"].rank(method="dense").astype(int).tolist()
+        n, weight = c["n"].tolist(), c["weight"].tolist()
+        tree: list[tuple[float, int]] = [(0.0, -1)] * (max(place) + 1)  # prefix maxima of (weight of a chain, its end)
+        total, back = [0.0] * len(c), [-1] * len(c)
+        i = 0
+        while i < len(c):
+            j = i
+            while j < len(c) and n[j] == n[i]:  # candidates of one title don't follow each other
+                at, best = place[j] - 1, (0.0, -1)
+                while at > 0:
+                    best = max(best, tree[at], key=lambda x: x[0])
+                    at -= at & -at
+                total[j], back[j] = best[0] + weight[j], best[1]
+                j += 1
+            for k in range(i, j):
+                at = place[k]
+                while at < len(tree):
+                    if total[k] > tree[at][0]:
+                        tree[at] = (total[k], k)
+                    at += at & -at
+            i = j
+        i = max(range(len(c)), key=lambda k: (total[k], -k))
         chain = []
         while i >= 0:
-            chain.append(c[i])
+            chain.append(i)
             i = back[i]
-        return pd.DataFrame(chain[::-1])[["doc_id", "n", "line"]]
+        return c.loc[chain[::-1], ["doc_id", "n", "line"]]
 
     return pairs.groupBy("doc_id").applyInPandas(run, f"doc_id {pairs.schema['doc_id'].dataType.simpleString()}, n long, line long")
 

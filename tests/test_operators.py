@@ -176,3 +176,26 @@ def test_annotations(spark):
     t = spark.createDataFrame([(1, 12, "user", "why?")], "doc_id long, offset long, role string, text string")
     m = sinks.annotations_markdown(d, n, t).first().markdown
     assert m.startswith("# Book") and m.index("mark") < m.index("my note") < m.index("why?")
+
+
+def test_headings_resolve_to_the_heaviest_increasing_chain(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    titles = [(1, n, f"part {rng.choice('abc')} {rng.choice('xyz')}") for n in range(5)]
+    lines = [(1, i, f"part {rng.choice('abc')} {rng.choice('xyz')}") for i in range(9)]
+    got = rows(C.resolve_headings(spark.createDataFrame(titles, "doc_id long, n long, title string"), spark.createDataFrame(lines, "doc_id long, line long, text string")))
+
+    def weight(t, l):
+        a = {w for w in t.split() if len(w) >= 2}
+        fit = len(a & {w for w in l.split() if len(w) >= 2}) / len(a)
+        return 1000 * fit + 100 * (t == l)
+
+    best = 0.0
+    for k in range(1, 6):
+        for ns in itertools.combinations(range(5), k):
+            for ls in itertools.combinations(range(9), k):
+                best = max(best, sum(weight(titles[n][2], lines[x][2]) for n, x in zip(ns, ls)))
+    assert [r[1] for r in got] == sorted(r[1] for r in got) and [r[2] for r in got] == sorted(r[2] for r in got)
+    assert sum(weight(titles[r[1]][2], lines[r[2]][2]) for r in got) == best
