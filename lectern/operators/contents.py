@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,11 +155,12 @@ def resolve_headings(titles: DataFrame, lines: DataFrame, least: float = 0.5) ->
     bonus = F.when(F.lower(trim_ws(F.col("title"))) == F.lower(trim_ws(F.col("text"))), 1.0).otherwise(0.0)
     pairs = pairs.select("doc_id", F.col("n").cast("long").alias("n"), F.col("line").cast("long").alias("line"), (1000 * F.col("fit") + 100 * bonus).alias("weight"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        c = rows.drop_duplicates(["n", "line"]).sort_values(["n", "line"]).reset_index(drop=True)
-        place = c["line"].rank(method="dense").astype(int).tolist()
-        n, weight = c["n"].tolist(), c["weight"].tolist()
-        tree: list[tuple[float, int]] = [(0.0, -1)] * (max(place) + 1)  # prefix maxima of (weight of a chain, its end)
+    def run(rows: pa.Table) -> pa.Table:
+        weights = {(a, b): w for a, b, w in zip(*(rows.column(c).to_pylist() for c in ("n", "line", "weight")))}
+        c = sorted(weights)
+        ranks = {x: k for k, x in enumerate(sorted({line for _, line in c}), 1)}
+        n, place, weight = [a for a, _ in c], [ranks[b] for _, b in c], [weights[x] for x in c]
+        tree: list[tuple[float, int]] = [(0.0, -1)] * (len(ranks) + 1)  # prefix maxima of (weight of a chain, its end)
         total, back = [0.0] * len(c), [-1] * len(c)
         i = 0
         while i < len(c):
@@ -182,9 +184,11 @@ def resolve_headings(titles: DataFrame, lines: DataFrame, least: float = 0.5) ->
         while i >= 0:
             chain.append(i)
             i = back[i]
-        return c.loc[chain[::-1], ["doc_id", "n", "line"]]
+        chain.reverse()
+        doc = rows.column("doc_id").slice(0, 1).to_pylist() * len(chain)
+        return pa.table({"doc_id": pa.array(doc, rows.schema.field("doc_id").type), "n": pa.array([c[i][0] for i in chain], pa.int64()), "line": pa.array([c[i][1] for i in chain], pa.int64())})
 
-    return pairs.groupBy("doc_id").applyInPandas(run, f"doc_id {pairs.schema['doc_id'].dataType.simpleString()}, n long, line long")
+    return pairs.groupBy("doc_id").applyInArrow(run, f"doc_id {pairs.schema['doc_id'].dataType.simpleString()}, n long, line long")
 
 
 def detect_headings(page_lines: DataFrame, body: DataFrame, most_words: int = 40) -> DataFrame:
