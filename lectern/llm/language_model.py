@@ -6,11 +6,12 @@ and each place in the decisions, how often either way was taken. A node's Kriche
 estimate and the product over its children are mixed by halves at all depths, which gives each
 byte a code length.
 
-Counts cover every training text. A context is a node of its own if it makes up at least
-``1 / contexts`` of all training bytes, so a depth has at most ``contexts`` nodes whatever the
-corpus; all other contexts below a node share one leaf beside its children, and no count is lost. That
-bound lets the finished tables (at most about depth * contexts * 2 KB, 30 MB on
-European prose) be broadcast.
+Counts cover every training text, and every context seen is a node, so the tree grows with the corpus and
+is neither gathered nor broadcast. Texts are dealt into blocks of bounded size. Each block lists its distinct grams
+(a context of ``depth`` bytes and the next byte) with their training counts, in 256 shards by the two nearest
+context bytes. A shard adds up the lists and works out its nodes of depth 2 and more; the root and the nodes of
+depth 1, 257 at most, are worked out on the driver. Each list then gets its grams' code lengths, and a block is
+scored where its texts and its lists meet. A context without training counts says one half at each place.
 
 Unigram base scores need every word's count. Words that make up at least ``1 / hot_words`` of the
 training tokens are broadcast, as there can be no more than ``hot_words`` of them; the others are joined,
@@ -28,10 +29,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, fold_of, fresh_path
+from .common import fold_of, fresh_path
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 END = 0xFF
@@ -163,85 +167,264 @@ def _bytes(column) -> list[bytes]:
     return [(t.as_py() or b"").translate(_LOWER) for t in column]
 
 
+def _blocks(block_bytes: int):
+    """Rows with the number of a block: consecutive rows of a task, of about ``block_bytes`` bytes."""
+
+    def run(batches):
+        base, size, n = TaskContext.get().partitionId() << 32, 0, 0
+        for b in batches:
+            numbers = []
+            for length in pc.binary_length(b.column(b.schema.get_field_index("body"))).to_pylist():
+                if size and size + (length or 0) > block_bytes:
+                    size, n = 0, n + 1
+                size += (length or 0) + 1
+                numbers.append(base + n)
+            yield b.append_column("block", pa.array(numbers, pa.int64()))
+
+    return run
+
+
+def shard_of(grams: np.ndarray) -> np.ndarray:
+    """One of 256 shards by the two nearest context bytes."""
+    return (((grams >> 8) & 0xFFFF) * 40503 >> 8) & 255
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Longs as eight planes of bytes, which the shuffle's compression makes small."""
+    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def of_planes(body: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def pack_grams(codes: np.ndarray) -> bytes:
+    """Ascending codes by their differences."""
+    return planes(np.diff(codes, prepend=0))
+
+
+def unpack_grams(body: bytes) -> np.ndarray:
+    return np.cumsum(of_planes(body))
+
+
 def _count(depth: int):
-    """Counts of words and of contexts with the next byte, summed in the task and passed on when they fill a bounded table."""
+    """Counts of training words, and each block's distinct grams with their training counts, summed in the task and passed on when they fill a bounded table."""
 
-    def grams_out(grams):
+    def summed(grams):
         codes, at = np.unique(np.concatenate([c for c, _ in grams]), return_inverse=True)
-        return codes, np.bincount(at, np.concatenate([n for _, n in grams])).astype(np.int64)
+        return codes, np.bincount(at, np.concatenate([n for _, n in grams]), len(codes)).astype(np.int64)
 
-    def rows(words: Counter, codes, counts):
+    def of_words(words: Counter):
         w = len(words)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([*words, *[None] * len(codes)], pa.binary()), pa.concat_arrays([pa.nulls(w, pa.int64()), pa.array(codes, pa.int64())]), pa.concat_arrays([pa.array(list(words.values()), pa.int64()), pa.array(counts, pa.int64())])],
-            ["word", "gram", "n"],
-        )
+        return pa.RecordBatch.from_arrays([pa.array([*words], pa.binary()), pa.array([*words.values()], pa.int64()), pa.nulls(w, pa.int64()), pa.nulls(w, pa.int32()), pa.nulls(w, pa.binary()), pa.nulls(w, pa.binary())], names)
+
+    def of_grams(block, codes, counts):
+        shard = shard_of(codes)
+        order = np.argsort(shard, kind="stable")
+        kinds, first = np.unique(shard[order], return_index=True)
+        lists = np.split(order, first[1:])
+        k = len(kinds)
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(np.full(k, block)), pa.array(kinds, pa.int32()), pa.array([pack_grams(codes[x]) for x in lists], pa.binary()), pa.array([planes(counts[x]) for x in lists], pa.binary())], names)
+
+    names = ["word", "n", "block", "shard", "grams", "counts"]
 
     def run(batches):
-        words, grams = Counter(), []
+        words, grams, now = Counter(), [], None
         for b in batches:
-            texts = _bytes(b.column(0))
-            for t in texts:
-                words.update(t.split())
-            for buffer, where, _ in segments(texts, depth):
-                grams.append(np.unique(gram_codes(buffer, where, depth), return_counts=True))
-                if sum(len(c) for c, _ in grams) > 2_000_000:
-                    grams = [grams_out(grams)]
-            if len(words) > 400_000 or grams and len(grams[0][0]) > 1_500_000:
-                yield rows(words, *(grams_out(grams) if grams else (np.zeros(0, np.int64),) * 2))
-                words, grams = Counter(), []
-        if words or grams:
-            yield rows(words, *(grams_out(grams) if grams else (np.zeros(0, np.int64),) * 2))
+            texts, held, blocks = _bytes(b.column(0)), b.column(1).to_pylist(), np.array(b.column(2))
+            for t, h in zip(texts, held):
+                if not h:
+                    words.update(t.split())
+            if len(words) > 400_000:
+                yield of_words(words)
+                words = Counter()
+            starts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for lo, hi in zip(starts, starts[1:]):
+                if lo == hi:
+                    continue
+                if now is not None and now != blocks[lo]:
+                    yield of_grams(now, *summed(grams))
+                    grams = []
+                now = blocks[lo]
+                for unseen in (False, True):
+                    part = [t for t, h in zip(texts[lo:hi], held[lo:hi]) if bool(h) == unseen]
+                    for buffer, where, _ in segments(part, depth):
+                        codes, n = np.unique(gram_codes(buffer, where, depth), return_counts=True)
+                        grams.append((codes, n * (not unseen)))
+                        if sum(len(c) for c, _ in grams[1:]) > 2_000_000:
+                            grams = [summed(grams)]
+                if grams and len(grams[0][0]) > 4_000_000:
+                    yield of_grams(now, *summed(grams))
+                    grams = []
+        if words:
+            yield of_words(words)
+        if grams:
+            yield of_grams(now, *summed(grams))
 
     return run
 
 
-def context_rows(grams: DataFrame, depth: int, contexts: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per depth: the nodes' contexts, next bytes and counts; bounded by the share a node must have."""
-    whole = grams.agg(F.sum("n").alias("n")).first().n or 0
-    masks = F.array(*[F.lit((1 << (8 * d)) - 1).cast("long") for d in range(depth + 1)])
-    each = grams.select("gram", "n", F.posexplode(masks).alias("d", "mask"))
-    each = each.groupBy("d", F.shiftright("gram", 8).bitwiseAND(F.col("mask")).alias("ctx"), F.col("gram").bitwiseAND(F.lit(255)).cast("int").alias("sym")).agg(F.sum("n").alias("n"))
-    nodes = each.groupBy("d", "ctx").agg(F.sum("n").alias("of")).where(F.col("of") * contexts >= whole)
-    kept = each.join(nodes, ["d", "ctx"]).select("d", "ctx", "sym", "n").toArrow()
-    d, ctx, sym, n = (kept.column(c).to_numpy() for c in ("d", "ctx", "sym", "n"))
-    return [(ctx[d == k], sym[d == k], n[d == k]) for k in range(depth + 1)]
+def _kt_rows(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """The estimate by rows of pairs; equal pairs, which are most, are worked out once."""
+    pairs, at = np.unique(np.stack([zeros, ones], 1), axis=0, return_inverse=True)
+    return _log_kt(pairs[:, 0].astype(float), pairs[:, 1].astype(float))[at.ravel()]
+
+
+def _bit_keys(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each gram and level: context above place (1 to 255), and the bit taken there."""
+    sym, level = grams & 255, np.arange(8)[:, None]
+    return (grams >> 8 << 8) | (256 | sym) >> (8 - level), (sym >> (7 - level)) & 1
+
+
+def below_top(grams: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(8 values per gram: the probability of the bit taken, by the mixture from depth 2 down; keys of depth 1 and place; log of the
+    weighted probability of their nodes of depth 2). ``grams``: all that share their two nearest context bytes with any of them."""
+    keys, bits = _bit_keys(grams)
+    nodes, at, zeros, ones = {}, {}, {}, {}
+    key, inner = keys.ravel(), np.concatenate([counts] * 8)
+    for d in range(depth, 1, -1):
+        if d == depth:
+            nodes[d], at[d] = np.unique(key, return_inverse=True)
+            n0 = np.bincount(at[d], inner * (1 - bits.ravel()), len(nodes[d]))
+            n1 = np.bincount(at[d], inner * bits.ravel(), len(nodes[d]))
+        else:
+            nodes[d], at[d] = np.unique(nodes[d + 1] & ((1 << (8 * (d + 1))) - 1), return_inverse=True)
+            n0, n1 = np.bincount(at[d], zeros[d + 1], len(nodes[d])), np.bincount(at[d], ones[d + 1], len(nodes[d]))
+        zeros[d], ones[d] = n0, n1
+    stop, below = {}, None
+    for d in range(depth, 1, -1):
+        own = _kt_rows(zeros[d], ones[d])
+        if d == depth:
+            stop[d], below = np.ones_like(own), own
+            continue
+        split = np.bincount(at[d], below, len(nodes[d]))
+        stop[d] = 1 / (1 + np.exp(np.clip(split - own, -700, 700)))
+        below = np.logaddexp(own, split) - math.log(2)
+    one, zero, left = np.zeros(len(nodes[2])), np.zeros(len(nodes[2])), np.ones(len(nodes[2]))
+    for d in range(2, depth + 1):
+        if d > 2:
+            one, zero, left = one[at[d - 1]], zero[at[d - 1]], left[at[d - 1]]
+        share = left * stop[d] / (zeros[d] + ones[d] + 1)
+        one, zero, left = one + share * (ones[d] + 0.5), zero + share * (zeros[d] + 0.5), left * (1 - stop[d])
+    taken = np.where(bits.ravel() == 1, one[at[depth]], zero[at[depth]]).reshape(8, -1).T
+    up, where = np.unique(nodes[2] & 0xFFFF, return_inverse=True)
+    return taken, up, np.bincount(where, below, len(up))
+
+
+def _summed_lists(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each list of a shard, and all their grams (ascending) with counts; lists are added up a few million grams at a time."""
+    lists = [unpack_grams(x.as_py()) for x in table.column("grams")]
+    codes, counts, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+    for k, x in enumerate(table.column("counts")):
+        held.append((lists[k], of_planes(x.as_py())))
+        size += len(lists[k])
+        if size > 2_000_000 or k + 1 == len(lists):
+            codes, at = np.unique(np.concatenate([codes, *[c for c, _ in held]]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, *[n for _, n in held]]), len(codes)).astype(np.int64)
+            held, size = [], 0
+    return lists, codes, counts
+
+
+def _upward(depth: int):
+    def run(table: pa.Table) -> pa.Table:
+        """(key, n, below): what the top needs of a shard, by depth-1 context and byte (n) or place (below)."""
+        _, codes, counts = _summed_lists(table)
+        _, up, below = below_top(codes, counts, depth)
+        pair, at = np.unique(codes & 0xFFFF, return_inverse=True)
+        n = np.bincount(at, counts, len(pair)).astype(np.int64)
+        return pa.table({"key": np.concatenate([pair, up]), "n": pa.concat_arrays([pa.array(n), pa.nulls(len(up), pa.int64())]), "below": pa.concat_arrays([pa.nulls(len(pair), pa.float64()), pa.array(below)])})
+
+    return run
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, depth: int = 5, contexts: int = 1 << 15, hot_words: int = 1 << 20) -> DataFrame:
+def top_tree(grams: np.ndarray, counts: np.ndarray, up: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By depth-1 context and place: the mixture's share of a one and of a zero down to depth 1, and the weight left for what is deeper.
+
+    ``grams``: context byte above next byte, with counts; ``up``, ``below``: sums over the nodes of depth 2."""
+    table, split = np.zeros((256, 256)), np.zeros((256, 256))
+    np.add.at(table, (grams >> 8, grams & 255), counts)
+    np.add.at(split, (up >> 8, up & 255), below)
+    one = zero = np.zeros((1, 256))
+    left = np.ones((1, 256))
+    levels = []
+    for n in (table, table.sum(0, keepdims=True)):
+        zeros, ones = _decisions(n)
+        own = _log_kt(zeros, ones)
+        levels.append((zeros, ones, 1 / (1 + np.exp(np.clip(split - own, -700, 700)))))
+        split = (np.logaddexp(own, split) - math.log(2)).sum(0, keepdims=True)
+    for zeros, ones, stop in reversed(levels):
+        share = left * stop / (zeros + ones + 1)
+        one, zero, left = one + share * (ones + 0.5), zero + share * (zeros + 0.5), left * (1 - stop)
+    return one, zero, left
+
+
+def gram_costs(grams: np.ndarray, taken: np.ndarray, top: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 of the probability of each gram's byte after its context."""
+    keys, bits = _bit_keys(grams)
+    at, (one, zero, left) = ((keys >> 8) & 255, keys & 255), top
+    p = np.where(bits == 1, one[at], zero[at]) + left[at] * taken.T
+    return np.log10(np.clip(p, 1e-12, 1 - 1e-12)).sum(0)
+
+
+def block_scores(texts: list[bytes], grams: np.ndarray, costs: np.ndarray, depth: int) -> np.ndarray:
+    """log10 probability of each text and its end, from the costs of all their grams (ascending)."""
+    total = np.zeros(len(texts))
+    for buffer, where, owner in segments(texts, depth):
+        cost = costs[np.searchsorted(grams, gram_codes(buffer, where, depth))]
+        lengths = np.array([b - a for a, b in where])
+        np.add.at(total, owner, np.add.reduceat(cost, np.cumsum(lengths) - lengths))
+    return total
+
+
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, depth: int = 5, hot_words: int = 1 << 20, block_bytes: int = 32 << 20) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     spark = docs.sparkSession
+    if not 2 <= depth <= 6:
+        raise ValueError("depth must be from 2 to 6")
     body = F.col(f"`{text_col}`").cast("binary")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), body.alias("body"), F.xxhash64(body).alias("mark"))
     held = fold_of(F.col("id"), folds) == held_fold
-    training = texts.where(~held)
-    summed = training.select("body").mapInArrow(_count(depth), "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+    path = fresh_path(spark, "language-model-texts")
+    texts.mapInArrow(_blocks(block_bytes), T.StructType([*texts.schema.fields, T.StructField("block", T.LongType())])).write.parquet(path)
+    texts = spark.read.parquet(path)
     path = fresh_path(spark, "language-model")
-    summed.write.parquet(path)
-    counted = spark.read.schema("word binary, gram long, n long").parquet(path)
-    words = counted.where("word is not null").select("word", "n")
-    tree = ContextTree(depth, context_rows(counted.where("gram is not null").select("gram", "n"), depth, contexts))
-    ends = training.count()
+    schema = "word binary, n long, block long, shard int, grams binary, counts binary"
+    texts.select("body", held.alias("held"), "block").mapInArrow(_count(depth), schema).write.parquet(path)
+    counted = spark.read.schema(schema).parquet(path)
+    path = fresh_path(spark, "language-model-words")
+    counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(path)
+    words = spark.read.schema("word binary, n long").parquet(path)
+    lists = counted.where("grams is not null").select("block", "shard", "grams", "counts").groupBy("shard")
+    upward = lists.applyInArrow(_upward(depth), "key long, n long, below double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("below").alias("below"))
+    key, n, below = (upward.toArrow().column(c).to_numpy() for c in ("key", "n", "below"))  # 65,536 keys at most
+    top = top_tree(key, np.nan_to_num(n), key, np.nan_to_num(below))
+    ends = texts.where(~held).count()
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     train_tokens, kinds = (total.n or 0) + ends, total.v + (ends > 0)
     floor = math.log10(train_tokens + kinds + 1)
     is_hot = (F.col("n") * hot_words >= train_tokens) & (F.length("word") <= 64)
     hot = {r["word"]: r["n"] for r in words.where(is_hot).toArrow().to_pylist()}
-    shared = spark.sparkContext.broadcast((tree, {w: math.log10(n + 1) for w, n in hot.items()}))
+    shared = spark.sparkContext.broadcast((top, {w: math.log10(n + 1) for w, n in hot.items()}))
     end_cost = math.log10(ends + 1) - floor
 
-    def score(batches):
-        tree, logs = shared.value
-        for b in batches:
-            lower = _bytes(b.column(1))
-            tokens, known, base = [], [], []
-            for t in lower:
-                seen = [logs.get(w) for w in t.split()]
-                found = [x for x in seen if x is not None]
-                tokens.append(len(seen) + 1)
-                known.append(len(found) + (ends > 0))
-                base.append(math.fsum(found) - floor * len(seen) + end_cost)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(t) for t in lower], pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(tree.score(lower))], ["id", "mark", "n_bytes", "n_tokens", "known", "base", "score"])
+    def cost(table):
+        lists, codes, counts = _summed_lists(table)
+        costs = gram_costs(codes, below_top(codes, counts, depth)[0], shared.value[0]).astype("<f4")
+        return pa.table({"block": table.column("block"), "grams": table.column("grams"), "costs": pa.array([costs[np.searchsorted(codes, x)].tobytes() for x in lists], pa.binary())})
+
+    def score(rows, told):
+        logs = shared.value[1]
+        codes, order = np.unique(np.concatenate([unpack_grams(x.as_py()) for x in told.column("grams")]), return_index=True)
+        costs = np.concatenate([np.frombuffer(x.as_py(), "<f4") for x in told.column("costs")])[order].astype(np.float64)
+        lower = _bytes(rows.column("body"))
+        tokens, known, base = [], [], []
+        for t in lower:
+            seen = [logs.get(w) for w in t.split()]
+            found = [x for x in seen if x is not None]
+            tokens.append(len(seen) + 1)
+            known.append(len(found) + (ends > 0))
+            base.append(math.fsum(found) - floor * len(seen) + end_cost)
+        return pa.table({"id": rows.column("id"), "mark": rows.column("mark"), "n_bytes": pa.array([len(t) for t in lower], pa.int64()), "n_tokens": pa.array(tokens, pa.int64()), "known": pa.array(known, pa.int64()), "base": pa.array(base, pa.float64()), "score": pa.array(block_scores(lower, codes, costs, depth))})
 
     def rare(batches):
         """Words outside the broadcast ones, with a row per text that counts its copies."""
@@ -258,8 +441,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(marks, pa.int64()), pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["id", "mark", "word", "tf"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = texts.mapInArrow(score, f"id {kind}, mark long, n_bytes long, n_tokens long, known long, base double, score double")
-    cold = texts.mapInArrow(rare, f"id {kind}, mark long, word binary, tf long").join(words.where(~is_hot), "word", "left")
+    told = lists.applyInArrow(cost, "block long, grams binary, costs binary")
+    scored = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, f"id {kind}, mark long, n_bytes long, n_tokens long, known long, base double, score double")
+    cold = texts.select("id", "body", "mark").mapInArrow(rare, f"id {kind}, mark long, word binary, tf long").join(words.where(~is_hot), "word", "left")
     copy = F.startswith("word", F.lit(b" "))
     found = F.col("n").isNotNull()
     per = cold.groupBy("id", "mark").agg(

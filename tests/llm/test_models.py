@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lectern.llm import language_model as lm
@@ -145,6 +146,31 @@ def test_base_scores_match_brute_force(spark, hot):
     assert all(r.score < 0 for r in rows)
 
 
+def whole_tree(texts, depth):
+    """A tree whose nodes are all contexts of the texts."""
+    codes = np.concatenate([lm.gram_codes(b, w, depth) for b, w, _ in lm.segments(texts, depth)])
+    rows = []
+    for d in range(depth + 1):
+        key, n = np.unique(((codes >> 8) & ((1 << 8 * d) - 1)) << 8 | codes & 255, return_counts=True)
+        rows.append((key >> 8, key & 255, n))
+    return lm.ContextTree(depth, rows)
+
+
+@pytest.mark.parametrize("block_bytes", [32 << 20, 50_000])
+def test_scores_use_every_context_of_the_training_texts(spark, block_bytes):
+    """Contexts that make up far less than 1/32768 of the training bytes are nodes too."""
+    rng = random.Random(5)
+    rare = [(2000 + k, " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(40))) for k in range(30)]
+    docs = odd_documents(spark, rare + [(3000 + k, t) for k, (_, t) in enumerate(rare)])
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    texts = [(r.doc_id, lm._bytes(pa.array([r.text]).cast(pa.binary()))[0]) for r in docs.collect()]
+    tree = whole_tree([t for i, t in texts if not held(i)], 5)
+    want = sorted((str(i), len(t), s) for (i, t), s in zip(texts, tree.score([t for _, t in texts])))
+    got = sorted((str(r.id), r.n_bytes, r.score) for r in lm.scores(docs, block_bytes=block_bytes).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-4)
+
+
 def test_language_model_of_nothing(spark):
     assert lm.scores(empty_documents(spark)).count() == 0
 
