@@ -4,8 +4,8 @@ Base: three patterns, leftmost and non-overlapping per kind. The method adds spa
 strings (long runs of key characters that mix letters and digits) are read with a sliding window
 whose Shannon entropy, over the alphabet of the string's character class, is kept by incremental
 counts: one character enters, one leaves. Where a window reaches the class's threshold, the span of
-such windows is a finding, unless an allow-list (UUIDs, placeholders, words joined by signs) suppresses it
-or a base finding covers it.
+such windows is a finding. Base findings and placeholder words are cut out of a string first, and each
+part that remains is judged by itself, unless it is as a whole on the allow-list (UUIDs, words joined by signs).
 
 Offsets are code points, ends exclusive. Nulls: a null text is empty; a null id stays null. Empty
 text: no spans. Repeated rows: one result each. Empty table: empty result. Other columns are ignored.
@@ -30,10 +30,10 @@ CLASSES = [
     (r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdefABCDEF", 3.0),
     (r"^[A-Za-z0-9+/=_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", 3.6),
 ]
-#: Not secrets: UUIDs, placeholders, words or dates joined by signs.
+#: Not secrets: placeholder words, and parts that are UUIDs or words or dates joined by signs.
+PLACEHOLDERS = r"(?i)(?:examples?|samples?|placeholders?|changeme|dummy|xxxx+|0123456789|abcdefgh)"
 ALLOWED = [
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|placeholder|changeme|dummy|xxxx|0123456789|abcdefgh",
     r"^[A-Za-z]*([-_/=+]+([A-Za-z]{2,}|[0-9]{1,4}))*[-_/=+]*$",
 ]
 WINDOW = 20
@@ -112,8 +112,24 @@ def find(docs: DataFrame, text_col: str = "text", base_col: str = "base", spans_
             at = F.when(x["body"].rlike(pattern), window_entropy(x["body"], alphabet, bits)).otherwise(at)
         return F.when(mixed & ~allowed, at)
 
-    free = F.filter("_runs", lambda r: ~F.exists(base_col, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    judged = F.transform(free, lambda r: F.struct(r.alias("r"), verdict(r).alias("v")))
+    def remainder(r: Column) -> Column:
+        """The parts of a run, of a window's length or more, between base findings and placeholder words."""
+        words = F.when(r["body"].rlike(PLACEHOLDERS), _spans(r["body"], PLACEHOLDERS, "entropy")).otherwise(none)
+        words = F.transform(words, lambda w: F.struct((r["start"] + w["start"]).alias("start"), (r["start"] + w["end"]).alias("end")))
+        met = F.filter(base_col, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
+        covers = F.concat(F.transform(met, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))), words)
+        covers = F.concat(F.sort_array(covers), F.array(F.struct(r["end"].alias("start"), r["end"].alias("end"))))
+
+        def step(acc: Column, c: Column) -> Column:
+            part = F.struct(acc["at"].alias("start"), c["start"].alias("end"), F.substring(r["body"], acc["at"] - r["start"] + 1, c["start"] - acc["at"]).alias("body"))
+            out = F.when(c["start"] - acc["at"] >= WINDOW, F.concat(acc["out"], F.array(part))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], c["end"]).alias("at"), out.alias("out"))
+
+        parts = F.array().cast("array<struct<start:int,end:int,body:string>>")
+        return F.aggregate(covers, F.struct(r["start"].alias("at"), parts.alias("out")), step, lambda acc: acc["out"])
+
+    some = some.withColumn("_runs", F.when(F.size("_runs") > 0, F.flatten(F.transform("_runs", remainder))).otherwise(F.array().cast("array<struct<start:int,end:int,body:string>>")))
+    judged = F.transform("_runs", lambda r: F.struct(r.alias("r"), verdict(r).alias("v")))
     high = F.filter(judged, lambda x: x["v"]["first"].isNotNull())
     added = F.transform(high, lambda x: F.struct((x["r"]["start"] + x["v"]["first"]).alias("start"), F.lit(KINDS.index("entropy")).alias("rank"), (x["r"]["start"] + x["v"]["last"]).alias("end"), F.substring(x["r"]["body"], x["v"]["first"] + 1, x["v"]["last"] - x["v"]["first"]).alias("body")))
     spans = F.when(F.size("_runs") > 0, F.sort_array(F.concat(base_col, added))).otherwise(F.col(base_col))
