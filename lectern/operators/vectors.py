@@ -15,7 +15,7 @@ from .retrieval import dot
 
 # Sizes of chunks and of the summary layer.
 CHUNK, OVERLAP = 400, 50
-LEAVES, LEAVES_MOST, MEMBERS, PACK_CHARS = 24, 600, 3, 5000
+LEAVES, MEMBERS, PACK_CHARS = 24, 3, 5000
 ABBREVIATIONS = {"mr", "mrs", "ms", "dr", "prof", "st", "vs", "etc", "e.g", "i.e", "no", "vol", "fig", "jr", "sr"}
 _END = re.compile(r"[.!?]+[\"'”’)\]]*(?=\s|$)|\n+")
 
@@ -110,12 +110,11 @@ def first_sentence(texts: list[str]) -> str:
 def summary_layer(leaves: DataFrame, summarise: Callable[[list[str]], str] = first_sentence, least_leaves: int = LEAVES) -> DataFrame:
     """(cluster, members, summary): clusters of three leaves or more, largest first, each packed up to 5000 characters.
 
-    A tree is built from the first 600 leaves by id, and from none if there are fewer than ``least_leaves``.
+    All leaves take part; no tree is built if there are fewer than ``least_leaves``.
     """
-    first = leaves.orderBy("id").limit(LEAVES_MOST)
-    if first.count() < least_leaves:
+    if leaves.count() < least_leaves:
         return leaves.sparkSession.createDataFrame([], "cluster int, members long, summary string")
-    c = kmeans(first)
+    c = kmeans(leaves)
     order = Window.partitionBy("cluster").orderBy("id")
     spent = F.sum(F.length("text")).over(order)
     packed = c.withColumns({"spent": spent, "place": F.row_number().over(order), "members": F.count("*").over(Window.partitionBy("cluster"))})

@@ -199,3 +199,9 @@ def test_headings_resolve_to_the_heaviest_increasing_chain(spark):
                 best = max(best, sum(weight(titles[n][2], lines[x][2]) for n, x in zip(ns, ls)))
     assert [r[1] for r in got] == sorted(r[1] for r in got) and [r[2] for r in got] == sorted(r[2] for r in got)
     assert sum(weight(titles[r[1]][2], lines[r[2]][2]) for r in got) == best
+
+
+def test_summary_layer_takes_every_leaf(spark):
+    leaves = [(i, [float(i % 7 == k) + 0.01 * (i % 5) for k in range(7)], f"Leaf {i}.") for i in range(700)]
+    got = rows(W.summary_layer(spark.createDataFrame(leaves, "id long, vec array<double>, text string")))
+    assert sum(r[1] for r in got) == 700
