@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +15,13 @@ LOWER = UPPER.lower()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share, as the session names it; a temporary one only where executors are threads of the driver."""
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not told:
-        told = tempfile.mkdtemp(prefix="lectern-")
+    if not told and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    told = told or tempfile.mkdtemp(prefix="lectern-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(told)
     return told
 
@@ -45,6 +49,11 @@ def fold_of(doc_id: Column, k: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(k))
 
 
+def decoded(column: pa.Array) -> Iterator[str]:
+    """Texts one by one: a null is empty, bytes that aren't UTF-8 are U+FFFD."""
+    return ((t.as_py() or b"").decode("utf-8", "replace") for t in column.cast(pa.binary()))
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, whatever else the table holds."""
     return df.select(*[F.col(f"`{n}`") for n in names])

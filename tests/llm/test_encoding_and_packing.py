@@ -1,9 +1,11 @@
+import itertools
 import random
 import zlib
 from array import array
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lectern.llm import encoding, packing, token_counts
@@ -53,6 +55,33 @@ def test_counts_and_cache(spark, whole):
     assert stored.count() == len({r.text or "" for r in docs.collect()}) == stored.select("content_digest").distinct().count()
 
 
+def test_a_full_cache_moves_no_text(spark):
+    docs, path = odd_documents(spark), fresh_path(spark, "cache")
+    token_counts.token_counts(docs, tokenizer_path(), path).collect()
+    keyed = docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("content_digest"), F.col("text").cast("binary").alias("body"))
+    known = spark.read.parquet(path).select("content_digest", "n_tokens")
+    lacking = token_counts.misses(keyed.select("content_digest"), known).cache()
+    assert lacking.count() == 0
+    texts = token_counts.texts_of(keyed.select("content_digest", "body"), lacking, True, 1 << 20)
+    plan = texts._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and texts.count() == 0
+    before = spark.read.parquet(path).count()
+    token_counts.token_counts(docs, tokenizer_path(), path).collect()
+    assert spark.read.parquet(path).count() == before
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_counts_by_broadcast_and_by_shuffle(spark, whole, most):
+    docs, path = odd_documents(spark), fresh_path(spark, "cache")
+    part = docs.where("doc_id in (5, 8) or doc_id is null")
+    for rows in (part, docs):  # nothing known, then some
+        got = token_counts.token_counts(rows, tokenizer_path(), path, most=most)
+        want = sorted(((r.doc_id, len((r.text or "").encode()), len(ids_of(whole, r.text))) for r in rows.collect()), key=str)
+        assert sorted(((r.id, r.n_bytes, r.n_tokens) for r in got.collect()), key=str) == want
+    stored = spark.read.parquet(path)
+    assert stored.count() == stored.select("content_digest").distinct().count()
+
+
 def test_the_cache_is_kept_by_tokenizer(spark):
     docs, path = odd_documents(spark), fresh_path(spark, "cache")
     token_counts.token_counts(docs, tokenizer_path(), path).collect()
@@ -105,6 +134,65 @@ def test_best_fit_and_exchanges_fill_bins():
     assert -(-sum(lengths) // 1024) <= len(better) <= len(bins)
 
 
+def test_two_for_one_looks_at_all_items_of_a_bin():
+    """The pair that fits is the last of a hundred items."""
+    lengths = [1] * 98 + [51, 52, 100, 915]
+    rise = packing.improve([list(range(100)), [100, 101]], lengths, 1024)
+    assert sorted(i for b in rise for i in b) == list(range(102)) and sum(sum(lengths[i] for i in b) == 1024 for b in rise) == 1
+
+
+def fewest(lengths, size):
+    """Bins of the best packing, by trying all."""
+    best = len(lengths)
+    bins: list[int] = []
+
+    def place(k):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(lengths):
+            best = len(bins)
+            return
+        for b in range(len(bins)):
+            if bins[b] + lengths[k] <= size:
+                bins[b] += lengths[k]
+                place(k + 1)
+                bins[b] -= lengths[k]
+        bins.append(lengths[k])
+        place(k + 1)
+        bins.pop()
+
+    place(0)
+    return best
+
+
+def test_small_sets_are_packed_as_by_trying_all():
+    rng = random.Random(11)
+    more = 0
+    for _ in range(150):
+        lengths = [rng.randint(2, 19) for _ in range(rng.randint(1, 9))]
+        found, least = len(packing.improve(packing.best_fit(lengths, 20), lengths, 20)), fewest(sorted(lengths, reverse=True), 20)
+        assert least <= found <= least + 1
+        more += found > least
+    assert more <= 3  # a local search
+
+
+def test_no_step_is_left_when_the_search_ends():
+    rng = random.Random(12)
+    lengths, size = [rng.randint(20, 70) for _ in range(120)], 100
+    bins = packing.improve(packing.best_fit(lengths, size), lengths, size)
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    for g, h in itertools.permutations(range(len(bins)), 2):
+        if fill[g] == size or fill[h] == size:
+            continue
+        moves = [(lengths[i], 0) for i in bins[g]]
+        moves += [(lengths[i], lengths[j]) for i in bins[g] for j in bins[h]]
+        moves += [(lengths[i] + lengths[k], lengths[j]) for i, k in itertools.combinations(bins[g], 2) for j in bins[h]]
+        for out, back in moves:
+            shift = out - back
+            assert shift <= 0 or fill[h] + shift > size or (fill[g] - shift) ** 2 + (fill[h] + shift) ** 2 <= fill[g] ** 2 + fill[h] ** 2
+
+
 def test_exchanges_empty_a_bin():
     lengths = [5, 5, 3, 3, 4]  # by hand: 5+5, 3+3+4
     better = packing.improve([[0, 2], [1, 3], [4]], lengths, 10)
