@@ -132,10 +132,10 @@ def test_long_texts_score_as_a_whole(monkeypatch):
     assert np.allclose(tree.score(texts), want)
 
 
-@pytest.mark.parametrize("hot", [1, 1 << 20])
-def test_base_scores_match_brute_force(spark, hot):
+@pytest.mark.parametrize("split_blocks", [1, 512])
+def test_base_scores_match_brute_force(spark, split_blocks):
     docs = odd_documents(spark)
-    rows = lm.scores(docs, hot_words=hot).collect()
+    rows = lm.scores(docs, split_blocks=split_blocks).collect()
     texts = [(r.doc_id, r.text or "") for r in docs.collect()]
     fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7
     toks = lambda t: [w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", t)] + [None]
@@ -156,8 +156,8 @@ def whole_tree(texts, depth):
     return lm.ContextTree(depth, rows)
 
 
-@pytest.mark.parametrize("block_bytes", [32 << 20, 50_000])
-def test_scores_use_every_context_of_the_training_texts(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "split_blocks"), [(32 << 20, 512), (50_000, 512), (50_000, 2)])
+def test_scores_use_every_context_of_the_training_texts(spark, block_bytes, split_blocks):
     """Contexts that make up far less than 1/32768 of the training bytes are nodes too."""
     rng = random.Random(5)
     rare = [(2000 + k, " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(40))) for k in range(30)]
@@ -166,7 +166,7 @@ def test_scores_use_every_context_of_the_training_texts(spark, block_bytes):
     texts = [(r.doc_id, lm._bytes(pa.array([r.text]).cast(pa.binary()))[0]) for r in docs.collect()]
     tree = whole_tree([t for i, t in texts if not held(i)], 5)
     want = sorted((str(i), len(t), s) for (i, t), s in zip(texts, tree.score([t for _, t in texts])))
-    got = sorted((str(r.id), r.n_bytes, r.score) for r in lm.scores(docs, block_bytes=block_bytes).collect())
+    got = sorted((str(r.id), r.n_bytes, r.score) for r in lm.scores(docs, block_bytes=block_bytes, split_blocks=split_blocks).collect())
     assert [x[:2] for x in got] == [x[:2] for x in want]
     assert np.allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-4)
 
@@ -194,13 +194,13 @@ def brute_top(rows, k=10):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [4096, 2])
-def test_top_k_matches_brute_force(spark, block):
+@pytest.mark.parametrize("cells", [1 << 22, 600])
+def test_top_k_matches_brute_force(spark, cells):
     rng = random.Random(3)
     rows = [(i, [rng.gauss(0, 1) * rng.choice([1, 1, 5]) for _ in range(12)]) for i in range(700)]
     rows += [(1000 + i, [0.5] * 12) for i in range(60)]  # ties
     rows += [(2000, None), (2100, [1.0, None]), (2200, [float("nan")] * 12), (2300, [float("inf")]), (None, [1.0] * 12), (2400, []), (2500, [3.0, -2.0]), (300, [0.1] * 12)]
-    got = topk.top_k(vectors(spark, rows), F.col("vec_id") % 100 == 0, block=block, seeds=16).collect()
+    got = topk.top_k(vectors(spark, rows), F.col("vec_id") % 100 == 0, cells=cells, seeds=16).collect()
     assert sorted(tuple(r) for r in got) == brute_top(rows)
 
 
@@ -210,3 +210,18 @@ def test_top_k_of_huge_components_and_of_nothing(spark):
     assert sorted(tuple(r) for r in got) == brute_top(rows)
     assert topk.top_k(vectors(spark, []), F.col("vec_id") % 100 == 0).count() == 0
     assert topk.top_k(vectors(spark, [(100, [1.0])]), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_search_prunes_and_loses_nothing():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 64))
+    c = np.floor(1024 * (centres[rng.integers(0, 40, 8000)] + 0.1 * rng.normal(size=(8000, 64))) * rng.lognormal(0, 0.5, (8000, 1)))
+    q, ids = c[::100], np.arange(8000)
+    rotation = np.linalg.eigh(c.T @ c)[1][:, ::-1]
+    best = topk.Best(len(q), 10)
+    scored = topk.search(best, ids[::100], q, ids, c, rotation)
+    full = q @ c.T
+    full[np.arange(len(q)), ids[::100]] = -np.inf
+    want = -np.sort(-full, axis=1)[:, :10]
+    assert (best.scores.reshape(-1, 10) == want).all()
+    assert scored < 0.2 * len(q) * len(c)
