@@ -7,24 +7,23 @@ estimate and the product over its children are mixed by halves at all depths, wh
 byte a code length.
 
 Counts cover every training text, and every context seen is a node, so the tree grows with the corpus and
-is neither gathered nor broadcast. Texts are dealt into blocks of bounded size. Each block lists its distinct grams
-(a context of ``depth`` bytes and the next byte) with their training counts, in 256 shards by the two nearest
-context bytes. A shard adds up the lists and works out its nodes of depth 2 and more; the root and the nodes of
-depth 1, 257 at most, are worked out on the driver. Each list then gets its grams' code lengths, and a block is
-scored where its texts and its lists meet. A context without training counts says one half at each place.
-
-Unigram base scores need every word's count. Words that make up at least ``1 / hot_words`` of the
-training tokens are broadcast, as there can be no more than ``hot_words`` of them; the others are joined,
-and none of those has more than that share of the rows.
-
-Nulls: a null text is empty (one end token); a null id counts as empty text for its fold. Repeated
-rows: scored each, counted each. No training texts: every byte costs eight bits, all words are
-unknown. Empty table: empty result. Other columns are ignored.
+is neither gathered nor broadcast. Texts are dealt into blocks of bounded size, kept compressed. Each block lists its
+distinct grams (a context of ``depth`` bytes and the next byte) and words with their training counts, in shards:
+grams by the two nearest context bytes, words by a hash. A shard adds up the lists and works out its nodes of depth 2
+and more; the root and the nodes of depth 1, 257 at most, are worked out on the driver. Each list is then answered
+with its grams' code lengths and its words' counts, in the list's order, which a block knows again from its texts.
+A context without training counts says one half at each place. Shards grow in number with the corpus up to 4096;
+beyond ``split_blocks`` blocks the lists of a shard are added up in steps, and answered in several tasks.
+
+Nulls: a null text is empty (one end token); a null id counts as empty text for its fold. Very long texts: read
+in segments of a megabyte, scored as a whole. Repeated rows (ties): scored each, counted each. No training texts: every byte
+costs eight bits, all words are unknown. Empty table: empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -33,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import fold_of, fresh_path
 
@@ -167,99 +166,134 @@ def _bytes(column) -> list[bytes]:
     return [(t.as_py() or b"").translate(_LOWER) for t in column]
 
 
-def _blocks(block_bytes: int):
-    """Rows with the number of a block: consecutive rows of a task, of about ``block_bytes`` bytes."""
+_CHUNK = 1 << 20
+CHUNKS = "block long, ids array<{kind}>, held array<boolean>, lengths array<long>, body binary"
+
+
+def squeeze(body: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.compress(body, 3)
+
+
+def unsqueeze(body: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.decompress(body) if body else b""
+
+
+def _chunks(block_bytes: int, id_type: pa.DataType):
+    """Rows (id, held, body) as chunks of about a megabyte; a block is consecutive chunks of a task, of about ``block_bytes`` bytes."""
+
+    def chunk(block, rows):
+        ids, held, texts = zip(*rows)
+        lists = [pa.array([list(x)], pa.list_(t)) for x, t in ((ids, id_type), (held, pa.bool_()), ([len(t) for t in texts], pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists, pa.array([squeeze(b"".join(texts))], pa.binary())], ["block", "ids", "held", "lengths", "body"])
 
     def run(batches):
-        base, size, n = TaskContext.get().partitionId() << 32, 0, 0
+        block, filled, rows, size = TaskContext.get().partitionId() << 32, 0, [], 0
         for b in batches:
-            numbers = []
-            for length in pc.binary_length(b.column(b.schema.get_field_index("body"))).to_pylist():
-                if size and size + (length or 0) > block_bytes:
-                    size, n = 0, n + 1
-                size += (length or 0) + 1
-                numbers.append(base + n)
-            yield b.append_column("block", pa.array(numbers, pa.int64()))
+            for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                text = (t.as_py() or b"").translate(_LOWER)
+                if rows and (size + len(text) > _CHUNK or filled + size + len(text) > block_bytes):
+                    yield chunk(block, rows)
+                    filled, rows, size = filled + size, [], 0
+                    if filled + len(text) > block_bytes:
+                        block, filled = block + 1, 0
+                rows.append((i, h, text))
+                size += len(text) + 1
+        if rows:
+            yield chunk(block, rows)
 
     return run
 
 
-def shard_of(grams: np.ndarray) -> np.ndarray:
-    """One of 256 shards by the two nearest context bytes."""
-    return (((grams >> 8) & 0xFFFF) * 40503 >> 8) & 255
+def _texts(lengths: list[int], body: bytes) -> list[bytes]:
+    whole, at, out = unsqueeze(body), 0, []
+    for n in lengths:
+        out.append(whole[at : at + n])
+        at += n
+    return out
+
+
+def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
+    """By the two nearest context bytes."""
+    return (((grams >> 8) & 0xFFFF) * 2654435761 >> 16) % shards
+
+
+def word_shards(words: list[bytes], shards: int) -> dict[int, list[bytes]]:
+    """Words, which ascend, by shard."""
+    out: dict[int, list[bytes]] = {}
+    for w in words:
+        out.setdefault(zlib.crc32(w) % shards, []).append(w)
+    return out
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Longs as eight planes of bytes, which the shuffle's compression makes small."""
-    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Numbers as planes of their bytes, which compress well."""
+    return squeeze(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes())
 
 
-def of_planes(body: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+def of_planes(body: bytes, kind: str = "<i8") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unsqueeze(body), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def pack_grams(codes: np.ndarray) -> bytes:
     """Ascending codes by their differences."""
-    return planes(np.diff(codes, prepend=0))
+    return planes(np.diff(codes, prepend=0).astype("<i8"))
 
 
 def unpack_grams(body: bytes) -> np.ndarray:
     return np.cumsum(of_planes(body))
 
 
-def _count(depth: int):
-    """Counts of training words, and each block's distinct grams with their training counts, summed in the task and passed on when they fill a bounded table."""
+def _summed(grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, at = np.unique(np.concatenate([np.zeros(0, np.int64), *[c for c, _ in grams]]), return_inverse=True)
+    return codes, np.bincount(at, np.concatenate([np.zeros(0), *[n for _, n in grams]]), len(codes)).astype(np.int64)
+
 
-    def summed(grams):
-        codes, at = np.unique(np.concatenate([c for c, _ in grams]), return_inverse=True)
-        return codes, np.bincount(at, np.concatenate([n for _, n in grams]), len(codes)).astype(np.int64)
+LISTS = "block long, shard int, grams binary, counts binary, words binary, tallies binary"
 
-    def of_words(words: Counter):
-        w = len(words)
-        return pa.RecordBatch.from_arrays([pa.array([*words], pa.binary()), pa.array([*words.values()], pa.int64()), pa.nulls(w, pa.int64()), pa.nulls(w, pa.int32()), pa.nulls(w, pa.binary()), pa.nulls(w, pa.binary())], names)
 
-    def of_grams(block, codes, counts):
-        shard = shard_of(codes)
-        order = np.argsort(shard, kind="stable")
-        kinds, first = np.unique(shard[order], return_index=True)
-        lists = np.split(order, first[1:])
-        k = len(kinds)
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(np.full(k, block)), pa.array(kinds, pa.int32()), pa.array([pack_grams(codes[x]) for x in lists], pa.binary()), pa.array([planes(counts[x]) for x in lists], pa.binary())], names)
+def _lists(block, codes: np.ndarray, counts: np.ndarray, words: dict[bytes, int], shards: int) -> pa.RecordBatch:
+    """A row per shard: its grams and words, ascending, with their counts."""
+    shard = shard_of(codes, shards)
+    order = np.argsort(shard, kind="stable")
+    kinds, first = np.unique(shard[order], return_index=True)
+    of_grams = dict(zip(kinds.tolist(), np.split(order, first[1:])))
+    of_words = word_shards(sorted(words), shards)
+    both = sorted(of_grams.keys() | of_words.keys())
+    rows = [[pack_grams(codes[x]), planes(counts[x])] if (x := of_grams.get(k)) is not None else [None, None] for k in both]
+    more = [[squeeze(b" ".join(w)), planes(np.array([words[x] for x in w], "<i8"))] if (w := of_words.get(k)) else [None, None] for k in both]
+    columns = [pa.array(list(c), pa.binary()) for c in zip(*[r + m for r, m in zip(rows, more)])] if both else [pa.array([], pa.binary())] * 4
+    return pa.RecordBatch.from_arrays([pa.array([block] * len(both), pa.int64()), pa.array(both, pa.int32()), *columns], ["block", "shard", "grams", "counts", "words", "tallies"])
 
-    names = ["word", "n", "block", "shard", "grams", "counts"]
+
+def _count(depth: int, shards: int):
+    """Each block's distinct grams and words with their training counts, summed in the task and passed on when they fill a bounded table."""
 
     def run(batches):
         words, grams, now = Counter(), [], None
         for b in batches:
-            texts, held, blocks = _bytes(b.column(0)), b.column(1).to_pylist(), np.array(b.column(2))
-            for t, h in zip(texts, held):
-                if not h:
-                    words.update(t.split())
-            if len(words) > 400_000:
-                yield of_words(words)
-                words = Counter()
-            starts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-            for lo, hi in zip(starts, starts[1:]):
-                if lo == hi:
-                    continue
-                if now is not None and now != blocks[lo]:
-                    yield of_grams(now, *summed(grams))
-                    grams = []
-                now = blocks[lo]
+            for block, held, lengths, body in zip(*(c.to_pylist() for c in b.columns)):
+                if now is not None and (now != block or len(words) > 2_000_000 or (grams and len(grams[0][0]) > 4_000_000)):
+                    yield _lists(now, *_summed(grams), words, shards)
+                    words, grams = Counter(), []
+                now, texts = block, _texts(lengths, body)
                 for unseen in (False, True):
-                    part = [t for t, h in zip(texts[lo:hi], held[lo:hi]) if bool(h) == unseen]
+                    part = [t for t, h in zip(texts, held) if bool(h) == unseen]
+                    for t in part:
+                        if unseen:
+                            words.update(dict.fromkeys(t.split(), 0))
+                        else:
+                            words.update(t.split())
                     for buffer, where, _ in segments(part, depth):
                         codes, n = np.unique(gram_codes(buffer, where, depth), return_counts=True)
                         grams.append((codes, n * (not unseen)))
                         if sum(len(c) for c, _ in grams[1:]) > 2_000_000:
-                            grams = [summed(grams)]
-                if grams and len(grams[0][0]) > 4_000_000:
-                    yield of_grams(now, *summed(grams))
-                    grams = []
-        if words:
-            yield of_words(words)
-        if grams:
-            yield of_grams(now, *summed(grams))
+                            grams = [_summed(grams)]
+        if now is not None:
+            yield _lists(now, *_summed(grams), words, shards)
 
     return run
 
@@ -311,28 +345,43 @@ def below_top(grams: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.nda
     return taken, up, np.bincount(where, below, len(up))
 
 
-def _summed_lists(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Each list of a shard, and all their grams (ascending) with counts; lists are added up a few million grams at a time."""
-    lists = [unpack_grams(x.as_py()) for x in table.column("grams")]
-    codes, counts, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-    for k, x in enumerate(table.column("counts")):
-        held.append((lists[k], of_planes(x.as_py())))
-        size += len(lists[k])
-        if size > 2_000_000 or k + 1 == len(lists):
-            codes, at = np.unique(np.concatenate([codes, *[c for c, _ in held]]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, *[n for _, n in held]]), len(codes)).astype(np.int64)
-            held, size = [], 0
-    return lists, codes, counts
+def _sums(table: pa.Table) -> tuple[np.ndarray, np.ndarray, Counter]:
+    """All grams (ascending) and words of a shard's lists with counts; lists are added up a few million grams at a time."""
+    held, size, words = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0, Counter()
+    for x, n, w, m in zip(*(table.column(c) for c in ("grams", "counts", "words", "tallies"))):
+        if x.is_valid:
+            held.append((unpack_grams(x.as_py()), of_planes(n.as_py())))
+            size += len(held[-1][0])
+        if size > 2_000_000:
+            held, size = [_summed(held)], 0
+        if w.is_valid:
+            words.update(dict(zip(unsqueeze(w.as_py()).split(), of_planes(m.as_py()).tolist())))
+    return *_summed(held), words
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """A shard's lists as one."""
+    codes, counts, words = _sums(table)
+    kinds = sorted(words)
+    row = {"block": [None], "shard": table.column("shard")[:1].to_pylist(), "grams": [pack_grams(codes)], "counts": [planes(counts)], "words": [squeeze(b" ".join(kinds))], "tallies": [planes(np.array([words[w] for w in kinds], "<i8"))]}
+    types = {"block": pa.int64(), "shard": pa.int32()}
+    return pa.table({c: pa.array(v, types.get(c, pa.binary())) for c, v in row.items()})
+
+
+UPWARD = "key long, n long, below double, tokens long, kinds long"
 
 
 def _upward(depth: int):
     def run(table: pa.Table) -> pa.Table:
-        """(key, n, below): what the top needs of a shard, by depth-1 context and byte (n) or place (below)."""
-        _, codes, counts = _summed_lists(table)
+        """What the top needs of a shard, by depth-1 context and byte (n) or place (below), and a row of word totals."""
+        codes, counts, words = _sums(table)
         _, up, below = below_top(codes, counts, depth)
         pair, at = np.unique(codes & 0xFFFF, return_inverse=True)
         n = np.bincount(at, counts, len(pair)).astype(np.int64)
-        return pa.table({"key": np.concatenate([pair, up]), "n": pa.concat_arrays([pa.array(n), pa.nulls(len(up), pa.int64())]), "below": pa.concat_arrays([pa.nulls(len(pair), pa.float64()), pa.array(below)])})
+        rows = [(k, x, None, None, None) for k, x in zip(pair.tolist(), n.tolist())] + [(k, None, x, None, None) for k, x in zip(up.tolist(), below.tolist())]
+        rows.append((None, None, None, sum(words.values()), sum(x > 0 for x in words.values())))
+        types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], ["key", "n", "below", "tokens", "kinds"])
 
     return run
 
@@ -366,97 +415,136 @@ def gram_costs(grams: np.ndarray, taken: np.ndarray, top: tuple[np.ndarray, np.n
     return np.log10(np.clip(p, 1e-12, 1 - 1e-12)).sum(0)
 
 
-def block_scores(texts: list[bytes], grams: np.ndarray, costs: np.ndarray, depth: int) -> np.ndarray:
-    """log10 probability of each text and its end, from the costs of all their grams (ascending)."""
-    total = np.zeros(len(texts))
-    for buffer, where, owner in segments(texts, depth):
-        cost = costs[np.searchsorted(grams, gram_codes(buffer, where, depth))]
-        lengths = np.array([b - a for a, b in where])
+ANSWERS = "block long, shard int, costs binary, tallies binary"
+
+
+def _answers(lists: pa.Table, codes: np.ndarray, costs: np.ndarray, words: dict[bytes, int]) -> pa.Table:
+    """For each block of a shard's lists the costs of its grams and the counts of its words, in ascending order of these."""
+    by_block: dict[int, list[int]] = {}
+    for k, block in enumerate(lists.column("block").to_pylist()):
+        by_block.setdefault(block, []).append(k)
+    out = []
+    grams, kinds = lists.column("grams"), lists.column("words")
+    for block, rows in by_block.items():
+        mine = np.unique(np.concatenate([np.zeros(0, np.int64), *[unpack_grams(grams[k].as_py()) for k in rows if grams[k].is_valid]]))
+        own = sorted({w for k in rows if kinds[k].is_valid for w in unsqueeze(kinds[k].as_py()).split()})
+        out.append((block, planes(costs[np.searchsorted(codes, mine)]), planes(np.array([words[w] for w in own], "<i8"))))
+    shard = lists.column("shard")[0].as_py() if out else 0
+    return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([shard] * len(out), pa.int32()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], ["block", "shard", "costs", "tallies"])
+
+
+def block_scores(chunks: list[list[bytes]], answers: dict[int, tuple[np.ndarray, np.ndarray]], depth: int, shards: int) -> tuple[list[np.ndarray], dict[bytes, int]]:
+    """(log10 probability of each text and its end, by chunk; training counts of the words of all) of a whole block."""
+    met, grams = [], [np.zeros(0, np.int64)]
+    for texts in chunks:
+        for buffer, where, owner in segments(texts, depth):
+            codes, at = np.unique(gram_codes(buffer, where, depth), return_inverse=True)
+            lengths = np.array([b - a for a, b in where])
+            met.append((codes, at.astype(np.int32).ravel(), lengths, owner))
+            grams.append(codes)
+            if sum(map(len, grams[1:])) > 2_000_000:
+                grams = [np.unique(np.concatenate(grams))]
+        met.append(None)
+    codes = np.unique(np.concatenate(grams))
+    shard = shard_of(codes, shards)
+    costs = np.zeros(len(codes))
+    words: dict[bytes, int] = {}
+    of_words = word_shards(sorted({w for texts in chunks for t in texts for w in t.split()}), shards)
+    order = np.argsort(shard, kind="stable")
+    kinds, first = np.unique(shard[order], return_index=True)
+    for k, rows in zip(kinds.tolist(), np.split(order, first[1:])):
+        costs[rows] = answers[k][0]
+    for k, own in of_words.items():
+        words.update(zip(own, answers[k][1].tolist()))
+    out, total, chunk = [], np.zeros(len(chunks[0]) if chunks else 0), 0
+    for part in met:
+        if part is None:
+            out.append(total)
+            chunk += 1
+            total = np.zeros(len(chunks[chunk]) if chunk < len(chunks) else 0)
+            continue
+        own, at, lengths, owner = part
+        cost = costs[np.searchsorted(codes, own)][at]
         np.add.at(total, owner, np.add.reduceat(cost, np.cumsum(lengths) - lengths))
-    return total
+    return out, words
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, depth: int = 5, hot_words: int = 1 << 20, block_bytes: int = 32 << 20) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, depth: int = 5, block_bytes: int = 16 << 20, shard_bytes: int = 2 << 20, split_blocks: int = 512) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     spark = docs.sparkSession
     if not 2 <= depth <= 6:
         raise ValueError("depth must be from 2 to 6")
+    field = docs.schema[id_col]
+    kind = field.dataType.simpleString()
     body = F.col(f"`{text_col}`").cast("binary")
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), body.alias("body"), F.xxhash64(body).alias("mark"))
-    held = fold_of(F.col("id"), folds) == held_fold
+    held = fold_of(F.col(f"`{id_col}`"), folds) == held_fold
     path = fresh_path(spark, "language-model-texts")
-    texts.mapInArrow(_blocks(block_bytes), T.StructType([*texts.schema.fields, T.StructField("block", T.LongType())])).write.parquet(path)
-    texts = spark.read.parquet(path)
-    path = fresh_path(spark, "language-model")
-    schema = "word binary, n long, block long, shard int, grams binary, counts binary"
-    texts.select("body", held.alias("held"), "block").mapInArrow(_count(depth), schema).write.parquet(path)
-    counted = spark.read.schema(schema).parquet(path)
-    path = fresh_path(spark, "language-model-words")
-    counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(path)
-    words = spark.read.schema("word binary, n long").parquet(path)
-    lists = counted.where("grams is not null").select("block", "shard", "grams", "counts").groupBy("shard")
-    upward = lists.applyInArrow(_upward(depth), "key long, n long, below double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("below").alias("below"))
-    key, n, below = (upward.toArrow().column(c).to_numpy() for c in ("key", "n", "below"))  # 65,536 keys at most
-    top = top_tree(key, np.nan_to_num(n), key, np.nan_to_num(below))
-    ends = texts.where(~held).count()
-    total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    train_tokens, kinds = (total.n or 0) + ends, total.v + (ends > 0)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), held.alias("held"), body.alias("body"))
+    rows.mapInArrow(_chunks(block_bytes, to_arrow_type(field.dataType)), CHUNKS.format(kind=kind)).write.parquet(path)
+    chunks = spark.read.schema(CHUNKS.format(kind=kind)).parquet(path)
+    sizes = chunks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("bytes"), F.sum(F.size(F.filter("held", lambda x: ~x))).alias("ends"), F.count_distinct("block").alias("blocks")).first()
+    ends, shards = sizes.ends or 0, min(4096, max(64, (sizes.bytes or 0) // shard_bytes))
+    splits = max(1, -(-sizes.blocks // split_blocks))
+    path = fresh_path(spark, "language-model-lists")
+    chunks.select("block", "held", "lengths", "body").mapInArrow(_count(depth, shards), LISTS).write.parquet(path)
+    lists = spark.read.schema(LISTS).parquet(path).withColumn("split", F.pmod(F.xxhash64("block"), F.lit(splits)).cast("int"))
+    sums = lists
+    if splits > 1:  # lists are added up a part at a time
+        path = fresh_path(spark, "language-model-sums")
+        lists.groupBy("shard", "split").applyInArrow(_merge, LISTS).write.parquet(path)
+        sums = spark.read.schema(LISTS).parquet(path)
+    upward = sums.groupBy("shard").applyInArrow(_upward(depth), UPWARD)
+    upward = upward.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "below", "tokens", "kinds")]).toArrow()  # 65,536 keys and a row of totals
+    totals = upward.filter(pc.is_null(upward.column("key")))
+    upward = upward.filter(pc.is_valid(upward.column("key")))
+    key, n, below = (upward.column(c).to_numpy() for c in ("key", "n", "below"))
+    tokens, known_kinds = (pc.sum(totals.column(c)).as_py() or 0 for c in ("tokens", "kinds"))
+    train_tokens, kinds = tokens + ends, known_kinds + (ends > 0)
     floor = math.log10(train_tokens + kinds + 1)
-    is_hot = (F.col("n") * hot_words >= train_tokens) & (F.length("word") <= 64)
-    hot = {r["word"]: r["n"] for r in words.where(is_hot).toArrow().to_pylist()}
-    shared = spark.sparkContext.broadcast((top, {w: math.log10(n + 1) for w, n in hot.items()}))
     end_cost = math.log10(ends + 1) - floor
-
-    def cost(table):
-        lists, codes, counts = _summed_lists(table)
-        costs = gram_costs(codes, below_top(codes, counts, depth)[0], shared.value[0]).astype("<f4")
-        return pa.table({"block": table.column("block"), "grams": table.column("grams"), "costs": pa.array([costs[np.searchsorted(codes, x)].tobytes() for x in lists], pa.binary())})
-
-    def score(rows, told):
-        logs = shared.value[1]
-        codes, order = np.unique(np.concatenate([unpack_grams(x.as_py()) for x in told.column("grams")]), return_index=True)
-        costs = np.concatenate([np.frombuffer(x.as_py(), "<f4") for x in told.column("costs")])[order].astype(np.float64)
-        lower = _bytes(rows.column("body"))
-        tokens, known, base = [], [], []
-        for t in lower:
+    shared = spark.sparkContext.broadcast(top_tree(key, np.nan_to_num(n), key, np.nan_to_num(below)))
+
+    def costs_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, Counter]:
+        codes, counts, words = _sums(table)
+        return codes, gram_costs(codes, below_top(codes, counts, depth)[0], shared.value).astype("<f4"), words
+
+    def answer(table: pa.Table) -> pa.Table:
+        return _answers(table, *costs_of(table))
+
+    def tabled(table: pa.Table) -> pa.Table:
+        codes, costs, words = costs_of(table)
+        own = sorted(words)
+        return pa.table([table.column("shard")[:1].cast(pa.int32()), *[pa.array([x], pa.binary()) for x in (pack_grams(codes), planes(costs), squeeze(b" ".join(own)), planes(np.array([words[w] for w in own], "<i8")))]], ["shard", "grams", "costs", "words", "tallies"])
+
+    def look_up(table: pa.Table, told: pa.Table) -> pa.Table:
+        grams, costs, words, tallies = (told.column(c)[0].as_py() for c in ("grams", "costs", "words", "tallies"))
+        return _answers(table, unpack_grams(grams), of_planes(costs, "<f4"), dict(zip(unsqueeze(words).split(), of_planes(tallies).tolist())))
+
+    if splits == 1:
+        told = lists.drop("split").groupBy("shard").applyInArrow(answer, ANSWERS)
+    else:
+        path = fresh_path(spark, "language-model-costs")
+        schema = "shard int, grams binary, costs binary, words binary, tallies binary"
+        sums.groupBy("shard").applyInArrow(tabled, schema).write.parquet(path)
+        table = spark.read.schema(schema).parquet(path).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+        told = lists.groupBy("shard", "split").cogroup(table.groupBy("shard", "split")).applyInArrow(look_up, ANSWERS)
+
+    def score(rows: pa.Table, told: pa.Table) -> pa.Table:
+        answers = {k: (of_planes(c, "<f4"), of_planes(m)) for k, c, m in zip(*(told.column(c).to_pylist() for c in ("shard", "costs", "tallies")))}
+        texts = [_texts(n, x) for n, x in zip(rows.column("lengths").to_pylist(), rows.column("body").to_pylist())]
+        totals, words = block_scores(texts, answers, depth, shards)
+        logs = {w: math.log10(n + 1) for w, n in words.items() if n}
+        out = [[], [], [], []]
+        for t in (t for part in texts for t in part):
             seen = [logs.get(w) for w in t.split()]
             found = [x for x in seen if x is not None]
-            tokens.append(len(seen) + 1)
-            known.append(len(found) + (ends > 0))
-            base.append(math.fsum(found) - floor * len(seen) + end_cost)
-        return pa.table({"id": rows.column("id"), "mark": rows.column("mark"), "n_bytes": pa.array([len(t) for t in lower], pa.int64()), "n_tokens": pa.array(tokens, pa.int64()), "known": pa.array(known, pa.int64()), "base": pa.array(base, pa.float64()), "score": pa.array(block_scores(lower, codes, costs, depth))})
-
-    def rare(batches):
-        """Words outside the broadcast ones, with a row per text that counts its copies."""
-        logs = shared.value[1]
-        for b in batches:
-            ids, marks, words, counts = [], [], [], []
-            for i, m, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), _bytes(b.column(1))):
-                seen = Counter(w for w in t.split() if w not in logs)
-                if seen:
-                    words += [*seen, b" " + m.to_bytes(8, "big", signed=True)]  # no word begins with a space
-                    counts += [*seen.values(), 1]
-                    ids += [i] * (len(seen) + 1)
-                    marks += [m] * (len(seen) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(marks, pa.int64()), pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["id", "mark", "word", "tf"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    told = lists.applyInArrow(cost, "block long, grams binary, costs binary")
-    scored = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, f"id {kind}, mark long, n_bytes long, n_tokens long, known long, base double, score double")
-    cold = texts.select("id", "body", "mark").mapInArrow(rare, f"id {kind}, mark long, word binary, tf long").join(words.where(~is_hot), "word", "left")
-    copy = F.startswith("word", F.lit(b" "))
-    found = F.col("n").isNotNull()
-    per = cold.groupBy("id", "mark").agg(
-        F.sum(F.when(copy, F.col("tf")).otherwise(0)).alias("copies"),
-        F.sum(F.when(found, F.col("tf")).otherwise(0)).alias("more_known"),
-        F.sum(F.when(found, F.col("tf") * F.log10(F.col("n") + 1)).otherwise(0.0)).alias("more_base"),
-    )
-    s = scored.alias("s")
-    per = per.select(F.col("id").alias("p_id"), F.col("mark").alias("p_mark"), (F.col("more_known") / F.col("copies")).cast("long").alias("more_known"), (F.col("more_base") / F.col("copies")).alias("more_base"))
-    joined = s.join(per, F.col("s.id").eqNullSafe(F.col("p_id")) & F.col("s.mark").eqNullSafe(F.col("p_mark")), "left")
-    return joined.select(
-        "id", (fold_of(F.col("id"), folds) == held_fold).alias("held_out"), "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score", "n_bytes",
+            for column, v in zip(out, (len(t), len(seen) + 1, len(found) + (ends > 0), math.fsum(found) - floor * len(seen) + end_cost)):
+                column.append(v)
+        ids = rows.column("ids").combine_chunks().flatten()
+        return pa.table([ids, *[pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], pa.array(np.concatenate([np.zeros(0), *totals]))], ["id", "n_bytes", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = chunks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, f"id {kind}, n_bytes long, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(
+        "id", (fold_of(F.col("id"), folds) == held_fold).alias("held_out"), "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes",
         (-F.col("score") / math.log10(2) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
