@@ -54,6 +54,9 @@ def decoded(column: pa.Array) -> Iterator[str]:
     return ((t.as_py() or b"").decode("utf-8", "replace") for t in column.cast(pa.binary()))
 
 
-def own_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, whatever else the table holds."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def fresh_name(name: str, taken: list[str]) -> str:
+    """The name, with signs added while a column has it (names are compared without case)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name

@@ -8,7 +8,10 @@ such windows is a finding. Base findings and placeholder words are cut out of a
 part that remains is judged by itself, unless it is as a whole on the allow-list (UUIDs, words joined by signs).
 
 Offsets are code points, ends exclusive. Nulls: a null text is empty; a null id stays null. Empty
-text: no spans. Repeated rows: one result each. Empty table: empty result. Other columns are ignored.
+text: no spans. Very long texts: read whole, in one row; the work grows with their length, and with the number of
+matches times its square root. Ties: spans that start alike are ordered by kind, then end. Repeated rows: one result
+each. Empty table: empty result. Other columns stay as they are, whatever their names; only one named like an
+output column is replaced by it.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_name
+
 #: The base patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -39,19 +44,32 @@ ALLOWED = [
 WINDOW = 20
 
 
-def _spans(text: Column, pattern: str, kind: str, value_group: int | None = None, least: int = 0) -> Column:
-    """Array of (start, kind, end, body) of the pattern's matches, from the pieces between them."""
-    matched = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    sized = F.zip_with(F.slice(pieces, F.lit(1), F.size(matched)), matched, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("body")))
-    empty = F.array().cast("array<struct<start:int,end:int,body:string>>")
+def _placed(sized: Column) -> Column:
+    """Array of (start, end, body) from gaps and bodies in order; in about the square root of their number of pieces, so that none is long to append to."""
+    found = "struct<start:int,end:int,body:string>"
+    width = F.ceil(F.sqrt(F.size(sized))).cast("int")
+    chunks = F.when(F.size(sized) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(sized) - 1) / width).cast("int")), lambda c: F.slice(sized, c * width + 1, width)))
+    long = lambda x: x["gap"] + F.length(x["body"])
+    sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + long(x)))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = F.aggregate(sums, begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        end = start + F.length(x["body"])
+        end = acc["at"] + long(x)
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["body"].alias("body")))).alias("out"))
 
-    found = F.aggregate(sized, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    empty = F.array().cast(f"array<{found}>")
+    spans = F.zip_with(chunks, starts, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc["out"]))
+    return F.coalesce(F.flatten(spans), empty)
+
+
+def _spans(text: Column, pattern: str, kind: str, value_group: int | None = None, least: int = 0) -> Column:
+    """Array of (start, kind, end, body) of the pattern's matches, from the pieces between them."""
+    matched = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.split(text, pattern, -1)
+    sized = F.zip_with(F.slice(pieces, F.lit(1), F.size(matched)), matched, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("body")))
+    found = F.get(F.transform(F.array(sized), _placed), 0)  # bound once, as it is used many times
     if value_group is not None:
         values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
         pairs = F.filter(F.arrays_zip(found.alias("span"), values.alias("value")), lambda x: F.length(x["value"]) >= least)
@@ -93,13 +111,14 @@ def find(docs: DataFrame, text_col: str = "text", base_col: str = "base", spans_
     """
     none = F.array().cast("array<struct<start:int,rank:int,end:int,body:string>>")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    n_assign, n_access, n_hex, n_runs = (fresh_name(n, [*docs.columns, base_col, spans_col]) for n in ("_assign", "_access", "_hex", "_runs"))
     some = docs.withColumns({
-        "_assign": F.when(text.rlike(ASSIGN), _spans(text, ASSIGN, "assign", 2, 8)).otherwise(none),
-        "_access": F.when(F.contains(text, F.lit("AKIA")), _spans(text, ACCESS, "access", None, 16)).otherwise(none),
-        "_hex": F.when(text.rlike(r"[0-9a-f]{32}"), _spans(text, HEX, "hex")).otherwise(none),
-        "_runs": F.when(text.rlike(r"[A-Za-z0-9+/=_-]{20}"), _spans(text, CANDIDATE, "entropy")).otherwise(none),
+        n_assign: F.when(text.rlike(ASSIGN), _spans(text, ASSIGN, "assign", 2, 8)).otherwise(none),
+        n_access: F.when(F.contains(text, F.lit("AKIA")), _spans(text, ACCESS, "access", None, 16)).otherwise(none),
+        n_hex: F.when(text.rlike(r"[0-9a-f]{32}"), _spans(text, HEX, "hex")).otherwise(none),
+        n_runs: F.when(text.rlike(r"[A-Za-z0-9+/=_-]{20}"), _spans(text, CANDIDATE, "entropy")).otherwise(none),
     })
-    base = F.sort_array(F.concat("_assign", "_access", "_hex"))
+    base = F.sort_array(F.concat(n_assign, n_access, n_hex))
     some = some.withColumn(base_col, base)
 
     def verdict(x: Column) -> Column:
@@ -128,12 +147,12 @@ def find(docs: DataFrame, text_col: str = "text", base_col: str = "base", spans_
         parts = F.array().cast("array<struct<start:int,end:int,body:string>>")
         return F.aggregate(covers, F.struct(r["start"].alias("at"), parts.alias("out")), step, lambda acc: acc["out"])
 
-    some = some.withColumn("_runs", F.when(F.size("_runs") > 0, F.flatten(F.transform("_runs", remainder))).otherwise(F.array().cast("array<struct<start:int,end:int,body:string>>")))
-    judged = F.transform("_runs", lambda r: F.struct(r.alias("r"), verdict(r).alias("v")))
+    some = some.withColumn(n_runs, F.when(F.size(n_runs) > 0, F.flatten(F.transform(n_runs, remainder))).otherwise(F.array().cast("array<struct<start:int,end:int,body:string>>")))
+    judged = F.transform(n_runs, lambda r: F.struct(r.alias("r"), verdict(r).alias("v")))
     high = F.filter(judged, lambda x: x["v"]["first"].isNotNull())
     added = F.transform(high, lambda x: F.struct((x["r"]["start"] + x["v"]["first"]).alias("start"), F.lit(KINDS.index("entropy")).alias("rank"), (x["r"]["start"] + x["v"]["last"]).alias("end"), F.substring(x["r"]["body"], x["v"]["first"] + 1, x["v"]["last"] - x["v"]["first"]).alias("body")))
-    spans = F.when(F.size("_runs") > 0, F.sort_array(F.concat(base_col, added))).otherwise(F.col(base_col))
-    return some.withColumn(spans_col, spans).drop("_assign", "_access", "_hex", "_runs")
+    spans = F.when(F.size(n_runs) > 0, F.sort_array(F.concat(base_col, added))).otherwise(F.col(base_col))
+    return some.withColumn(spans_col, spans).drop(n_assign, n_access, n_hex, n_runs)
 
 
 def told(spans: Column) -> Column:
@@ -151,6 +170,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") ->
         more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0))), F.when(x["start"] >= acc["at"], mark).otherwise(""))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), more.alias("out"))
 
-    done = F.aggregate("_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    found = find(docs, text_col, "_base", "_spans")
-    return found.withColumn(text_col, F.when(F.size("_spans") > 0, done).otherwise(text)).drop("_base", "_spans")
+    base, spans = (fresh_name(n, docs.columns) for n in ("_base", "_spans"))
+    done = F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    found = find(docs, text_col, base, spans)
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(text)).drop(base, spans)

@@ -69,7 +69,7 @@ def test_bk_tree_finds_all_within_radius():
 def test_bk_tree_children_lie_at_their_edge_distance():
     codes = np.array(near_codes(random.Random(9)), dtype=np.uint64)
     t = simhash.BKTree(codes)
-    parent, edge = t.slots // 65, t.slots % 65
+    parent, edge = t.slots // t.span, t.slots % t.span
     assert (np.bitwise_count(codes[parent] ^ codes[t.kids]) == edge).all()
     assert len(set(t.slots.tolist())) == len(t.slots) == len(codes) - 1
 
@@ -78,8 +78,8 @@ def test_links_join_up_the_same_components_when_shards_are_split(spark):
     codes = near_codes(random.Random(4), families=6, size=60)
     df = spark.createDataFrame([(signed(c),) for c in codes], "fp long")
     want = brute_components(codes)
-    for tree_rows in (8, 4096):
-        roots = {r.u: r.v for r in components.components(simhash.links(df, 2, tree_rows)).collect()}
+    for tree_rows, steps in ((8, 1), (8, 3), (4096, 3)):
+        roots = {r.u: r.v for r in components.components(simhash.links(df, 2, tree_rows, steps)).collect()}
         got = {c: roots.get(signed(c), signed(c)) for c in codes}
         groups = lambda of: sorted(sorted(c for c in codes if of[c] == k) for k in set(of.values()))
         assert groups(got) == groups(want)
@@ -114,3 +114,70 @@ def test_keep_one_keeps_the_smallest_id_of_each_component(spark):
 def test_empty_table(spark):
     assert simhash.near_duplicates(empty_documents(spark)).count() == 0
     assert simhash.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def jaccard(a, b, k=5):
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def edited(rng, words, changes):
+    w = list(words)
+    for i in rng.sample(range(len(w)), changes):
+        w[i] = f"edit{rng.random():.9f}"
+    return " ".join(w)
+
+
+def test_a_forest_keeps_groups_apart():
+    codes = np.array(near_codes(random.Random(3)), dtype=np.uint64)
+    both = np.concatenate((codes, codes))
+    group = np.repeat([5, 9], len(codes))
+    tree = simhash.BKTree(both, group)
+    q, n = tree.within(both, 2, tree.root)
+    d = np.bitwise_count(both[:, None] ^ both[None, :])
+    assert set(zip(q.tolist(), n.tolist())) == {(int(a), int(b)) for a, b in zip(*np.nonzero((d <= 2) & (group[:, None] == group)))}
+
+
+def test_wide_fingerprints_differ_by_the_angle():
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(900)}" for _ in range(400)]
+    for changes in (0, 5, 12, 60):
+        other = edited(rng, words, changes)
+        j = jaccard(" ".join(words), other)
+        (a, x), (b, y) = simhash.wide_fingerprint(" ".join(words).encode()), simhash.wide_fingerprint(other.encode())
+        apart = int(np.bitwise_count(np.frombuffer(a, np.uint64) ^ np.frombuffer(b, np.uint64)).sum())
+        want = 512 * np.arccos(min(1.0, 2 * j / (1 + j))) / np.pi
+        assert abs(apart - want) <= 4 * np.sqrt(want) + 1e-9
+        assert j < 0.8 or set(zip(range(7), x)) & set(zip(range(7), y))
+
+
+def test_keep_one_drops_edited_copies_and_leaves_others(spark):
+    rng = random.Random(6)
+    rows, families = [], {}
+    for f in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 300))]
+        passage = [f"common{i}" for i in range(20)]
+        base = " ".join(words + passage)
+        families[100 * f] = [base]
+        rows.append((100 * f, base))
+        for c in range(1, 4):  # up to one word in sixty changed: similarity of about 0.85 and more
+            t = edited(rng, base.split(), max(1, len(words) // 60))
+            assert jaccard(base, t) >= 0.8
+            rows.append((100 * f + c, t))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, "kept") for i, t in rows], "doc_id long, text string, _simhash string")
+    for tree_rows in (4096, 3):
+        kept = simhash.keep_one(docs, tree_rows=tree_rows)
+        assert kept.columns == docs.columns
+        ids = {r.doc_id for r in kept.collect()}
+        assert {100 * f for f in range(40)} <= ids and len(ids) <= 42
+
+
+def test_one_large_group_of_near_copies(spark):
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(900)}" for _ in range(200)]
+    docs = spark.createDataFrame([(i, edited(rng, words, 1)) for i in range(300)], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.keep_one(docs, tree_rows=64).collect()] == [0]
