@@ -9,8 +9,9 @@ rest are verified word by word. Documents are neither shuffled nor copied by the
 are broadcast in blocks of bounded size, and each document row carries its own words.
 
 Nulls: a null text has no words; a null item id marks words but counts as no item; a null doc id
-stays null. Repeated rows: one result each. Empty tables: documents without hits, or no rows. Very
-short items: windows of one or two words. Other columns are ignored.
+stays null. Repeated rows and ties: one result each. Empty tables: documents without hits, or no rows. Very
+short items: windows of one or two words. Very long texts: read whole, in one row. Other columns are ignored by
+``contamination`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh_path
 from .words import gram, rolling_grams, words
 
 #: Windows broadcast at a time.
@@ -46,6 +47,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int =
     sizes = sorted(r.k for r in grams.select("k").distinct().collect()) or [shingle]
     texts = docs.select(F.monotonically_increasing_id().alias("uid"), *keys, words(F.col("text")).alias("words"))
     blocks = max(1, -(-grams.select("item_id", "win").distinct().count() // BLOCK_WINDOWS))
+    if blocks > 1:  # rows are numbered once, whatever the table comes from
+        path = fresh_path(docs.sparkSession, "decontamination")
+        texts.write.parquet(path)
+        texts = docs.sparkSession.read.parquet(path)
 
     def block(df: DataFrame, b: int) -> DataFrame:
         return df if blocks == 1 else df.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == b)

@@ -3,10 +3,12 @@
 Rolling word k-gram hashes of the documents are joined to their positions in license templates.
 Each match votes for the diagonal (place in the document less place in the template); votes are
 summed by diagonal, neighbouring diagonals (words put in or left out) are merged, and a merged span
-is a license if enough of the template's k-grams agree. Matches are checked word by word, so a
+is verified: it is a license if enough of the template's k-grams stand in it, each counted once, however often the
+text repeats it. Matches are checked word by word, so a
 hash never decides. Short phrases are templates of their own, which must agree in full.
 
-Nulls: a null text is empty; a null id stays null. No words: no places, score 0. Repeated rows: one
+Nulls: a null text is empty; a null id stays null. No words: no places, score 0. Very long texts: read whole; a row's
+matches are what grows. Ties: labels are sorted; of equal scores there is but one number. Repeated rows: one
 result each. Empty table: empty result. Other columns are ignored.
 """
 
@@ -80,13 +82,13 @@ def scan(docs: DataFrame, least_share: float = 0.6, gap: int = 3) -> DataFrame:
     """
     rows = votes(docs).withColumn("diagonal", F.col("pos") - F.col("tpos"))
     keys = ["uid", "doc_id", "n_words", "template", "label", "phrase", "grams"]
-    summed = rows.groupBy(*keys, "diagonal").agg(F.count("pos").alias("votes"))
+    summed = rows.groupBy(*keys, "diagonal").agg(F.collect_set("tpos").alias("at"))  # places of a template, which are few
     # phrases are exact: their diagonals are not merged
     line = Window.partitionBy("uid", "template").orderBy("diagonal")
     new = F.col("phrase") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(line) > gap, F.lit(True))
     runs = summed.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(line))
-    spans = runs.groupBy(*keys, "run").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("start"))
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
+    spans = runs.groupBy(*keys, "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("met"), F.min("diagonal").alias("start"))
+    share = F.col("met") / F.col("grams")
     base = F.col("phrase") & (share == 1.0)
     found = base | (~F.col("phrase") & (share >= least_share))
     per = spans.groupBy("uid", "doc_id", "n_words").agg(
