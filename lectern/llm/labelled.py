@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import decoded, fold_of
 
 
 def sampled_features(docs: DataFrame, labels: DataFrame, label: str, featurise: Callable, value_type: str, sample_rows: int, folds: int = 5, held_fold: int = 0):
@@ -25,7 +25,7 @@ def sampled_features(docs: DataFrame, labels: DataFrame, label: str, featurise:
 
     def run(batches):
         for b in batches:
-            out = [featurise(t.as_py() or "") for t in b.column(2)]
+            out = [featurise(t) for t in decoded(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32() if value_type == "int" else pa.float64()))], ["doc_id", "label", "x"])
 
     rows = texts.select("doc_id", "label", "text").mapInArrow(run, f"doc_id long, label int, x array<{value_type}>")

@@ -5,8 +5,9 @@ Each text gets a few surface features (lengths, repeats, symbols, case). From pr
 differences. A document's worth is the weighted sum; the cut is the quantile of the sample's
 worths at the share of bad labels. Worths map to scores so that the cut lies at 0.3.
 
-Nulls: a null text is empty; a null id or label never trains. Empty text: features are zero.
-Repeated rows: scored each, trained on once. No labels, or one class: every score is the smoothed
+Nulls: a null text is empty; a null id or label never trains. Bytes that aren't UTF-8 are read as U+FFFD. Empty text:
+features are zero. Very long texts: features of the whole. Ties: texts with the same features score alike, and a score
+of just 0.3 is good. Repeated rows: scored each, trained on once (with the larger label). No labels, or one class: every score is the smoothed
 base rate. Empty table: empty result. Other columns are ignored.
 """
 
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import decoded
 from .labelled import sampled_features
 
 #: Classes of ASCII bytes.
@@ -97,7 +99,7 @@ def score_table(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) ->
 
     def run(batches):
         for b in batches:
-            x = np.array([features(t.as_py() or "") for t in b.column(1)]).reshape(-1, len(NAMES))
+            x = np.array([features(t) for t in decoded(b.column(1))]).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, score double")

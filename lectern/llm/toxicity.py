@@ -6,8 +6,10 @@ sample of labelled rows get a linear weight and a latent vector; the score is th
 bias + weights + pairwise inner products of the terms present, so that a pair of terms (an insult
 with a group's name) can count where neither does alone.
 
-Nulls: a null text is empty; a null id or label never trains. Empty text: scored by the bias.
-Repeated rows: scored each, trained on once. No labels, or one class: every score is the smoothed
+Nulls: a null text is empty; a null id or label never trains. Bytes that aren't UTF-8 are read as U+FFFD. Empty text:
+scored by the bias. Very long texts: scored whole; a term counts once, however often it occurs. Ties: a score of just 0.5
+is toxic; of buckets that tell the classes apart alike, the smaller are kept. Repeated rows: scored each, trained on once
+(with the larger label). No labels, or one class: every score is the smoothed
 base rate. Empty table: empty result. Other columns are ignored.
 """
 
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import decoded
 from .labelled import sampled_features
 
 BUCKETS = 1 << 20
@@ -132,14 +135,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``docs`` with a column of scores from 0 to 1."""
+    """``docs`` with a column of scores from 0 to 1, in place of one of that name."""
+    docs = docs.drop(out_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         terms = _Terms({int(b): k for k, b in enumerate(m.kept)})
         for b in batches:
-            found = [m.margin(sorted(_present(t.as_py() or "", terms))) for t in b.column(text_col)]
+            found = [m.margin(sorted(_present(t, terms))) for t in decoded(b.column(text_col))]
             found = 1 / (1 + np.exp(-np.clip(np.array(found, dtype=float), -35, 35)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found)], schema=b.schema.append(pa.field(out_col, pa.float64())))
 

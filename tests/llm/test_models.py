@@ -225,3 +225,61 @@ def test_search_prunes_and_loses_nothing():
     want = -np.sort(-full, axis=1)[:, :10]
     assert (best.scores.reshape(-1, 10) == want).all()
     assert scored < 0.2 * len(q) * len(c)
+
+
+def test_quality_learns_what_the_loss_asks_for():
+    """The fitted weights against the loss itself, and the cut against a count."""
+    rng = np.random.default_rng(8)
+    label = (rng.random(400) < 0.7).astype(int)
+    x = rng.normal(size=(400, 3)) + label[:, None] * np.array([1.5, -1.0, 0.0])
+    m = quality.fit(label, x)
+    good, bad = x[label > 0], x[label == 0]
+    spread = x.std(axis=0) + 1e-6
+    d = ((good[:, None] - bad[None, :]) / spread).reshape(-1, 3)  # every pair
+    loss = lambda w: np.log1p(np.exp(-d @ w)).mean() + 0.5e-4 * w @ w
+    w = m.weight * spread
+    step = 1e-4
+    slope = np.array([(loss(w + step * e) - loss(w - step * e)) / (2 * step) for e in np.eye(3)])
+    assert np.abs(slope).max() < 0.02  # pairs are a sample of all, so not zero
+    assert loss(w) < loss(np.zeros(3)) - 0.2 and w[0] > 0 > w[1] and abs(w[2]) < 0.3 * w[0]
+    below = (x @ m.weight < m.cut).sum()
+    assert below == (label == 0).sum()  # the quantile at the share of bad labels
+    assert ((m.score(x) >= 0.3) == (x @ m.weight >= m.cut)).all()
+    order = np.argsort(x @ m.weight)
+    assert (np.diff(m.score(x)[order]) >= 0).all()
+
+
+def test_quality_features_by_hand():
+    f = dict(zip(quality.NAMES, quality.features("Good good text.\nGood good text.\n")))
+    assert math.isclose(f["words"], math.log1p(6) / 5) and math.isclose(f["distinct"], math.log(3) / math.log(6))
+    assert f["top_word"] == 0.0 and math.isclose(f["echoes"], 0.0) and math.isclose(f["repeated_lines"], 1 - 2 / 3)
+    assert math.isclose(f["stops"], math.log1p(50 * 2 / 6)) and quality.features("") == [0.0] * len(quality.NAMES)
+
+
+def test_toxicity_fits_the_loss_of_pairs():
+    """Words that are harmless alone and toxic together: only the pair's inner product can tell."""
+    rng = np.random.default_rng(3)
+    rows, label = [], []
+    for _ in range(900):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append([t for t, on in ((11, a), (29, b), (int(rng.integers(40, 60)), True)) if on])
+        label.append(int(a and b))
+    m = toxicity.fit(np.array(label), pa.array(rows, pa.list_(pa.int32())), epochs=80)
+    at = {int(k): n for n, k in enumerate(m.kept)}
+    margin = lambda *terms: m.margin([at[t] for t in terms if t in at])
+    on = lambda *terms: np.mean([margin(*terms, n) for n in range(40, 60)])
+    assert on(11, 29) > 0 > max(on(11), on(29), on())
+    by_sum = m.bias + sum(m.weight[at[t]] for t in (11, 29)) + float(m.latent[at[11]] @ m.latent[at[29]])
+    assert math.isclose(margin(11, 29), by_sum)
+
+
+def test_scores_take_the_place_of_a_column_of_that_name(spark):
+    docs, labels = labelled(spark, 60)
+    out = toxicity.score(docs, toxicity.train(docs, labels))
+    assert out.columns == ["doc_id", "text", "score"] and out.schema["score"].dataType.simpleString() == "double" and out.count() == 60
+
+
+def test_bytes_that_are_no_utf8(spark):
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.unhex(F.lit("666F6FFF20626172")).cast("string").alias("text"))
+    labels = spark.createDataFrame([(0, 1, 1)], "doc_id long, quality int, toxic int")
+    assert quality.score_table(docs, labels).count() == toxicity.score_table(docs, labels).count() == lm.scores(docs).count() == 3

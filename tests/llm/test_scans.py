@@ -138,7 +138,7 @@ def brute_base(t):
 
 def test_secret_base_matches_brute_force(spark):
     docs = odd_documents(spark, SECRETS)
-    rows = secrets.find(docs.drop("base")).select("doc_id", "text", secrets.told(F.col("base")).alias("b"), "base", "spans").collect()
+    rows = secrets.find(docs).select("doc_id", "text", secrets.told(F.col("base")).alias("b"), "base", "spans").collect()
     assert len(rows) == docs.count()
     for r in rows:
         want = brute_base(r.text or "")
@@ -148,7 +148,7 @@ def test_secret_base_matches_brute_force(spark):
 
 
 def test_entropy_adds_keys_and_spares_the_allowed(spark):
-    rows = {r.doc_id: [x for x in r.spans if x.rank == 3] for r in secrets.find(odd_documents(spark, SECRETS).drop("base")).where("doc_id > 300").collect()}
+    rows = {r.doc_id: [x for x in r.spans if x.rank == 3] for r in secrets.find(odd_documents(spark, SECRETS)).where("doc_id > 300").collect()}
     assert [x.body for x in rows[305]] == ["Zx9Kq2Lm8PvT4wRs7YbN1cHd6Gf3"]
     assert len(rows[307]) == 1 and len(rows[308]) == 1
     assert not rows[306] and not rows[301] and not rows[303] and not rows[304]
@@ -188,4 +188,72 @@ def test_redaction_leaves_no_base_finding(spark):
         assert not brute_base(r.text or "") or "[REDACTED]" in r.text
         if r.doc_id is not None and r.doc_id < 300 and r.doc_id not in (7,):
             assert r.text == was[hashlib.md5(f"{r.doc_id}".encode()).hexdigest()]
-    assert secrets.find(empty_documents(spark).drop("base")).count() == 0
+    assert secrets.find(empty_documents(spark)).count() == 0
+
+
+def test_columns_with_the_names_of_steps_stay(spark):
+    docs = spark.createDataFrame([(1, "token: abcdefghij", "a", "b", "c", "d")], "doc_id long, text string, _assign string, _Runs string, _spans string, _base string")
+    found = secrets.find(docs)
+    assert found.columns == [*docs.columns, "base", "spans"]
+    assert [(r._assign, r._Runs, r._spans, r._base, len(r.spans)) for r in found.collect()] == [("a", "b", "c", "d", 1)]
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, "[REDACTED]", "a", "b", "c", "d")]
+
+
+def test_a_text_of_thousands_of_matches(spark):
+    text = " ".join(f"token: abcdefgh{i}" for i in range(9000)) + " " + "0f" * 20
+    rows = secrets.find(spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string")).collect()
+    assert [(x.start, x.rank, x.end) for x in rows[0].base] == brute_base(text) and rows[1].base == []
+
+
+def test_repeats_of_a_part_are_no_license(spark):
+    """Half of a notice, over and over with words between, never makes a whole one."""
+    half = "permission is hereby granted free of charge to any"
+    text = " ".join([half, "x"] * 6)
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.labels == "" and row.score == 0.0
+
+
+def brute_notices(text, least_share=0.6, gap=3):
+    """Labels by the rules themselves: matches of 4-grams, grouped by diagonal, neighbours joined, distinct places counted."""
+    w, found, best = words(text), set(), 0.0
+    for notice, label in licenses.NOTICES:
+        t = notice.split()
+        k = min(4, len(t))
+        hits = [(p - q, q) for p in range(len(w) - k + 1) for q in range(len(t) - k + 1) if w[p : p + k] == t[q : q + k]]
+        line = sorted({d for d, _ in hits})
+        runs = []
+        for d in line:
+            if runs and d - runs[-1][-1] <= gap:
+                runs[-1].append(d)
+            else:
+                runs.append([d])
+        for run in runs:
+            share = len({q for d, q in hits if d in run}) / (len(t) - k + 1)
+            if share >= least_share:
+                found.add(label)
+                best = max(best, share)
+    for phrase, label in licenses.PHRASES:
+        p = phrase.split()
+        if any(w[s : s + len(p)] == p for s in range(len(w))):
+            found.add(label)
+            best = 1.0
+    return ",".join(sorted(found)), round(best, 9)
+
+
+def test_notices_match_brute_force(spark):
+    rng = random.Random(14)
+    texts = [t for _, t in LICENSED]
+    for notice, _ in licenses.NOTICES:
+        for _ in range(4):
+            w = notice.split()
+            for _ in range(rng.randint(0, 6)):
+                at = rng.randrange(len(w))
+                if rng.random() < 0.5:
+                    w.insert(at, rng.choice(["really", "the", "license"]))
+                elif len(w) > 2:
+                    del w[at]
+            texts.append(" ".join(["so"] * rng.randint(0, 5) + w * rng.randint(1, 2)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.scan(docs).collect()}
+    assert got == {i: brute_notices(t) for i, t in enumerate(texts)}
