@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,23 +41,26 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return each.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row: (n, avgdl) over the whole index."""
-    return docs.select(F.size(tokens(F.coalesce(text_col, F.lit("")))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def statistics(docs: DataFrame, index: DataFrame) -> tuple[int, float]:
+    """(n, avgdl) of the whole index: its documents, and their tokens as the postings count them."""
+    n = docs.count()
+    tokens = index.agg(F.sum("tf")).first()[0] or 0
+    return n, tokens / n if n else 0.0
 
 
-def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, every_term: bool = False) -> DataFrame:
+def bm25(index: DataFrame, stats: tuple[int, float], queries: DataFrame, every_term: bool = False) -> DataFrame:
     """(query_id, id, score): Okapi scores, larger is better; ``queries``: (query_id, term), distinct.
 
     Only postings of the queries' terms leave the scan: the terms meet the index by a join whose small side
-    Spark may broadcast after looking at its size.
+    Spark may broadcast after looking at its size. The index is best a table written once, as it is read twice.
     """
+    n, avgdl = stats
     terms = queries.select("term").distinct()
     hit = index.join(terms, "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hit.join(df, "term").join(F.broadcast(stats)).select("id", "term", (idf * weight).alias("s"))  # stats is one row
+    idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+    scored = hit.join(df, "term").select("id", "term", (idf * weight).alias("s"))
     per = queries.join(scored, "term").groupBy("query_id", "id").agg(F.sum("s").alias("score"), F.count("*").alias("matched"))
     if every_term:
         need = queries.groupBy("query_id").agg(F.count("*").alias("need"))
@@ -78,10 +84,55 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
 
 
-def semantic(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, score > 0): cosine of each query with each vector; ``queries``: (query_id, q_vec), a stated small set."""
-    pairs = vectors.join(queries, F.lit(True))
-    return pairs.select("query_id", "id", cosine(F.col("vec"), F.col("q_vec")).alias("score")).where("score > 0")
+def _meet(most: int):
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        tables = [(t.column(i), t.column(v), pc.list_value_length(t.column(v))) for t, i, v in ((rows, "id", "vec"), (asked, "query_id", "q_vec"))]
+        for width in {int(w) for w in pc.unique(tables[1][2]).to_pylist() if w}:
+            sides = []
+            for ids, vec, size in tables:
+                mask = pc.equal(size, width)
+                m = vec.filter(mask).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+                norm = np.sqrt((m * m).sum(1))
+                keep = norm > 0
+                sides.append((ids.filter(mask).to_numpy()[keep], m[keep], norm[keep]))
+            (c_ids, c, c_norm), (q_ids, q, q_norm) = sides
+            for at in range(0, len(q_ids), 256):
+                score = q[at : at + 256] @ c.T / np.outer(q_norm[at : at + 256], c_norm)
+                told = np.round(score, 9)
+                if len(c_ids) > most:
+                    least = np.partition(told, -most, axis=1)[:, -most]
+                    r, k = np.nonzero(told >= least[:, None])
+                else:
+                    r, k = (x.ravel() for x in np.indices(told.shape))
+                order = np.lexsort((c_ids[k], -told[r, k], r))
+                r, k = r[order], k[order]
+                first = np.arange(len(r)) - np.searchsorted(r, r) < most
+                r, k = r[first], k[first]
+                out.append((q_ids[at : at + 256][r], c_ids[k], score[r, k]))
+        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "id", "score"])
+
+    return run
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, most: int = TOP, block: int = 8192, part: int = 65536) -> DataFrame:
+    """(query_id, id, score): at least the ``most`` best by cosine (to nine places, then id) of each query (query_id, q_vec).
+
+    Queries and vectors (id, vec) meet in blocks of bounded size, each pair of blocks in a task, which passes on ``most`` rows
+    a query. Vectors of another length than the query's, empty ones and zeros, whose cosine counts as 0, are left out.
+    """
+    many, n = queries.count(), vectors.count()
+    blocks = max(1, -(-many // block))
+    parts = max(1, -(-n // part), min(-(-n // 1024), vectors.sparkSession.sparkContext.defaultParallelism))
+    left = vectors.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id", "vec"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("q_vec").cast("array<double>").alias("q_vec"), F.pmod(F.xxhash64("query_id", "q_vec"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(_meet(most), "query_id long, id long, score double")
+
+
+def semantic(vectors: DataFrame, queries: DataFrame, most: int = TOP) -> DataFrame:
+    """(query_id, id, score > 0): cosines of each query's nearest vectors, ``most`` or more of them."""
+    return nearest(vectors, queries, most).where("score > 0")
 
 
 def gate(sem: DataFrame, lex: DataFrame) -> DataFrame:

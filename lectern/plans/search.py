@@ -9,70 +9,70 @@ from ..operators import expand as X
 from ..operators import grounding as G
 from ..operators import retrieval as R
 from ..operators import vectors as V
-from .registry import query, read
+from .registry import cut, query, read
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in R.STOPWORDS) + ")"
 _TOKENS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
-#: The queries: the first three benchmark items, of which the rarer words are asked for.
+#: The queries: every benchmark item's words, and every vector whose id is divisible by 100; in fusion, vector 100 k goes with item k.
 _ASK = f"""
 d AS (SELECT doc_id AS id, {_TOKENS.format('text')} AS w FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
 e AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM d),
 p AS (SELECT id, term, dl, count(*) AS tf FROM e GROUP BY id, term, dl),
-q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter({_TOKENS.format('text')}, lambda w: length(w) >= 2 AND w NOT IN {_STOP})) AS term FROM benchmark WHERE item_id < 3),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter({_TOKENS.format('text')}, lambda w: length(w) >= 2 AND w NOT IN {_STOP})) AS term FROM benchmark),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 s AS (SELECT p.id, p.term, greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s FROM p JOIN df USING (term), stats WHERE term IN (SELECT term FROM q)),
 lex_all AS (SELECT query_id, id, sum(s) AS score, count(*) AS matched FROM q JOIN s USING (term) GROUP BY query_id, id),
 lex AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM lex_all) WHERE rank <= 50)"""
 _SEM = """
 v AS (SELECT vec_id AS id, [CAST(x AS DOUBLE) FOR x IN embedding] AS vec FROM embeddings),
-c AS (SELECT a.id AS query_id, b.id, list_cosine_similarity(a.vec, b.vec) AS score FROM v a, v b WHERE a.id < 3),
+c AS (SELECT a.id AS query_id, b.id, list_cosine_similarity(a.vec, b.vec) AS score FROM v a, v b WHERE a.id % 100 = 0),
 sem AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM c WHERE score > 0) WHERE rank <= 50)"""
 _FUSED = """
+hundred AS (SELECT query_id // 100 AS query_id, id, score, rank FROM sem),
 g AS (SELECT t.query_id, t.top >= 1.5 AS distinctive, coalesce(h.mean > 0 AND (h.best - h.mean) / h.mean >= 0.15 AND NOT t.top >= 1.5 AND (m.r IS NULL OR m.r[len(m.r) // 2 + 1] > 5), false) AS excluded
   FROM (SELECT query_id, max(score) AS top FROM lex GROUP BY query_id) t
-  LEFT JOIN (SELECT query_id, avg(score) AS mean, max(score) AS best FROM sem WHERE rank <= 10 GROUP BY query_id) h USING (query_id)
-  LEFT JOIN (SELECT l.query_id, list(s.rank ORDER BY s.rank) AS r FROM lex l JOIN sem s ON l.query_id = s.query_id AND l.id = s.id WHERE l.rank <= 5 GROUP BY l.query_id) m USING (query_id)),
+  LEFT JOIN (SELECT query_id, avg(score) AS mean, max(score) AS best FROM hundred WHERE rank <= 10 GROUP BY query_id) h USING (query_id)
+  LEFT JOIN (SELECT l.query_id, list(s.rank ORDER BY s.rank) AS r FROM lex l JOIN hundred s ON l.query_id = s.query_id AND l.id = s.id WHERE l.rank <= 5 GROUP BY l.query_id) m USING (query_id)),
 l2 AS (SELECT lex.query_id, id, rank, 1.0 / (CASE WHEN g.distinctive THEN 10 ELSE 60 END + rank) AS part FROM lex JOIN g USING (query_id) WHERE NOT excluded),
-f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, coalesce(1.0 / (60 + a.rank), 0) + coalesce(b.part, 0) AS rrf, a.score AS sem_score, a.rank AS sem_rank, b.rank AS lex_rank FROM sem a FULL JOIN l2 b ON a.query_id = b.query_id AND a.id = b.id)"""
+f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, coalesce(1.0 / (60 + a.rank), 0) + coalesce(b.part, 0) AS rrf, a.score AS sem_score, a.rank AS sem_rank, b.rank AS lex_rank FROM hundred a FULL JOIN l2 b ON a.query_id = b.query_id AND a.id = b.id)"""
 
 
-def ask(spark, sf, whole=False):
-    """The terms of the items that the SQL asks, or of all."""
-    q = read(spark, sf, "benchmark").where("true" if whole else "item_id < 3")
-    return q.select(F.col("item_id").alias("query_id"), F.explode(R.query_terms(F.col("text"))).alias("term"))
+def ask(spark, sf):
+    """(query_id, term) of every benchmark item."""
+    q = read(spark, sf, "benchmark")
+    return q.select(F.col("item_id").alias("query_id"), F.explode(R.query_terms(F.col("text"))).alias("term")).distinct()
 
 
-def lexical(spark, sf, every_term=False, whole=False):
+def lexical(spark, sf, every_term=False):
     d = read(spark, sf, "documents")
-    return R.bm25(R.postings(d), R.statistics(d), ask(spark, sf, whole), every_term)
+    index = cut(R.postings(d))  # read by statistics and scores
+    return R.bm25(index, R.statistics(d, index), ask(spark, sf), every_term)
 
 
 def vectors(spark, sf):
     return read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
 
 
-def similar(spark, sf, whole=False):
-    """Against the vectors that the SQL asks, or against all whose id is divisible by 100."""
+def similar(spark, sf):
+    """Every vector whose id is divisible by 100 against all."""
     v = vectors(spark, sf)
-    if whole:
-        return R.semantic(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("q_vec")))
-    return R.semantic(v, F.broadcast(v.where("id < 3").select(F.col("id").alias("query_id"), F.col("vec").alias("q_vec"))))  # three rows
+    return R.semantic(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("q_vec")))
 
 
 def _ranked(scores):
     return R.ranked(scores.withColumn("score", F.round("score", 9)))
 
 
-def fused(spark, sf, whole=False):
-    sem, lex = _ranked(similar(spark, sf, whole)), _ranked(lexical(spark, sf, whole=whole))
-    return R.fuse(sem, lex, R.gate(sem, lex))
+def lists(spark, sf):
+    """The two ranked lists, each used by gate and fusion."""
+    sem = cut(_ranked(similar(spark, sf)).withColumn("query_id", F.expr("query_id div 100")))
+    return sem, cut(_ranked(lexical(spark, sf)))
 
 
-@query(f"SELECT conv_id, turn, array_to_string(list_filter({_TOKENS.format('text')}, lambda w: length(w) >= 2 AND w NOT IN {_STOP}), ' ') AS bag FROM conversations WHERE 1 = 0")
-def query_terms_empty(spark, sf):
-    c = read(spark, sf, "conversations").where("1 = 0")
-    return c.select("conv_id", "turn", F.array_join(R.query_terms(F.col("text")), " ").alias("bag"))
+def fused(spark, sf):
+    sem, lex = lists(spark, sf)
+    return R.fuse(sem, lex, R.gate(sem, lex))
 
 
 @query(f"""
@@ -92,10 +92,9 @@ def bm25_and(spark, sf):
     return lexical(spark, sf, every_term=True).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_ASK} SELECT id, term, dl, tf FROM p WHERE term IN (SELECT term FROM q)")
+@query(f"WITH {_ASK} SELECT id, term, dl, tf FROM p")
 def postings(spark, sf):
-    index = R.postings(read(spark, sf, "documents"))
-    return index.join(ask(spark, sf).select("term").distinct(), "term", "left_semi").select("id", "term", "dl", "tf")
+    return R.postings(read(spark, sf, "documents")).select("id", "term", "dl", "tf")
 
 
 @query(f"WITH {_SEM} SELECT query_id, id, round(score, 6) AS score, rank FROM sem")
@@ -111,7 +110,7 @@ def hybrid_rrf(spark, sf):
 
 @query(f"WITH {_ASK}, {_SEM}, {_FUSED} SELECT query_id, distinctive, excluded FROM g")
 def rrf_gate(spark, sf):
-    return R.gate(_ranked(similar(spark, sf)), _ranked(lexical(spark, sf)))
+    return R.gate(*lists(spark, sf))
 
 
 @query(f"WITH {_ASK}, {_SEM}, {_FUSED} SELECT query_id, max(rrf) < 0.020 AS weak FROM f GROUP BY query_id")
@@ -125,9 +124,11 @@ def top_sources(spark, sf):
     return R.ranked(f, 3).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(f"""
+WITH {_ASK}, {_SEM}, {_FUSED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, id) AS place FROM f)
+SELECT query_id, CASE WHEN max(rrf) < 0.020 THEN 'weak' WHEN NOT max(CASE WHEN place <= 2 THEN sem_rank IS NOT NULL END) THEN 'uncorroborated' ELSE 'none' END AS reason FROM r GROUP BY query_id""")
 def expansion_reason(spark, sf):
-    return R.expansion_reason(fused(spark, sf, whole=True))
+    return R.expansion_reason(fused(spark, sf).withColumn("rrf", F.round("rrf", 9)))
 
 
 @query()
@@ -154,10 +155,11 @@ def cluster_count(spark, sf):
     return read(spark, sf, "embeddings").groupBy("label").agg(V.cluster_count(F.count("*")).alias("k"))
 
 
-@query(f"WITH {_SEM.replace('a.id < 3', 'a.id < 20 AND b.id >= 20')} SELECT query_id AS id, round(max(score), 6) AS best, max(score) >= 0.45 AS kept FROM c GROUP BY query_id")
+@query(f"WITH {_SEM.replace('a.id % 100 = 0', 'a.id % 100 = 0 AND b.id % 100 <> 0')} SELECT query_id AS id, round(max(score), 6) AS best, round(max(score), 9) >= 0.45 AS kept FROM c GROUP BY query_id")
 def summary_verify(spark, sf):
+    """Vectors whose id is divisible by 100, taken for a summary's sentences, against all others."""
     v = vectors(spark, sf)
-    out = G.verify(F.broadcast(v.where("id < 20")), v.where("id >= 20"))  # twenty rows
+    out = G.verify(v.where("id % 100 = 0"), v.where("id % 100 <> 0"))
     return out.select("id", F.round("best", 6).alias("best"), "kept")
 
 
@@ -203,8 +205,10 @@ def summary_layer(spark, sf):
     return V.summary_layer(v, least_leaves=24).select("cluster", "members", F.md5("summary").alias("digest"))
 
 
-@query()
+@query(f"""
+WITH {_ASK}, {_SEM}, {_FUSED}, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, id) AS place FROM f WHERE round(rrf, 9) >= round(1.0 / 65, 9))
+SELECT query_id, min(id) AS earliest FROM r WHERE place <= 5 GROUP BY query_id""")
 def earliest_occurrence(spark, sf):
     """The first document that a query's five best come from."""
-    f = fused(spark, sf, whole=True).where(F.col("rrf") >= 1 / 65).select("query_id", "id", F.round("rrf", 9).alias("score"))
+    f = fused(spark, sf).where(F.round("rrf", 9) >= round(1 / 65, 9)).select("query_id", "id", F.round("rrf", 9).alias("score"))
     return R.ranked(f, 5).groupBy("query_id").agg(F.min("id").alias("earliest"))

@@ -36,9 +36,27 @@ def test_headings_by_shape(spark):
 def test_bm25_finds_rare_terms_first(spark):
     d = spark.createDataFrame([(1, "whale ship sea"), (2, "sea sea sea"), (3, "land only here"), (4, "more land"), (5, "the café")], "doc_id long, text string")
     q = spark.createDataFrame([(0, "whale"), (0, "sea")], "query_id int, term string")
-    out = R.bm25(R.postings(d), R.statistics(d), q)
+    out = R.bm25(R.postings(d), R.statistics(d, R.postings(d)), q)
     assert [r.id for r in out.orderBy(F.col("score").desc()).collect()][0] == 1
-    assert rows(R.bm25(R.postings(d), R.statistics(d), q, every_term=True).select("id")) == [(1,)]
+    assert rows(R.bm25(R.postings(d), R.statistics(d, R.postings(d)), q, every_term=True).select("id")) == [(1,)]
+
+
+def test_nearest_in_blocks_finds_what_all_pairs_do(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    m = rng.integers(-2, 3, (400, 3)).astype(float)  # ties and zeros
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)] + [(900, [1.0]), (901, []), (902, None)], "id long, vec array<double>")
+    q = v.where("id % 40 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("q_vec"))
+    norm = np.linalg.norm(m, axis=1)
+    want = []
+    for k in range(0, 400, 40):
+        if norm[k]:
+            best = sorted((-round(float(m[k] @ m[i] / norm[k] / norm[i]), 9), i) for i in range(400) if norm[i])[:7]
+            want += [(k, i) for _, i in best]
+    for block, part in ((8192, 65536), (3, 50)):
+        got = R.ranked(R.nearest(v, q, 7, block, part).withColumn("score", F.round("score", 9)), 7)
+        assert rows(got.select("query_id", "id")) == sorted(want, key=str)
 
 
 def test_cosine_edges(spark):
