@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows whose key isn't in the new ones, and the new ones."""
@@ -48,14 +50,19 @@ def stride_sample(rows: DataFrame, order: str, most: int) -> DataFrame:
     """Every n-th row in order, n = max(1, rows div most).
 
     Row numbers come from ranges: rows are sorted by range partition and numbered by partition sizes, so that no one task gets all.
+    The ranges are checkpointed, as sizes and numbers must come from the same ones.
     """
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumnRenamed("_p", "_q").withColumnRenamed("_n", "_m")
-    base = sizes.join(before, F.col("_q") < F.col("_p"), "left").groupBy("_p").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_base"))  # a row per partition
-    total = rows.count()
+    ranged = cut(rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
+    sizes = {r["_p"]: r["_n"] for r in ranged.groupBy("_p").agg(F.count("*").alias("_n")).collect()}  # a row per partition
+    total, base, so_far = sum(sizes.values()), [], 0
+    for p in sorted(sizes):
+        base.append((p, so_far))
+        so_far += sizes[p]
+    if not total:
+        return rows.limit(0)
+    starts = rows.sparkSession.createDataFrame(base, "_p int, _base long")
     n = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1 + F.col("_base")
-    return ranged.join(base, "_p").withColumn("_n", n).where(F.col("_n") % max(1, total // most) == 0).select(*rows.columns)
+    return ranged.join(F.broadcast(starts), "_p").withColumn("_n", n).where(F.col("_n") % max(1, total // most) == 0).select(*rows.columns)
 
 
 def strict_greatest(a: Column, b: Column) -> Column:
@@ -66,3 +73,24 @@ def strict_greatest(a: Column, b: Column) -> Column:
 def positions(rows: DataFrame, key: str, at: str, order: Column) -> DataFrame:
     """(key, latest, furthest): the last row's place and the largest."""
     return rows.groupBy(key).agg(F.max_by(F.col(at), order).alias("latest"), F.max(at).alias("furthest"))
+
+
+def histogram(rows: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """(keys, kind, n, share): rows of each kind, and their share of the key's."""
+    n = rows.groupBy(*keys, kind).agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
+
+
+def same_as(rows: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(doc_id, existing_id): the smallest id of the same text; ``rows``: doc_id and keys that equal texts share, ``texts``: doc_id, text.
+
+    Texts meet only where keys repeat, and there one copy of each text and key is kept.
+    """
+    first = rows.groupBy(*keys).agg(F.min("doc_id").alias("existing_id"), F.count("*").alias("_n"))
+    told = rows.join(first, keys).select("doc_id", "existing_id", "_n")
+    alone = told.where("_n = 1").select("doc_id", "existing_id")
+    shared = told.where("_n > 1").join(texts, "doc_id")
+    group = shared.groupBy("existing_id", F.xxhash64("text").alias("_x"), F.crc32(F.col("text").cast("binary")).alias("_c"))  # equal digests, yet unlike texts, part here
+    apart = group.agg(F.min("doc_id").alias("_first"))
+    same = shared.join(apart, (shared["existing_id"] == apart["existing_id"]) & (F.xxhash64(shared["text"]) == apart["_x"]) & (F.crc32(shared["text"].cast("binary")) == apart["_c"]))
+    return alone.unionByName(same.select(shared["doc_id"], F.col("_first").alias("existing_id")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.predicates import is_long_caps, is_mixed_case
-from ..functions.rewrite import trim_ws
+from ..functions.rewrite import bind, trim_ws
 
 # Patterns by which a contents title is classified, in order.
 BODY_TITLES = [
@@ -58,8 +58,19 @@ def furniture(page_lines: DataFrame, band: int = 2, max_words: int = 8, least_pa
     hit = F.coalesce("short", F.lit(False)) & (F.coalesce("by_sig", F.lit(False)) | F.coalesce("by_num", F.lit(False)))
     title = F.coalesce("by_sig", F.lit(False)) & ~F.coalesce("by_num", F.lit(False)) & ~F.contains("sig", F.lit("#"))
     told = told.withColumns({"hit": hit & ~F.col("lone"), "title": title})
-    first = F.row_number().over(Window.partitionBy("grp", "sig", "hit", "title").orderBy("page", "line"))
-    return told.withColumn("nth", first).where("lone or (hit and not (title and nth = 1))").select("grp", "page", "line")
+    # the first line of a title stays; it is looked for among titles alone, and by aggregation, so that no key is sorted
+    first = told.where("hit and title").groupBy("grp", "sig").agg(F.min(F.struct("page", "line")).alias("first"))
+    told = told.join(first, ["grp", "sig"], "left")
+    stays = F.col("title") & (F.col("page") == F.col("first.page")) & (F.col("line") == F.col("first.line"))
+    return told.where(F.col("lone") | (F.col("hit") & ~F.coalesce(stays, F.lit(False)))).select("grp", "page", "line")
+
+
+def without_recurring(images: DataFrame, least: int = 3, share: float = 0.2) -> DataFrame:
+    """Images (doc_id, page, image) but those on ``least`` pages and ``share`` of their document's pages with images or more."""
+    pages = images.groupBy("doc_id").agg(F.count_distinct("page").alias("_pages"))
+    seen = images.groupBy("doc_id", "image").agg(F.count_distinct("page").alias("_seen"))
+    often = seen.join(pages, "doc_id").where((F.col("_seen") >= least) & (F.col("_seen") >= share * F.col("_pages")))
+    return images.join(often.select("doc_id", "image"), ["doc_id", "image"], "left_anti").select(*images.columns)
 
 
 def running_headers(candidates: DataFrame, least: int = 3, window: int = 5, neighbours: int = 2) -> DataFrame:
@@ -81,13 +92,21 @@ def classify_title(t: Column) -> Column:
 
 
 def page_flags(t: Column) -> Column:
-    """(chars, caps, mixed, avg_word, mode) of a page's text: whether and how it should be read again."""
+    """(chars, words, caps, mixed, avg_word, mode) of a page's text: whether and how it should be read again."""
+
+    def told(words: Column) -> Column:
+        caps, mixed = F.size(F.filter(words, is_long_caps)), F.size(F.filter(words, is_mixed_case))
+        avg = F.when(F.size(words) > 0, F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / F.size(words)).otherwise(0.0)
+        return F.struct(F.size(words).alias("words"), caps.alias("caps"), mixed.alias("mixed"), avg.alias("avg_word"))
+
+    def flags(x: Column) -> Column:
+        n = F.length(t)
+        fused = (x["caps"] >= CAPS_TOKENS) | (x["mixed"] >= MIXED_TOKENS) | ((n >= LONG_WORD_CHARS) & (x["avg_word"] > LONG_WORDS))
+        mode = F.when(n < FEW_CHARS, "full").when(fused, "fusion").otherwise("none")
+        return F.struct(n.alias("chars"), x["words"].alias("words"), x["caps"].alias("caps"), x["mixed"].alias("mixed"), x["avg_word"].alias("avg_word"), mode.alias("mode"))
+
     words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    caps, mixed = F.size(F.filter(words, is_long_caps)), F.size(F.filter(words, is_mixed_case))
-    avg = F.when(F.size(words) > 0, F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / F.size(words)).otherwise(0.0)
-    n = F.length(t)
-    mode = F.when(n < FEW_CHARS, "full").when((caps >= CAPS_TOKENS) | (mixed >= MIXED_TOKENS) | ((n >= LONG_WORD_CHARS) & (avg > LONG_WORDS)), "fusion").otherwise("none")
-    return F.struct(n.alias("chars"), caps.alias("caps"), mixed.alias("mixed"), avg.alias("avg_word"), mode.alias("mode"))
+    return bind(bind(words, told), flags)  # the text is split once
 
 
 def merge_tiers(first: Column, second: Column, mode: Column) -> Column:

@@ -28,6 +28,21 @@ def health(vectors: DataFrame, dimension: int) -> DataFrame:
     return v.agg(F.count("*").alias("n"), F.count_if(F.size("vec") != dimension).alias("wrong_size"), F.count_if(odd).alias("not_finite"), F.count_if(F.col("norm") < 1e-6).alias("zero"), F.min("norm").alias("least"), F.max("norm").alias("most"))
 
 
+def of_model(nodes: DataFrame, model: str | None) -> DataFrame:
+    """Leaves (no model), and the summary nodes of one model; of none, leaves alone."""
+    return nodes.where(F.col("model").isNull() | F.coalesce(F.col("model") == F.lit(model), F.lit(False)))
+
+
+def latest_node(nodes: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """(keys, at, value) of the last summary node of each key."""
+    return nodes.where(F.col("model").isNotNull()).groupBy(*keys).agg(F.max(at).alias(at), F.max_by(value, at).alias(value))
+
+
+def tree_counts(nodes: DataFrame, model: str) -> DataFrame:
+    """(doc_id, leaves, nodes, models): a node with a vector is a summary of its model, never a leaf."""
+    return nodes.groupBy("doc_id").agg(F.count_if(F.col("model").isNull()).alias("leaves"), F.count_if(F.col("model") == model).alias("nodes"), F.count_distinct("model").alias("models"))
+
+
 def cluster_count(leaves: Column) -> Column:
     """A twentieth of the leaves, from 6 to 32."""
     return F.greatest(F.lit(6), F.least(F.lit(32), F.floor(leaves / 20))).cast("long")

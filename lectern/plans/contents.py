@@ -13,7 +13,8 @@ from ..operators import structure as S
 from ..operators import units as U
 from ..operators import vectors as V
 from .registry import query, read
-from .structures import _UNITS, units
+from . import woven as W
+from .structures import _BOOK, _BOOK_LINES, _UNITS, book_lines, book_units, units
 
 
 def _pages(spark, sf):
@@ -44,9 +45,12 @@ def contents_placed(spark, sf):
     return G.each_part(_pages(spark, sf), lambda t: C.placed_entries(t, C.entries(t)), "title string, offset long")
 
 
-@query()
+@query(_BOOK_LINES + r""", p AS (SELECT doc_id, line FROM l WHERE line < 300 AND length(text) >= 60 AND (contains(text, '. ') OR contains(text, ', ') OR regexp_matches(text, '[.!?]$')) AND NOT (regexp_matches(text, '^[0-9IVXLCDMivxlcdm. \t]+$')
+OR regexp_matches(text, '(?i)^(?:(?:\d{1,3}(?:\.\d{1,3}){0,3}\.?)|(chapter|part|section|appendix|article|book)\s+[ivxlcdm\d]{1,8}\.?)\s+\S') OR regexp_matches(text, '[.·•…]{3,}\s*\d{1,4}\s*$')
+OR regexp_matches(text, '(?i)\b(PUBLISHER|PUBLISHERS|PRESS|PRINTED BY|& ?CO\.)\b|^(Copyright|©)|^List of Illustrations')))
+SELECT doc_id, CAST(min(line) AS INTEGER) AS line FROM p GROUP BY doc_id""")
 def listing_skip(spark, sf):
-    return C.skip_listing(S.lines(read(spark, sf, "documents")))
+    return C.skip_listing(book_lines(spark, sf))
 
 
 @query("SELECT doc_id, CASE WHEN position('the' IN text) > 0 AND position('the' IN substr(text, position('the' IN text) + 50)) > 0 THEN position('the' IN text) + 50 + position('the' IN substr(text, position('the' IN text) + 50)) - 2 END AS \"end\" FROM documents")
@@ -54,29 +58,41 @@ def listing_second_occurrence(spark, sf):
     return C.second_occurrence(read(spark, sf, "documents"), "the")
 
 
-@query("SELECT doc_id, length(text) AS fin FROM documents WHERE NOT contains(text, 'THE END')")
+@query(f"""
+WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || repeat('x ', 4000) ELSE text END AS t FROM (SELECT doc_id, {W.book_sql('text')} AS text FROM documents)),
+p AS (SELECT *, greatest(length(t) - 6000, 0) AS lo FROM t)
+SELECT doc_id, CASE WHEN contains(substr(t, lo + 1), 'THE END') THEN lo + position('THE END' IN substr(t, lo + 1)) - 1 + 7 ELSE length(t) END AS fin FROM p""")
 def catalog_end(spark, sf):
-    d = read(spark, sf, "documents").where(~F.contains("text", F.lit("THE END")))
-    return d.select("doc_id", C.content_start(F.lit(0), C.catalog_end(F.col("text"))).cast("long").alias("fin"))
+    """Books with THE END among the last 6000 characters, and for a third only further up."""
+    t = W.book(F.col("text"))
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(t, F.repeat(F.lit("x "), F.lit(4000)))).otherwise(t)
+    d = read(spark, sf, "documents").select("doc_id", t.alias("t"))
+    return d.select("doc_id", C.content_start(F.lit(0), C.catalog_end(F.col("t"))).cast("long").alias("fin"))
 
 
-@query()
+@query(_BOOK + r""", b AS (SELECT *, heading AND regexp_matches(text, '^(?:(?:CHAPTER|Chapter)\s+)?(?:\d{1,3}|[IVXLCDM]{1,7})\.?$') AS label FROM kinds),
+j AS (SELECT *, coalesce(label AND lead(heading) OVER w AND NOT lead(label) OVER w, false) AS joins, lead(text) OVER w AS after FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY sequence)),
+k AS (SELECT *, coalesce(lag(joins) OVER (PARTITION BY doc_id ORDER BY sequence), false) AS taken FROM j)
+SELECT doc_id, sequence, md5(CASE WHEN joins THEN text || ' ' || after ELSE text END) AS digest FROM k WHERE NOT taken""")
 def label_merge(spark, sf):
-    return C.merge_labels(units(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """A book's Chapter 2 takes PROLOGUE, no heading, not; Chapter 3 takes the third part's title."""
+    return C.merge_labels(book_units(spark, sf)).select("doc_id", "sequence", F.md5("text").alias("digest"))
 
 
 @query()
 def wrapped_entries(spark, sf):
-    u = U.with_offsets(units(spark, sf)).where("sequence <= 50")
-    toc = u.select("doc_id", (F.col("sequence") / 10).cast("long").alias("play_order"), F.left("text", F.lit(40)).alias("title"), F.col("start").alias("offset"), F.lit(1).alias("level"))
-    return C.coalesce_wrapped(toc).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """All units as contents entries, of which a third are numbered and break off."""
+    u = U.with_offsets(units(spark, sf))
+    title = F.when(F.col("sequence") % 30 == 10, F.concat(F.col("sequence").cast("string"), F.lit(". Of the"))).otherwise(F.col("text"))
+    toc = u.select("doc_id", (F.col("sequence") / 10).cast("long").alias("play_order"), title.alias("title"), F.col("start").alias("offset"), F.lit(1).alias("level"))
+    return C.coalesce_wrapped(toc).select("doc_id", "play_order", F.md5("title").alias("digest"))
 
 
 @query()
 def heading_resolve(spark, sf):
-    """The first words of each document's units looked for among its lines, in order."""
+    """The first words of every line of a document looked for among its lines, in order."""
     l = S.lines(read(spark, sf, "documents"))
-    titles = l.where("line < 5 and length(text) > 0").select("doc_id", F.col("line").alias("n"), F.substring_index("text", " ", 4).alias("title"))
+    titles = l.where("length(text) > 0").select("doc_id", F.col("line").alias("n"), F.substring_index("text", " ", 4).alias("title"))
     return C.resolve_headings(titles, l)
 
 
@@ -135,15 +151,23 @@ def balanced_chunks(spark, sf):
     return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("piece")).alias("longest"))
 
 
-@query("SELECT doc_id, CAST(0 AS BIGINT) AS n, 'text' AS kind, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS digest FROM documents WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0 AND NOT contains(text, '[[POSITION:')")
+@query(r"""
+WITH t AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents), r AS (SELECT doc_id, t, 0 AS k, 'text' AS kind, t AS body FROM t WHERE t <> ''
+UNION ALL SELECT doc_id, t, 1, 'visual', '3:' FROM t UNION ALL SELECT doc_id, t, 2, 'text', 'between' FROM t UNION ALL SELECT doc_id, t, 3, 'visual', doc_id || ':ab-' || doc_id FROM t UNION ALL SELECT doc_id, t, 4, 'text', t FROM t WHERE t <> '')
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS n, kind, md5(body) AS digest FROM r""")
 def placeholder_split(spark, sf):
-    d = read(spark, sf, "documents").where(~F.contains("text", F.lit("[[POSITION:")))
+    """Documents twice over with a page's marker and an image's between."""
+    mark = F.concat(F.lit("\n[[POSITION:page=3]] between [[POSITION:page="), F.col("doc_id").cast("string"), F.lit(";image=ab-"), F.col("doc_id").cast("string"), F.lit("]]"))
+    d = read(spark, sf, "documents").select("doc_id", F.concat("text", mark, "text").alias("text"))
     return G.each_part(d, G.placeholders, "kind string, body string").select("doc_id", "n", "kind", F.md5("body").alias("digest"))
 
 
-@query("SELECT doc_id, CAST(0 AS BIGINT) AS n, '#top' AS anchor, CAST(0 AS BIGINT) AS at FROM documents")
+@query("""
+WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), i AS (SELECT doc_id, w, unnest(range(len(w))) AS n FROM w)
+SELECT doc_id, n, 'h2:' || 'x' AS anchor, CAST(n + coalesce(list_sum(list_transform(w[1:n], lambda x: length(x))), 0) AS BIGINT) AS \"at\" FROM i""")
 def anchor_sentinels(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.concat(F.lit("⟦#top⟧"), "text").alias("text"))
+    """A mark before every word."""
+    d = read(spark, sf, "documents").select("doc_id", F.concat(F.lit("⟦h2:x⟧"), F.replace("text", F.lit(" "), F.lit(" ⟦h2:x⟧"))).alias("text"))
     return G.each_part(d, lambda t: G.anchors(t)[1], "anchor string, at long")
 
 
@@ -152,22 +176,42 @@ def surrounding_context(spark, sf):
     return G.each_part(read(spark, sf, "documents"), lambda t: [(G.strip_preamble(G.surrounding(t, len(t) // 2)),)], "context string").select("doc_id", F.md5("context").alias("digest"))
 
 
-@query("SELECT page_id, CAST(page_id AS BIGINT) * 10 AS sequence FROM pages WHERE 1 = 0")
-def page_units_empty(spark, sf):
-    return read(spark, sf, "pages").where("1 = 0").select("page_id", (F.col("page_id") * 10).alias("sequence"))
+_PAGED = r"""
+WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), i AS (SELECT doc_id, unnest(p) AS t, unnest(range(1, len(p) + 1)) AS page FROM p),
+r AS (SELECT doc_id, page, 0 AS k, 'page_break' AS kind, '' AS text FROM i UNION ALL SELECT doc_id, page, 1, 'prose', regexp_replace(t, '^\s+|\s+$', '', 'g') FROM i WHERE regexp_matches(t, '\S')),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, k) * 10 AS sequence FROM r)"""
+
+
+def paged(spark, sf):
+    """Documents whose lines are pages."""
+    return U.page_units(read(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\f")).alias("text")))
 
 
-@query(_UNITS.replace("chr(10)", "chr(12)") + "SELECT doc_id, count(*) + 1 AS n FROM units GROUP BY doc_id")
+@query(_PAGED + " SELECT doc_id, sequence, kind, page, md5(text) AS digest FROM u")
 def page_units(spark, sf):
-    """Documents as single pages: a break and one paragraph each."""
-    return U.page_units(read(spark, sf, "documents").where("length(trim(text)) > 0")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return paged(spark, sf).select("doc_id", "sequence", "kind", "page", F.md5("text").alias("digest"))
 
 
-@query(_UNITS + "SELECT doc_id, sequence, start + 3 AS at FROM offs")
+@query(_PAGED + """, o AS (SELECT *, coalesce(sum(CASE WHEN kind = 'prose' THEN length(text) + 2 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u),
+s AS (SELECT doc_id, page, min(CASE WHEN kind = 'prose' THEN start END) AS own FROM o GROUP BY doc_id, page)
+SELECT doc_id, page AS page_no, CAST(coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page), 0) AS BIGINT) AS start FROM s""")
+def page_starts(spark, sf):
+    return U.page_starts(paged(spark, sf).drop("page"))
+
+
+@query(_PAGED + " SELECT doc_id, page AS page_no, count(*) AS n, count(*) FILTER (WHERE kind = 'prose') AS prose FROM u GROUP BY doc_id, page")
+def units_of_page(spark, sf):
+    """Units counted under the page that breaks so far tell."""
+    return U.page_numbers(paged(spark, sf).drop("page")).groupBy("doc_id", "page_no").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "prose").alias("prose"))
+
+
+@query(_UNITS + "SELECT doc_id, sequence, CAST(sequence % 70 AS BIGINT) AS intra, start + sequence % 70 AS \"at\" FROM offs UNION ALL SELECT doc_id, 5, 0, NULL FROM documents")
 def chunk_locate(spark, sf):
+    """Chunks that start at different places of their units, and one a document whose unit isn't there."""
     u = U.with_offsets(units(spark, sf))
-    c = u.select("doc_id", F.col("sequence").alias("start_sequence"), F.lit(3).alias("start_intra"))
-    return P.located(c, u).select("doc_id", F.col("start_sequence").alias("sequence"), "at")
+    c = u.select("doc_id", F.col("sequence").alias("start_sequence"), (F.col("sequence") % 70).alias("start_intra"))
+    c = c.unionByName(read(spark, sf, "documents").select("doc_id", F.lit(5).cast("long").alias("start_sequence"), F.lit(0).cast("long").alias("start_intra")))
+    return P.located(c, u).select("doc_id", F.col("start_sequence").alias("sequence"), F.col("start_intra").alias("intra"), "at")
 
 
 @query("SELECT l_orderkey AS doc_id, l_linenumber AS sequence, max(l_quantity) AS score, min(l_partkey) AS ordinal FROM lineitem GROUP BY 1, 2")
@@ -191,7 +235,13 @@ def spoiler_flags(spark, sf):
     return P.spoilers(s.select(F.col("doc_id").alias("answer_id"), F.col("idx").alias("n"), "text"), hits, far)
 
 
-@query()
+@query("""
+WITH RECURSIVE c AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+i AS (SELECT conv_id AS prompt_id, CASE role WHEN 'system' THEN 'system' WHEN 'user' THEN 'question' ELSE 'history' END AS section, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(round(length(text) / 2.5) AS INTEGER)) END AS cost, turn FROM c),
+n AS (SELECT *, CASE section WHEN 'history' THEN 400 ELSE 200 END AS budget, row_number() OVER (PARTITION BY prompt_id, section ORDER BY turn, cost) AS k, count(*) OVER (PARTITION BY prompt_id, section) AS items FROM i),
+w AS (SELECT prompt_id, section, k, items, (cost <= budget)::INTEGER AS kept, CASE WHEN cost <= budget THEN cost ELSE 0 END AS tokens FROM n WHERE k = 1
+UNION ALL SELECT n.prompt_id, n.section, n.k, n.items, w.kept + (w.tokens + n.cost <= n.budget)::INTEGER, w.tokens + CASE WHEN w.tokens + n.cost <= n.budget THEN n.cost ELSE 0 END FROM w JOIN n ON n.prompt_id = w.prompt_id AND n.section = w.section AND n.k = w.k + 1)
+SELECT prompt_id, section, kept, CAST(items - kept AS INTEGER) AS dropped, tokens FROM w WHERE k = items""")
 def prompt_assembly(spark, sf):
     t = read(spark, sf, "conversations").distinct()
     section = F.when(F.col("role") == "system", "system").when(F.col("role") == "user", "question").otherwise("history")
@@ -220,15 +270,30 @@ def vector_update(spark, sf):
     return keyed.update(c, new, ["c_custkey"], ["c_mktsegment"])
 
 
-@query("SELECT label, max(vec_id) AS latest, arg_max(embedding[1], vec_id) AS v FROM embeddings GROUP BY label")
+_TREE = "n AS (SELECT vec_id, vec_id % 50 AS doc_id, CASE WHEN vec_id % 4 = 0 THEN 'm' || label % 2 END AS model, embedding[1] AS v, label FROM embeddings)"
+
+
+def _tree(spark, sf):
+    """Vectors as nodes of fifty documents: a quarter are summaries of one of two models, the rest leaves (no model)."""
+    e = read(spark, sf, "embeddings")
+    model = F.when(F.col("vec_id") % 4 == 0, F.concat(F.lit("m"), (F.col("label") % 2).cast("string")))
+    return e.select("vec_id", (F.col("vec_id") % 50).alias("doc_id"), model.alias("model"), F.get("embedding", 0).alias("v"), "label")
+
+
+@query(f"WITH {_TREE} SELECT doc_id, model, max(vec_id) AS latest, arg_max(v, vec_id) AS v FROM n WHERE model IS NOT NULL GROUP BY doc_id, model")
 def latest_summary(spark, sf):
-    return read(spark, sf, "embeddings").groupBy("label").agg(F.max("vec_id").alias("latest"), F.max_by(F.get("embedding", 0), "vec_id").alias("v"))
+    return V.latest_node(_tree(spark, sf), ["doc_id", "model"], "vec_id", "v").withColumnRenamed("vec_id", "latest")
 
 
-@query("SELECT vec_id, label FROM embeddings WHERE vec_id < 400 OR label = 3")
+@query(f"WITH {_TREE} SELECT vec_id, doc_id, model FROM n WHERE model IS NULL OR model = 'm1'")
 def summary_scan(spark, sf):
     """Leaves, and summary nodes of one model."""
-    return read(spark, sf, "embeddings").where((F.col("vec_id") < 400) | (F.col("label") == 3)).select("vec_id", "label")
+    return V.of_model(_tree(spark, sf), "m1").select("vec_id", "doc_id", "model")
+
+
+@query(f"WITH {_TREE} SELECT doc_id, count(*) FILTER (WHERE model IS NULL) AS leaves, count(*) FILTER (WHERE model = 'm1') AS nodes, count(DISTINCT model) AS models FROM n GROUP BY doc_id")
+def tree_counts(spark, sf):
+    return V.tree_counts(_tree(spark, sf), "m1")
 
 
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id < 400 OR label <> 3")
@@ -238,13 +303,19 @@ def summary_clear(spark, sf):
     return keyed.delete(e, e.where("vec_id >= 400 and label = 3"), ["vec_id"]).select("vec_id", "label")
 
 
-@query("SELECT p_size AS w, p_type, count(DISTINCT p_brand) AS pages FROM part GROUP BY p_size, p_type HAVING count(DISTINCT p_brand) >= 2")
+@query("""
+WITH i AS (SELECT l_suppkey AS doc_id, l_orderkey % 40 AS page, l_partkey % 30 AS image, l_linenumber AS n FROM lineitem),
+t AS (SELECT doc_id, count(DISTINCT page) AS pages FROM i GROUP BY doc_id), k AS (SELECT doc_id, image, count(DISTINCT page) AS seen FROM i GROUP BY doc_id, image)
+SELECT DISTINCT i.doc_id, i.page, i.image FROM i JOIN t USING (doc_id) JOIN k USING (doc_id, image) WHERE NOT (seen >= 3 AND seen >= 0.2 * pages)""")
 def recurring_images(spark, sf):
-    """Sizes that recur on pages enough to be furniture."""
-    return read(spark, sf, "part").groupBy(F.col("p_size").alias("w"), "p_type").agg(F.countDistinct("p_brand").alias("pages")).where("pages >= 2")
+    """Images that recur on a fifth of a document's pages are furniture and go."""
+    i = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") % 40).alias("page"), (F.col("l_partkey") % 30).alias("image"))
+    return S.without_recurring(i.distinct(), least=3, share=0.2)
 
 
-@query()
+@query(_UNITS + r""", h AS (SELECT doc_id, sequence / 10.0 AS n FROM units WHERE regexp_matches(text, '(?:^|[^\p{L}\p{N}_])(?:The|Die|Le|La|De|And)(?:$|[^\p{L}\p{N}_])')),
+g AS (SELECT *, CASE WHEN n - lag(n) OVER (PARTITION BY doc_id ORDER BY n) <= 4 THEN 0 ELSE 1 END AS fresh FROM h), r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM g)
+SELECT doc_id, CAST(min(n) AS DOUBLE) AS first, CAST(max(n) AS DOUBLE) AS last FROM r GROUP BY doc_id, run HAVING count(*) >= 2""")
 def editorial_runs(spark, sf):
     u = units(spark, sf).withColumn("n", F.col("sequence") / 10)
     return S.editorial_runs(u, ["The", "Die", "Le", "La", "De", "And"], least_names=2, least_bios=0)

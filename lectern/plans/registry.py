@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import cut, scratch  # noqa: F401
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -27,21 +27,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors see: under ``spark.checkpoint.dir``; a temporary one only where executors are threads of the driver."""
-    sc = spark.sparkContext
-    told = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not told and not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    told = told or tempfile.mkdtemp(prefix="lectern-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(told)
-    return f"{told.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage ends in files that outlive any executor."""
-    scratch(df.sparkSession, "cut")
-    return df.checkpoint(eager=True)

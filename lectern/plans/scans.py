@@ -38,9 +38,9 @@ def dup_documents(spark, sf):
 WITH d AS (SELECT doc_id, source, length(text) AS n, text FROM documents)
 SELECT a.doc_id, min(b.doc_id) AS existing_id FROM d a JOIN d b ON a.source = b.source AND a.n = b.n AND a.text = b.text GROUP BY a.doc_id""")
 def dup_documents_by_text(spark, sf):
-    """Without a stored hash: length first, then the whole text, grouped rather than paired."""
-    d = read(spark, sf, "documents").select("doc_id", "source", F.length("text").alias("n"), "text")
-    return d.join(d.groupBy("source", "n", "text").agg(F.min("doc_id").alias("existing_id")), ["source", "n", "text"]).select("doc_id", "existing_id")
+    """Without a stored hash: by length and a fresh digest; only rows that share both are compared as texts."""
+    d = read(spark, sf, "documents").select("doc_id", "source", F.length("text").alias("n"), F.sha2("text", 256).alias("h"))
+    return keyed.same_as(d, read(spark, sf, "documents").select("doc_id", "text"), ["source", "n", "h"])
 
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('error', 'purchase')")
@@ -48,11 +48,6 @@ def membership_scan(spark, sf):
     return keyed.with_status(read(spark, sf, "events"), "event_type", ["error", "purchase"]).select("event_id", "user_id", "event_type")
 
 
-@query("SELECT event_id FROM events WHERE 1 = 0")
-def membership_scan_empty(spark, sf):
-    return keyed.with_status(read(spark, sf, "events"), "event_type", []).select("event_id")
-
-
 @query("SELECT conv_id, turn, text FROM conversations WHERE turn BETWEEN greatest(0, 1) AND 3")
 def chunk_range_scan(spark, sf):
     return read(spark, sf, "conversations").where(F.col("turn").between(1, 3)).select("conv_id", "turn", "text")
@@ -113,10 +108,13 @@ def keyed_upsert(spark, sf):
     return keyed.upsert(c, changed.unionByName(fresh), ["c_custkey"])
 
 
-@query("SELECT c_custkey, c_name FROM customer")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'new ' || c_name FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT -c_custkey, 'new ' || c_name FROM customer WHERE c_custkey % 5 = 0")
 def insert_if_absent(spark, sf):
+    """New rows come in only under keys that aren't there: old ones keep their names."""
     c = read(spark, sf, "customer").select("c_custkey", "c_name")
-    return keyed.insert_absent(c.where("c_custkey % 3 <> 0"), c, ["c_custkey"])
+    new = c.withColumn("c_name", F.concat(F.lit("new "), "c_name"))
+    new = new.unionByName(new.where("c_custkey % 5 = 0").withColumn("c_custkey", -F.col("c_custkey")))
+    return keyed.insert_absent(c.where("c_custkey % 3 <> 0"), new, ["c_custkey"])
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 7 = 0)")
@@ -134,9 +132,10 @@ def replace_all(spark, sf):
     return keyed.replace_groups(d, d.where("source = 'src1' and doc_id % 2 = 1 or source = 'src2'"), "source", d.where("source in ('src1', 'src2')").select("source").distinct())
 
 
-@query("SELECT l.l_orderkey, l.l_linenumber FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE o.o_orderkey IS NULL")
+@query("SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL")
 def dangling_references(spark, sf):
-    return keyed.dangling(read(spark, sf, "lineitem"), read(spark, sf, "orders"), "l_orderkey", "o_orderkey").select("l_orderkey", "l_linenumber")
+    """Documents whose label isn't there."""
+    return keyed.dangling(read(spark, sf, "documents"), read(spark, sf, "labels"), "doc_id", "doc_id").select("doc_id")
 
 
 @query("SELECT source, count(*) AS n, count(l.quality) AS n_quality, count(l.toxic) AS n_toxic, count(*) - count(l.quality) AS missing, count(*) = count(l.quality) AS complete FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source")
@@ -154,11 +153,6 @@ def coverage_by_backend(spark, sf):
     return one.select(F.expr("stack(2, 'quality', q, 'toxic', t) as (backend, filled)"), "total")
 
 
-@query("SELECT label, count(*) FILTER (WHERE vec_id < 400) AS leaves, count(*) FILTER (WHERE vec_id >= 400) AS nodes FROM embeddings GROUP BY label")
-def tree_counts(spark, sf):
-    return read(spark, sf, "embeddings").groupBy("label").agg(F.count_if(F.col("vec_id") < 400).alias("leaves"), F.count_if(F.col("vec_id") >= 400).alias("nodes"))
-
-
 @query("SELECT l_returnflag, median(l_quantity) AS mid FROM lineitem GROUP BY l_returnflag")
 def median_averaged(spark, sf):
     return read(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.median("l_quantity").alias("mid"))
@@ -178,6 +172,6 @@ def metadata_read(spark, sf):
     return read(spark, sf, "events").select("event_id", "props", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'read' ELSE 'other' END AS kind FROM events) GROUP BY kind")
+@query("SELECT user_id, event_type AS kind, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY user_id) AS share FROM events GROUP BY user_id, event_type")
 def kind_histogram(spark, sf):
-    return read(spark, sf, "events").select(F.when(F.col("event_type").isin("click", "view"), "read").otherwise("other").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    return keyed.histogram(read(spark, sf, "events").withColumnRenamed("event_type", "kind"), ["user_id"], "kind")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import structure as S
 from ..operators import units as U
+from . import woven as W
 from .registry import query, read
 
 _UNITS = """
@@ -18,6 +19,26 @@ offs AS (SELECT *, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id
 """
 
 
+#: Units of the documents as books, with their kinds.
+_BOOK = _UNITS.replace("string_split(text, chr(10))", f"string_split({W.book_sql('text')}, chr(10))").rstrip() + r""",
+kinds AS (SELECT *, (length(text) <= 120 AND (regexp_matches(text, '^(?i:(?:CHAPTER|BOOK|PART|VOLUME|LETTER|ACT|SCENE|CANTO)\s+(?:\d{1,3}|[IVXLCDM]{1,7}))(?:[.\s:—–-].*)?$') OR regexp_matches(text, '^(?:Epilogue|Prologue|Preface|Foreword|Introduction)\.?$'))
+OR length(text) <= 80 AND regexp_matches(text, '^[IVXLCDM]{1,7}\.\s+\S.*$') AND NOT regexp_matches(text, '[.;!?]$')) AND len(regexp_extract_all(text, '(?i)CHAPTER\s+(?:\d|[IVXLCDM])')) < 2 AS heading FROM offs)
+"""
+
+
+def book_units(spark, sf):
+    """Units of the documents with a book's opening and end around them."""
+    d = read(spark, sf, "documents").select("doc_id", W.book(F.col("text")).alias("text"))
+    return U.prose_units(d, sep="\n")
+
+
+def book_lines(spark, sf):
+    return S.lines(read(spark, sf, "documents").select("doc_id", W.book(F.col("text")).alias("text")))
+
+
+_BOOK_LINES = f"WITH a AS (SELECT doc_id, string_split({W.book_sql('text')}, chr(10)) AS a FROM documents), l AS (SELECT doc_id, unnest(a) AS text, unnest(range(len(a))) AS line FROM a)"
+
+
 def units(spark, sf):
     """Documents have single line feeds only, so a line is a unit here."""
     return U.prose_units(read(spark, sf, "documents"), sep="\n")
@@ -51,14 +72,14 @@ def first_unit_after_offset(spark, sf):
     return U.first_unit_after(units(spark, sf), at)
 
 
-@query()
+@query(_BOOK + "SELECT doc_id, CASE WHEN heading THEN 'heading' ELSE 'prose' END AS kind, count(*) AS n FROM kinds GROUP BY 1, 2")
 def unit_kind_counts(spark, sf):
-    return units(spark, sf).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+    return book_units(spark, sf).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_BOOK + "SELECT doc_id, count(*) FILTER (WHERE heading) AS headings, CAST(sum(length(text)) AS BIGINT) AS chars, CASE WHEN count(*) FILTER (WHERE heading) > 0 THEN CAST(sum(length(text)) // count(*) FILTER (WHERE heading) AS BIGINT) END AS chars_a_heading FROM kinds GROUP BY doc_id")
 def heading_density(spark, sf):
-    u = units(spark, sf)
+    u = book_units(spark, sf)
     heads, chars = F.count_if(F.col("kind") == "heading"), F.sum(F.length("text"))
     return u.groupBy("doc_id").agg(heads.alias("headings"), chars.alias("chars"), F.when(heads > 0, F.floor(chars / heads)).alias("chars_a_heading"))
 
@@ -75,9 +96,12 @@ def front_matter_exclusion(spark, sf):
     return U.without_front_matter(units(spark, sf), refs).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_BOOK + """, again AS (SELECT *, heading AND max(sequence) OVER (PARTITION BY doc_id, heading, lower(text)) > sequence AS again FROM kinds),
+many AS (SELECT *, sum(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) >= 3 AS many FROM again)
+SELECT doc_id, CASE WHEN heading AND NOT (again AND many) THEN 'heading' ELSE 'prose' END AS kind, count(*) AS n FROM many GROUP BY 1, 2""")
 def heading_demotion(spark, sf):
-    return U.demote_relisted(units(spark, sf)).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+    """Three of a book's headings come again at its end, so they are a listing."""
+    return U.demote_relisted(book_units(spark, sf)).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
 @query(_UNITS + "SELECT doc_id, sequence, contains(regexp_replace(text, '\\bthe\\b', 'THE', 'g'), 'THE') AND text <> regexp_replace(text, '\\bthe\\b', 'THE', 'g') AS changed FROM units")
@@ -102,23 +126,38 @@ def furniture_signatures(spark, sf):
     return s.groupBy("source", "signature").agg(F.count("*").alias("pages")).where("pages >= 6")
 
 
-def _page_lines(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.col("source").alias("grp"))
-    return S.lines(read(spark, sf, "documents")).join(d, "doc_id").select("grp", F.col("doc_id").alias("page"), F.col("line"), "text")
+def _stamped(spark, sf):
+    """Documents as pages of their source, with a running title, a stamp and a page number around them."""
+    d = read(spark, sf, "documents").select("doc_id", F.col("source").alias("grp"), F.concat(F.lit("The Book of Words\n"), "text", F.lit("\nprinted in 19840\n"), F.col("doc_id").cast("string")).alias("text"))
+    return S.lines(d).join(d.select("doc_id", "grp"), "doc_id").select("grp", F.col("doc_id").alias("page"), "line", "text")
 
 
-@query()
+@query(r"""
+WITH a AS (SELECT source AS grp, doc_id AS page, string_split('The Book of Words' || chr(10) || text || chr(10) || 'printed in 19840' || chr(10) || doc_id, chr(10)) AS a FROM documents),
+l AS (SELECT grp, page, unnest(a) AS text, CAST(unnest(range(len(a))) AS INTEGER) AS line, len(a) AS many FROM a),
+e AS (SELECT *, trim(regexp_replace(regexp_replace(lower(text), '\p{N}+', '#', 'g'), '[^\p{L}#]+', ' ', 'g')) AS sig,
+  list_reduce(list_prepend('', regexp_extract_all(text, '\d{4,}')), lambda x, y: CASE WHEN length(y) > length(x) THEN y ELSE x END) AS num, regexp_replace(text, '^\s+|\s+$', '', 'g') AS bare,
+  len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) <= 8 AS short FROM l WHERE line < 2 OR line >= many - 2),
+s AS (SELECT grp, sig FROM e WHERE short AND sig <> '' GROUP BY grp, sig HAVING count(DISTINCT page) >= 6),
+n AS (SELECT grp, num FROM e WHERE short AND num <> '' GROUP BY grp, num HAVING count(DISTINCT page) >= 6),
+f AS (SELECT e.*, s.sig IS NOT NULL AS by_sig, n.num IS NOT NULL AS by_num, regexp_matches(bare, '^\d+$') OR bare <> '' AND length(bare) <= 7 AND regexp_matches(bare, '(?i)^m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$') AS lone
+  FROM e LEFT JOIN s ON e.grp = s.grp AND e.sig = s.sig LEFT JOIN n ON e.grp = n.grp AND e.num = n.num),
+h AS (SELECT *, short AND (by_sig OR by_num) AND NOT lone AS hit, by_sig AND NOT by_num AND NOT contains(sig, '#') AS title FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY grp, sig, hit, title ORDER BY page, line) AS nth FROM h)
+SELECT grp, page, line FROM r WHERE lone OR hit AND NOT (title AND nth = 1)""")
 def furniture_lines(spark, sf):
-    return S.furniture(_page_lines(spark, sf))
+    return S.furniture(_stamped(spark, sf))
 
 
 @query(r"""
-WITH c AS (SELECT DISTINCT source, doc_id AS page, trim(regexp_replace(regexp_replace(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g'), '\d+', '<N>', 'g'), '(?i)\b[ivxlcdm]+\b', '<R>', 'g')) AS form FROM documents),
+WITH l AS (SELECT source, doc_id AS page, unnest(string_split(text || chr(10) || 'Part iv, page ' || doc_id, chr(10))) AS t FROM documents),
+c AS (SELECT DISTINCT source, page, trim(regexp_replace(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '\d+', '<N>', 'g'), '(?i)\b[ivxlcdm]+\b', '<R>', 'g')) AS form FROM l),
 n AS (SELECT *, count(*) OVER (PARTITION BY source, form) AS times, count(*) OVER (PARTITION BY source, form ORDER BY page RANGE BETWEEN 50 PRECEDING AND 50 FOLLOWING) - 1 AS near FROM c)
 SELECT source AS grp, page, 'top' AS zone, form FROM n WHERE times >= 3 AND near >= 2""")
 def running_header_window(spark, sf):
-    c = read(spark, sf, "documents").select(F.col("source").alias("grp"), F.col("doc_id").alias("page"), F.lit("top").alias("zone"), T.header_form(F.get(F.split("text", "\n"), 0)).alias("form"))
-    return S.running_headers(c, window=50)
+    """Every line of the documents, taken for pages, with a footer."""
+    d = read(spark, sf, "documents").select(F.col("source").alias("grp"), F.col("doc_id").alias("page"), F.explode(F.split(F.concat("text", F.lit("\nPart iv, page "), F.col("doc_id").cast("string")), "\n")).alias("t"))
+    return S.running_headers(d.select("grp", "page", F.lit("top").alias("zone"), T.header_form(F.col("t")).alias("form")), window=50)
 
 
 @query("""
@@ -130,39 +169,81 @@ def page_map_ffill(spark, sf):
     return U.fill_pages(k)
 
 
+def _fused():
+    """A third each as they are, with some words run together, and cut to a few characters."""
+    t, k = F.col("text"), F.col("doc_id") % 3
+    return F.when(k == 0, W.replaced(F.concat(t, F.lit(" THEGREATWORK of THE ")), [(" the ", "The"), (" and ", "And"), (" de ", "De")])).when(k == 1, F.left(t, F.lit(40))).otherwise(t)
+
+
+_FUSED_SQL = "(CASE doc_id % 3 WHEN 0 THEN " + W.replaced_sql("(text || ' THEGREATWORK of THE ')", [(" the ", "The"), (" and ", "And"), (" de ", "De")]) + " WHEN 1 THEN left(text, 40) ELSE text END)"
+
+
+def _second():
+    """The second reading: sound words, or too little of them for some."""
+    return F.when(F.col("doc_id") % 7 == 0, F.left("text", F.lit(30))).otherwise(F.replace("text", F.lit("e"), F.lit("e ")))
+
+
+_SECOND_SQL = "(CASE WHEN doc_id % 7 = 0 THEN left(text, 30) ELSE replace(text, 'e', 'e ') END)"
+
+
 @query(r"""
 SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: regexp_matches(x, '^\p{Lu}{9,}$'))) AS caps, len(list_filter(w, lambda x: regexp_matches(x, '^\p{L}{7,}$') AND regexp_matches(x, '\p{Ll}\p{Lu}'))) AS mixed,
-round(list_sum(list_transform(w, lambda x: length(x))) / len(w), 6) AS avg_word FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)""")
+round(list_sum(list_transform(w, lambda x: length(x))) / len(w), 6) AS avg_word FROM (SELECT doc_id, list_filter(regexp_split_to_array(""" + _FUSED_SQL + r""", '\s+'), lambda x: x <> '') AS w FROM documents)""")
 def page_flags(spark, sf):
-    f = S.page_flags(F.col("text"))
-    return read(spark, sf, "documents").select("doc_id", S.word_count(F.col("text")).cast("long").alias("n"), f["caps"].cast("long").alias("caps"), f["mixed"].cast("long").alias("mixed"), F.round(f["avg_word"], 6).alias("avg_word"))
+    f = S.page_flags(F.col("t"))
+    return read(spark, sf, "documents").select("doc_id", _fused().alias("t")).select("doc_id", f["words"].cast("long").alias("n"), f["caps"].cast("long").alias("caps"), f["mixed"].cast("long").alias("mixed"), F.round(f["avg_word"], 6).alias("avg_word"))
 
 
-@query()
+@query(rf"""
+WITH t AS (SELECT doc_id, {_FUSED_SQL} AS t, {_SECOND_SQL} AS second FROM documents), w AS (SELECT *, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '') AS w, len(list_filter(regexp_split_to_array(second, '\s+'), lambda x: x <> '')) AS many FROM t),
+m AS (SELECT *, CASE WHEN length(t) < 50 THEN 'full' WHEN len(list_filter(w, lambda x: regexp_matches(x, '^\p{{Lu}}{{9,}}$'))) >= 3 OR len(list_filter(w, lambda x: regexp_matches(x, '^\p{{L}}{{7,}}$') AND regexp_matches(x, '\p{{Ll}}\p{{Lu}}'))) >= 3
+  OR length(t) >= 100 AND list_sum(list_transform(w, lambda x: length(x))) / len(w) > 9 THEN 'fusion' ELSE 'none' END AS mode FROM w)
+SELECT doc_id, mode, md5(CASE WHEN length(second) >= 0.7 * length(t) AND (mode = 'full' AND length(t) < 50 AND length(second) >= 500 OR mode = 'fusion' AND many >= 1.25 * len(w)) THEN second ELSE t END) AS digest FROM m""")
 def page_modes(spark, sf):
-    f = S.page_flags(F.col("text"))
-    return read(spark, sf, "documents").select("doc_id", f["mode"].alias("mode"), F.md5(S.merge_tiers(F.col("text"), F.upper("text"), f["mode"])).alias("digest"))
+    """A first reading cut short, with words run together, or sound, and a second one of each."""
+    d = read(spark, sf, "documents").select("doc_id", _fused().alias("t"), _second().alias("second"))
+    f = S.page_flags(F.col("t"))
+    return d.select("doc_id", f["mode"].alias("mode"), F.md5(S.merge_tiers(F.col("t"), F.col("second"), f["mode"])).alias("digest"))
 
 
-@query()
+_TITLES = [("Chapter IV", "body"), ("Colophon", "publishing"), ("TABLE OF CONTENTS", "publishing"), ("THE GREAT WORK", "title"), ("Contents", "title"), ("A quiet title", "unknown"), (" ", "unknown"), ("XII. The Sea", "body"), ("List of Figures", "publishing"), ("Prologue", "body")]
+
+
+@query("SELECT page_id, CASE page_id % 10 " + " ".join(f"WHEN {n} THEN '{c}'" for n, (_, c) in enumerate(_TITLES)) + " END AS class FROM pages")
 def toc_classify(spark, sf):
-    return read(spark, sf, "pages").select("page_id", S.classify_title(T.html_title(F.col("html"))).alias("class"))
+    t = W.in_turn(F.col("page_id"), [t for t, _ in _TITLES], F.lit(None))
+    return read(spark, sf, "pages").select("page_id", S.classify_title(t).alias("class"))
 
 
-@query()
+_START = "*** START OF THE PROJECT GUTENBERG EBOOK OF WORDS ***"
+
+
+@query(f"""
+SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN {len(_START) + 5} ELSE 0 END AS begin, CASE WHEN doc_id % 3 = 0 THEN {len(_START) + 6} + length(text) + 1 WHEN doc_id % 3 = 1 THEN {len(_START) + 6} + length(text) ELSE length(text) END AS "end" FROM documents""")
 def license_bounds(spark, sf):
-    b = S.license_bounds(F.col("text"))
-    return read(spark, sf, "documents").select("doc_id", b["begin"].alias("begin"), b["end"].alias("end"))
+    """Documents behind a licence's first marker, before its last, and without either."""
+    t, k = F.col("text"), F.col("doc_id") % 3
+    head = F.concat(F.lit("Book\n" + _START + "\n"), t)
+    text = F.when(k == 0, F.concat(head, F.lit("\n*** END OF THE PROJECT GUTENBERG EBOOK OF WORDS ***\nterms"))).when(k == 1, head).otherwise(t)
+    b = S.license_bounds(F.col("t"))
+    return read(spark, sf, "documents").select("doc_id", text.alias("t")).select("doc_id", b["begin"].alias("begin"), b["end"].alias("end"))
 
 
-@query()
+@query(_BOOK_LINES + r""", h AS (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM l WHERE regexp_matches(text, '[.·•…]{3,}\s*\d{1,4}\s*$'))
+SELECT doc_id, CAST(min(line) AS INTEGER) AS first, CAST(max(line) AS INTEGER) AS last, count(*) AS n FROM h GROUP BY doc_id, run HAVING count(*) >= 3""")
 def dot_leader_runs(spark, sf):
-    return S.dot_leader_runs(S.lines(read(spark, sf, "documents")), least=1)
+    return S.dot_leader_runs(book_lines(spark, sf), least=3)
 
 
-@query()
+@query(_BOOK_LINES.replace("l AS (SELECT", "l0 AS (SELECT") + r""", l AS (SELECT doc_id, line, replace(text, ' ....', '  ') AS text FROM l0),
+r AS (SELECT *, regexp_matches(text, '(?i)^\s*\S.*\S(?:[ \t]{2,}|\t)(\d{1,4}|[ivxlcdm]{1,8})[ \t]*$') AS is_row, regexp_matches(text, '^\s*$') AS blank FROM l),
+g AS (SELECT *, sum(CASE WHEN NOT is_row AND NOT blank THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS run FROM r),
+n AS (SELECT *, sum(CASE WHEN is_row THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, run) AS many FROM g)
+SELECT doc_id, count(*) AS n FROM n WHERE NOT (is_row AND many >= 3) GROUP BY doc_id""")
 def number_run_strip(spark, sf):
-    return S.strip_number_runs(S.lines(read(spark, sf, "documents"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """A book's opening listing with spaces for leaders."""
+    l = book_lines(spark, sf).withColumn("text", F.replace("text", F.lit(" ...."), F.lit("  ")))
+    return S.strip_number_runs(l).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -182,11 +263,15 @@ def modal_font(spark, sf):
     return S.body_font(l)
 
 
-@query()
+@query(_UNITS + r""",
+t AS (SELECT DISTINCT doc_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS title, start AS "at" FROM offs),
+k AS (SELECT *, trim(regexp_replace(lower(title), '[\s:]+', ' ', 'g')) AS k FROM t), h AS (SELECT doc_id, sequence, start, trim(regexp_replace(lower(text), '[\s:]+', ' ', 'g')) AS hk FROM offs),
+m AS (SELECT k.doc_id, title, "at", sequence, hk = k AS exact, row_number() OVER (PARTITION BY k.doc_id, title, "at" ORDER BY (hk = k) DESC, abs(start - "at"), sequence) AS r FROM k JOIN h ON k.doc_id = h.doc_id AND starts_with(hk, k))
+SELECT doc_id, "at", sequence, exact FROM m WHERE r = 1""")
 def heading_match(spark, sf):
-    """The first unit of each document looked for among its units, as a contents entry would be."""
+    """The first words of every unit looked for among its document's units, as contents entries would be."""
     u = U.with_offsets(units(spark, sf))
-    titles = u.where("sequence = 10").select("doc_id", F.substring_index("text", " ", 3).alias("title"), F.col("start").alias("at"))
+    titles = u.select("doc_id", F.substring_index("text", " ", 3).alias("title"), F.col("start").alias("at")).distinct()
     return S.nearest_heading(titles, u.select("doc_id", "sequence", "text", "start")).select("doc_id", "at", "sequence", "exact")
 
 

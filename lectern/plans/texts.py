@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions import predicates as P
 from ..functions import text as T
+from . import woven as W
 from .registry import query, read
 
+_DIRTY = W.dirty_sql("text")
+_SAID = W.in_turn_sql("turn", W.SAID, "text")
+
 
 def _digest(spark, sf, step, table="documents", key="doc_id", column="text"):
-    t = step(F.col(column))
+    t = step(F.col(column) if isinstance(column, str) else column)
     return read(spark, sf, table).select(key, F.md5(t).alias("digest"), F.length(t).cast("long").alias("n"))
 
 
@@ -24,49 +28,62 @@ def token_estimate(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query(_sql(r"replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"))
+#: The passes as SQL, each of a text.
+_LINES = lambda t: f"replace(replace({t}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+_SPACES = lambda t: f"regexp_replace(replace({t}, chr(9), ' '), ' {{2,}}', ' ', 'g')"
+_BLANKS = lambda t: rf"regexp_replace({t}, '\n{{3,}}', chr(10) || chr(10), 'g')"
+_TRAILING = lambda t: rf"regexp_replace({t}, '[ \t]+\n', chr(10), 'g')"
+_HYPHENS = lambda t: rf"regexp_replace({t}, '([A-Za-z]+)[-¬][ \n\x0c] ?([a-z]+)', '\1\2', 'g')"
+_INVISIBLE = lambda t: f"replace(replace(replace(replace(replace({t}, chr(160), ' '), chr(173), ''), chr(8203), ''), chr(8204), ''), chr(8205), '')"
+_CONTROL = lambda t: rf"regexp_replace({t}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}\x{{E000}}-\x{{F8FF}}\x{{FFF0}}-\x{{FFFD}}\x{{E0100}}-\x{{E01EF}}]', '', 'g')"
+_BOM = lambda t: f"CASE WHEN {t} LIKE chr(65279) || '%' THEN substr({t}, 2) ELSE {t} END"
+
+
+@query(_sql(_LINES(_DIRTY)))
 def norm_line_endings(spark, sf):
-    return _digest(spark, sf, N.line_endings)
+    return _digest(spark, sf, N.line_endings, column=W.dirty(F.col("text")))
 
 
-@query(_sql(r"regexp_replace(replace(html, chr(9), ' '), ' {2,}', ' ', 'g')", "pages", "page_id"))
+@query(_sql(_SPACES(_DIRTY)))
 def norm_spaces(spark, sf):
-    return _digest(spark, sf, N.tabs_and_spaces, "pages", "page_id", "html")
+    return _digest(spark, sf, N.tabs_and_spaces, column=W.dirty(F.col("text")))
 
 
-@query(_sql(r"regexp_replace(html, '\n{3,}', chr(10) || chr(10), 'g')", "pages", "page_id"))
+@query(_sql(_BLANKS(_DIRTY)))
 def norm_blank_lines(spark, sf):
-    return _digest(spark, sf, N.blank_lines, "pages", "page_id", "html")
+    return _digest(spark, sf, N.blank_lines, column=W.dirty(F.col("text")))
 
 
-@query(_sql(r"regexp_replace(html, '[ \t]+\n', chr(10), 'g')", "pages", "page_id"))
+@query(_sql(_TRAILING(_DIRTY)))
 def norm_trailing_ws(spark, sf):
-    return _digest(spark, sf, N.trailing_space, "pages", "page_id", "html")
+    return _digest(spark, sf, N.trailing_space, column=W.dirty(F.col("text")))
 
 
-@query(_sql(r"regexp_replace(text, '([A-Za-z]+)[-¬][ \n\x0c] ?([a-z]+)', '\1\2', 'g')"))
+@query(_sql(_HYPHENS(_DIRTY)))
 def norm_hyphen_join(spark, sf):
-    return _digest(spark, sf, N.join_hyphens)
+    return _digest(spark, sf, N.join_hyphens, column=W.dirty(F.col("text")))
 
 
-@query(_sql("replace(replace(replace(replace(replace(text, chr(160), ' '), chr(173), ''), chr(8203), ''), chr(8204), ''), chr(8205), '')"))
+@query(_sql(_INVISIBLE(_DIRTY)))
 def norm_invisible(spark, sf):
-    return _digest(spark, sf, N.strip_invisible)
+    return _digest(spark, sf, N.strip_invisible, column=W.dirty(F.col("text")))
 
 
-@query(_sql(r"regexp_replace(html, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{E000}-\x{F8FF}\x{FFF0}-\x{FFFD}\x{E0100}-\x{E01EF}]', '', 'g')", "pages", "page_id"))
+@query(_sql(_CONTROL(_DIRTY)))
 def norm_control(spark, sf):
-    return _digest(spark, sf, N.strip_control, "pages", "page_id", "html")
+    return _digest(spark, sf, N.strip_control, column=W.dirty(F.col("text")))
 
 
-@query(_sql("CASE WHEN text LIKE chr(65279) || '%' THEN substr(text, 2) ELSE text END"))
+@query(_sql(_BOM(_DIRTY)))
 def norm_bom(spark, sf):
-    return _digest(spark, sf, N.strip_bom)
+    return _digest(spark, sf, N.strip_bom, column=W.dirty(F.col("text")))
 
 
-@query()
+@query(_sql("replace(text, '_', '-') || ' snake_case_name'"))
 def norm_italics(spark, sf):
-    return _digest(spark, sf, N.italics, "pages", "page_id", "html")
+    """Emphasis put around words comes off; names with underscores stay."""
+    t = F.concat(W.replaced(F.col("text"), [("_", "-"), (" the ", " _the_ "), (" de ", " _de_ ")]), F.lit(" snake_case_name"))
+    return _digest(spark, sf, N.italics, column=t)
 
 
 @query()
@@ -74,9 +91,20 @@ def norm_spaced_letters(spark, sf):
     return _digest(spark, sf, lambda t: N.spaced_digits(N.spaced_letters(t)))
 
 
-@query()
+def _universal_sql(t: str, unwrapped: bool) -> str:
+    """The passes in order over documents without scene breaks, print headers, illustrations or emphasis."""
+    steps = [_CONTROL, _INVISIBLE, _LINES, _TRAILING, _HYPHENS, _SPACES, _BLANKS, lambda x: rf"regexp_replace({x}, '^[\s\x{{0B}}\x{{85}}\x{{2000}}-\x{{200A}}\x{{3000}}]+|[\s\x{{0B}}\x{{85}}\x{{2000}}-\x{{200A}}\x{{3000}}]+$', '', 'g')"]
+    with_ = f"WITH s0 AS (SELECT doc_id, substr({t}, 2) AS t FROM documents)"
+    for n, step in enumerate(steps):
+        with_ += f", s{n + 1} AS (SELECT doc_id, {step('t')} AS t FROM s{n})"
+    last = f"s{len(steps)}"
+    out = r"array_to_string(list_transform(string_split(t, chr(10) || chr(10)), lambda p: array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' ')), chr(10) || chr(10))" if unwrapped else "t"
+    return with_ + f" SELECT doc_id, md5(t) AS digest, length(t) AS n FROM (SELECT doc_id, {out} AS t FROM {last})"
+
+
+@query(_universal_sql(_DIRTY, True))
 def norm_universal(spark, sf):
-    return _digest(spark, sf, lambda t: N.normalize_universal(t, hard_wrapped=True))
+    return _digest(spark, sf, lambda t: N.normalize_universal(t, hard_wrapped=True), column=W.dirty(F.col("text")))
 
 
 @query()
@@ -94,66 +122,87 @@ def norm_compact(spark, sf):
     return _digest(spark, sf, N.compact)
 
 
-@query()
+@query(_sql(W.replaced_sql("text", [(" and ", "\n\nThe ship at sea\n\n"), (" und ", "\n\n")])))
 def norm_illustrations(spark, sf):
-    return _digest(spark, sf, N.illustration_markers)
+    """Markers with a caption, and without one."""
+    return _digest(spark, sf, N.illustration_markers, column=W.replaced(F.col("text"), [(" and ", "[Illustration: _The_ ship ·A. B.·\n at sea]"), (" und ", "[Illustration]")]))
 
 
-@query()
+@query(_sql("regexp_replace(" + W.replaced_sql("text", [("[", "("), ("\t", " "), (" and ", " [123] "), (" und ", " [7]  ")]) + ", ' {2,}', ' ', 'g')"))
 def norm_brackets(spark, sf):
-    return _digest(spark, sf, lambda t: N.numeric_brackets(N.dimensions(t)), "pages", "page_id", "html")
+    t = W.replaced(F.col("text"), [("[", "("), (" and ", " [ 1 2\n3 ] 3.25 in "), (" und ", " [7] 12.5 in\t")])
+    return _digest(spark, sf, lambda t: N.numeric_brackets(N.dimensions(t)), column=t)
 
 
-@query()
+@query(_sql(W.replaced_sql("text", [(" and ", " café naïve ’ "), (" und ", " über ")])))
 def norm_mojibake(spark, sf):
-    d = N.repair_mojibake(read(spark, sf, "documents").select("doc_id", "text"), "text")
+    """Characters put in as their bytes are read wrongly come out right; others stay."""
+    t = W.replaced(F.col("text"), [(" and ", " cafÃ© naÃ¯ve â€™ "), (" und ", " Ã¼ber ")])
+    d = N.repair_mojibake(read(spark, sf, "documents").select("doc_id", t.alias("text")), "text")
     return d.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"))
 
 
-@query(_sql(r"regexp_replace(regexp_replace(regexp_replace(text, '(?is)Evaluation Only\.\s*Created with Aspose\.[A-Za-z]+\.[^.]*\.', '', 'g'), '(?is)(?:Generated|Created)\s+(?:by|with)\s+[Cc]alibre[^.\n]{0,80}\.', '', 'g'), ' {2,}', ' ', 'g')"))
+@query(_sql(r"regexp_replace(regexp_replace(regexp_replace(" + _DIRTY + r", '(?is)Evaluation Only\.\s*Created with Aspose\.[A-Za-z]+\.[^.]*\.', '', 'g'), '(?is)(?:Generated|Created)\s+(?:by|with)\s+[Cc]alibre[^.\n]{0,80}\.', '', 'g'), ' {2,}', ' ', 'g')"))
 def strip_watermarks(spark, sf):
-    return _digest(spark, sf, T.strip_watermarks)
+    return _digest(spark, sf, T.strip_watermarks, column=W.dirty(F.col("text")))
 
 
 @query(r"""
 SELECT conv_id, turn, t = '' OR length(regexp_replace(t, '[^\p{L}]', '', 'g')) < 2 OR length(replace(t, left(t, 1), '')) = 0 AS noise
-FROM (SELECT conv_id, turn, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS t FROM conversations)""")
+FROM (SELECT conv_id, turn, lower(regexp_replace(""" + _SAID + r""", '^\s+|\s+$', '', 'g')) AS t FROM conversations)""")
 def noise_flag(spark, sf):
-    return read(spark, sf, "conversations").select("conv_id", "turn", P.is_noise(F.col("text")).alias("noise"))
+    return read(spark, sf, "conversations").select("conv_id", "turn", P.is_noise(_said()).alias("noise"))
+
+
+def _said():
+    return W.in_turn(F.col("turn"), W.SAID, F.col("text"))
 
 
 def _contains(column: str, phrases: list[str]) -> str:
     return " OR ".join(f"contains({column}, '{p.replace(chr(39), chr(39) * 2)}')" for p in phrases)
 
 
-@query(f"SELECT conv_id, turn, {_contains('lower(text)', P.REFUSALS)} AS refusal FROM conversations")
+@query(f"SELECT conv_id, turn, {_contains(f'lower({_SAID})', P.REFUSALS)} AS refusal FROM conversations")
 def refusal_flag(spark, sf):
-    return read(spark, sf, "conversations").select("conv_id", "turn", P.is_refusal(F.col("text")).alias("refusal"))
+    return read(spark, sf, "conversations").select("conv_id", "turn", P.is_refusal(_said()).alias("refusal"))
 
 
-@query(f"SELECT conv_id, turn, {_contains('lower(text)', P.RECOMMENDATIONS)} AS recommendation FROM conversations")
+@query(f"SELECT conv_id, turn, {_contains(f'lower({_SAID})', P.RECOMMENDATIONS)} AS recommendation FROM conversations")
 def recommendation_flag(spark, sf):
-    return read(spark, sf, "conversations").select("conv_id", "turn", P.is_recommendation(F.col("text")).alias("recommendation"))
+    return read(spark, sf, "conversations").select("conv_id", "turn", P.is_recommendation(_said()).alias("recommendation"))
 
 
-@query(rf"SELECT conv_id, turn, length(t) <= 80 AND ({_contains('t', P.DEICTICS)}) AS deictic FROM (SELECT conv_id, turn, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS t FROM conversations)")
+@query(rf"SELECT conv_id, turn, length(t) <= 80 AND ({_contains('t', P.DEICTICS)}) AS deictic FROM (SELECT conv_id, turn, lower(regexp_replace({_SAID}, '^\s+|\s+$', '', 'g')) AS t FROM conversations)")
 def deictic_flag(spark, sf):
-    return read(spark, sf, "conversations").select("conv_id", "turn", P.is_deictic(F.col("text")).alias("deictic"))
+    return read(spark, sf, "conversations").select("conv_id", "turn", P.is_deictic(_said()).alias("deictic"))
 
 
-@query()
+def _role_sql() -> str:
+    """The first role in the order of asks and roles, else the first verb."""
+    cases = [f"WHEN contains(t, '{(ask + role).replace(chr(39), chr(39) * 2)}') THEN '{role}'" for ask in P.ROLE_ASKS for role in P.ROLES]
+    cases += [f"WHEN contains(t, 'who {v} ') THEN '{v[:-2]}'" for v in P.ROLE_VERBS]
+    return f"SELECT conv_id, turn, CASE {' '.join(cases)} END AS role_asked FROM (SELECT conv_id, turn, lower({_SAID}) AS t FROM conversations)"
+
+
+@query(_role_sql())
 def role_asked(spark, sf):
-    return read(spark, sf, "conversations").select("conv_id", "turn", P.role_asked(F.col("text")).alias("role_asked"))
+    return read(spark, sf, "conversations").select("conv_id", "turn", P.role_asked(_said()).alias("role_asked"))
 
 
-@query(r"SELECT page_id, length(regexp_replace(left(html, 4096), '[^\x01-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')) < 0.15 * length(left(html, 4096)) AS text_like FROM pages")
+@query(r"SELECT page_id, page_id % 3 <> 0 AND length(regexp_replace(left(t, 4096), '[^\x01-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')) < 0.15 * length(left(t, 4096)) AS text_like FROM (SELECT page_id, CASE WHEN page_id % 3 = 1 THEN replace(html, 'e', chr(7) || chr(7)) ELSE html END AS t FROM pages)")
 def text_like(spark, sf):
-    return read(spark, sf, "pages").select("page_id", P.is_text_like(F.col("html")).alias("text_like"))
+    """Pages as they are, with control characters, and with a NUL."""
+    h, k = F.col("html"), F.col("page_id") % 3
+    t = F.when(k == 0, F.concat(h, F.lit("\0"))).when(k == 1, F.replace(h, F.lit("e"), F.lit("\x07\x07"))).otherwise(h)
+    return read(spark, sf, "pages").select("page_id", P.is_text_like(t).alias("text_like"))
 
 
-@query("SELECT page_id, CASE WHEN starts_with(html, '%PDF') THEN 'pdf' WHEN starts_with(html, '{\\rtf') THEN 'rtf' ELSE 'unknown' END AS format FROM pages")
+@query("SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'pdf' WHEN 1 THEN 'rtf' WHEN 2 THEN 'zip' WHEN 3 THEN 'png' WHEN 4 THEN 'jpeg' WHEN 5 THEN 'gif' ELSE 'unknown' END AS format FROM pages")
 def format_sniff(spark, sf):
-    return read(spark, sf, "pages").select("page_id", P.magic_format(F.col("html").cast("binary")).alias("format"))
+    """Pages behind the first bytes of each format."""
+    signs = ["255044462D312E37", "7B5C72746631", "504B0304", "89504E470D0A1A0A", "FFD8FFE0", "474946383961", ""]
+    head = F.unhex(F.get(F.array(*[F.lit(x) for x in signs]), (F.col("page_id") % 7).cast("int")))
+    return read(spark, sf, "pages").select("page_id", P.magic_format(F.concat(head, F.col("html").cast("binary"))).alias("format"))
 
 
 @query("SELECT doc_id, regexp_matches(text, '[0-9]{4,}') AS hit, len(regexp_extract_all(text, '[0-9]{4,}')) AS n FROM documents")
@@ -167,9 +216,13 @@ def page_signature(spark, sf):
     return read(spark, sf, "part").select("p_name", T.page_signature(name).alias("signature")).distinct()
 
 
-@query(r"SELECT page_id, regexp_matches(CAST(page_id AS VARCHAR), '^\d+$') AS lone FROM pages")
+_NUMBERS = [("12", True), (" 407 ", True), ("xiv", True), ("MCMXC", True), ("iiii", False), ("page 3", False), ("12a", False), ("", False), ("mmdccclxxxviii", False), ("IX.", False)]
+
+
+@query("SELECT page_id, CASE page_id % 10 " + " ".join(f"WHEN {n} THEN {str(x).lower()}" for n, (_, x) in enumerate(_NUMBERS)) + " END AS lone FROM pages")
 def lone_page_number(spark, sf):
-    return read(spark, sf, "pages").select("page_id", T.is_lone_page_number(F.col("page_id").cast("string")).alias("lone"))
+    """Digits and strict roman numerals of up to seven letters, and what only looks like them."""
+    return read(spark, sf, "pages").select("page_id", T.is_lone_page_number(W.in_turn(F.col("page_id"), [t for t, _ in _NUMBERS], F.lit(None))).alias("lone"))
 
 
 @query(r"""
@@ -243,9 +296,10 @@ def reading_time(spark, sf):
     return read(spark, sf, "events").where("value is not null").select("event_id", T.reading_minutes(F.round("value").cast("long"), F.lit(100.0)).alias("minutes"))
 
 
-@query("SELECT doc_id, 'search_query: ' || left(text, 40) AS q FROM documents")
+@query("SELECT doc_id, md5('search_query: ' || text) AS query, md5('search_document: ' || text) AS document FROM documents")
 def embed_prefix(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", T.prefixed(F.left("text", F.lit(40)), "query").alias("q"))
+    t = F.col("text")
+    return read(spark, sf, "documents").select("doc_id", F.md5(T.prefixed(t, "query")).alias("query"), F.md5(T.prefixed(t, "document")).alias("document"))
 
 
 @query("SELECT doc_id, left(text, 250) AS head FROM documents")
@@ -265,24 +319,36 @@ def anchor_capture(spark, sf):
     return read(spark, sf, "documents").where(F.length("text") > 200).select("doc_id", a["text"].alias("anchor_text"), a["before"].alias("before"), a["after"].alias("after"))
 
 
-@query("SELECT doc_id, 100 AS at FROM documents WHERE length(text) > 200")
+@query("""
+WITH m AS (SELECT doc_id, text, 'New words put before it. ' || text AS t, substr(text, 101, 40) AS a, substr(text, 53, 48) AS b FROM documents WHERE length(text) > 200)
+SELECT doc_id, CASE WHEN substr(t, 101, 40) = a THEN 100 ELSE position(b || a IN t) - 1 + 48 END AS at FROM m""")
 def anchor_refine(spark, sf):
-    """An anchor taken after 100 characters and looked for where it was."""
+    """An anchor taken after 100 characters, looked for where it was after words were put before the text."""
     d = read(spark, sf, "documents").where(F.length("text") > 200)
     a = T.anchor(F.col("text"), F.lit(100), F.lit(140))
-    return d.select("doc_id", T.refine_anchor(F.col("text"), F.lit(100), a["text"], a["before"], a["after"]).alias("at"))
+    moved = F.concat(F.lit("New words put before it. "), F.col("text"))
+    return d.select("doc_id", T.refine_anchor(moved, F.lit(100), a["text"], a["before"], a["after"]).cast("long").alias("at"))
 
 
-@query()
+@query(r"""
+WITH s AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents), c AS (SELECT *, regexp_replace(left(s, 48), '\s+\S*$', '') AS cut FROM s)
+SELECT doc_id, CASE WHEN length(s) <= 48 THEN s WHEN length(cut) >= 24 THEN cut ELSE left(s, 48) END AS print FROM c""")
 def anchor_fingerprint(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("print"))
 
 
-@query("SELECT p_partkey, lower(p_name) AS token, true AS same FROM part")
+@query("SELECT p_partkey, p_partkey % 3 < 2 AND regexp_matches(p_name, '[a-zA-Z0-9]') AS same FROM part")
 def resegmentation(spark, sf):
-    return read(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("token"), T.is_resegmentation(F.col("p_name"), F.concat_ws(" - ", "p_name", F.lit(""))).alias("same"))
+    """A name with spaces and hyphens put in, with its spaces left out, and with a letter more."""
+    n, k = F.col("p_name"), F.col("p_partkey") % 3
+    new = F.when(k == 0, F.regexp_replace(F.upper(n), "([AEIOU])", "$1- ")).when(k == 1, F.replace(n, F.lit(" "), F.lit(""))).otherwise(F.concat(n, F.lit("s")))
+    return read(spark, sf, "part").select("p_partkey", T.is_resegmentation(n, new).alias("same"))
 
 
-@query()
+@query(r"""
+WITH w AS (SELECT p_partkey, p_name, p_type, list_filter(regexp_split_to_array(regexp_replace(p_name, '^[0-9IVXLC]+(?:[.\-][0-9A-Za-z]+)*[.:]?\s*', ''), '\s+'), lambda x: regexp_matches(x, '\p{L}')) AS w,
+list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 2)) AS own, regexp_split_to_array(lower(p_type), '[^\p{L}\p{N}]+') AS other FROM part)
+SELECT p_partkey, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: regexp_matches(x, '^\P{L}*\p{Lu}'))) / len(w) ELSE 0 END, 6) AS shape,
+round(CASE WHEN len(own) > 0 THEN len(list_intersect(own, other)) / len(own) ELSE 0 END, 6) AS overlap, regexp_matches(p_name, '^(?:(?i:chapter|part|section|article|schedule)\s+)?\d{1,3}(?:\.\d{1,3}){0,3}\.?\s+\p{L}') AS numbered FROM w""")
 def title_shapes(spark, sf):
     return read(spark, sf, "part").select("p_partkey", F.round(T.title_shape(F.col("p_name")), 6).alias("shape"), F.round(T.title_overlap(F.col("p_name"), F.col("p_type")), 6).alias("overlap"), F.col("p_name").rlike(T.SECTION_NUMBER).alias("numbered"))
