@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rewrite import trim_ws
+from .rewrite import bind, trim_ws
 
 # Constants and patterns that decide a result.
 CHARS_PER_TOKEN = 2.5
@@ -34,7 +34,17 @@ QUOTES = [r'"([^"]{3,80})"', r"'([^']{3,80})'", "“([^”]{3,80})”"]
 FOOTNOTE = r"(?<=[^0-9\s.]\.[0-9]{1,3})\s+(?=\p{Lu})"
 SENTENCE = r"[^.!?]*[.!?]|[^.!?]+$"
 LIST_MARK = r"^(?:•|\d+\.)\s+"
+CAPTION_PREFIX = "^(?i)(.+?[.!?][\"'“”‘’]?\\s+)(chapter\\s+[ivxlcdm0-9]+\\b.*)$"
+TWICE_MARKED = r"^(?i:[ivxlcdm]{1,8}\s+)((?i:chapter|part|section|appendix|article|book)\s+(?i:[ivxlcdm\d]{1,8})\b.*)$"
+EMBEDDED_SECTION = r"\b\d{1,3}(?:\.\d{1,3}){0,3}\.?\s+[A-Z]"
+# How lines begin that tell of a book, and that end its title.
+METADATA = [
+    "the project gutenberg", "project gutenberg", "this ebook is", "release date:", "language:", "character set",
+    "posting date:", "most recently updated:", "produced by", "credits:", "ebook designed and",
+]
+TITLE_ENDS = ["by ", "author:", "chapter ", "contents", "etymology", "foreword", "preface", "introduction", "dedication"]
 WATERMARKS = [
+    r"(?is)This document was created by an unregistered ChmMagic.{0,80}?bisenter\.com\s+to\s+(?:register\s+it\s*\.\s*Thanks\s*\.?|registe\w*\.?)\s*",
     r"(?is)Evaluation Only\.\s*Created with Aspose\.[A-Za-z]+\.[^.]*\.",
     r"(?is)(?:Generated|Created)\s+(?:by|with)\s+[Cc]alibre[^.\n]{0,80}\.",
     r"(?is)Evaluation Only[.,]?\s+(?:Please\s+)?(?:register|visit|trial)[^.]*?https?://\S+[^.\s]*\.?",
@@ -133,11 +143,24 @@ def resolve_title(content_title: Column, file_name: Column) -> Column:
 
 
 def txt_title(t: Column) -> Column:
-    """The Title: line, or else a short first line."""
-    told = trim_ws(F.regexp_extract(t, r"(?im)^Title:[ \t]*(.+?)[ \t]*$", 1))
-    lines = F.filter(F.transform(F.slice(F.split(t, "\n"), 1, 50), trim_ws), lambda x: x != "")
-    first = F.get(lines, 0)
-    return F.when(told != "", told).when(F.length(first) <= 80, first)
+    """The Title: line with what is indented under it; else the first lines, up to four, before an author, a part or a long line, without metadata."""
+    lines = F.slice(F.split(t, r"\r\n|[\n\r\x{0B}\x{0C}\x{85}\x{2028}\x{2029}]"), 1, 200)
+    told = F.regexp_extract(F.array_join(lines, "\n"), r"(?i)(?:^|\n)[ \t]*title:[ \t]*([^\n]*(?:\n[ \t]+[^\n]*[^\s][^\n]*)*)", 1)
+    told = F.trim(F.regexp_replace(told, r"[ \t]*\n[ \t]+", " "))
+
+    def opening(bare: Column) -> Column:
+        low = lambda x: F.lower(x)
+        meta = lambda x: (x == "") | x.startswith("***") | low(x).rlike("^(?:" + "|".join(METADATA) + ")")
+        skip = F.aggregate(bare, F.struct(F.lit(0).alias("n"), F.lit(False).alias("done")), lambda a, x: F.struct(F.when(a["done"] | ~meta(x), a["n"]).otherwise(a["n"] + 1).alias("n"), (a["done"] | ~meta(x)).alias("done")), lambda a: a["n"])
+        rest = F.slice(F.filter(F.slice(bare, skip + 1, F.lit(200)), lambda x: x != ""), 1, 4)
+        stop = lambda x: low(x).rlike("^(?:" + "|".join(TITLE_ENDS) + ")") | x.startswith("***") | (F.length(x) > 100)
+        begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("done"))
+        parts = F.aggregate(rest, begin, lambda a, x: F.struct(F.when(a["done"] | stop(x), a["out"]).otherwise(F.concat(a["out"], F.array(x))).alias("out"), (a["done"] | stop(x)).alias("done")), lambda a: a["out"])
+        first = F.get(F.filter(bare, lambda x: x != ""), 0)
+        alone = F.when((F.length(first) <= 120) & ~first.rlike(r"[.!?]$"), first)
+        return bind(parts, lambda p: F.when(F.size(p) > 0, F.regexp_replace(F.array_join(p, " "), r"^[. ]+|[. ]+$", "")).otherwise(alone))
+
+    return F.when(told != "", told).otherwise(bind(F.transform(lines, lambda x: F.regexp_replace(x, r"^[\p{Zs}\t]+|[\p{Zs}\t]+$", "")), opening))
 
 
 def split_authors(raw: Column) -> Column:
@@ -214,9 +237,25 @@ def is_repetition(t: Column) -> Column:
 
 
 def trim_repetition(t: Column, closing: str = "") -> Column:
-    """One copy of a run of equal sentences at the end, and a fixed closing in place of the rest."""
-    found = F.regexp_replace(t, r"(?s)(.{30,80}?)\1{2,}$", "$1")
-    return F.when(found != t, F.concat(found, F.lit(closing))).otherwise(t)
+    """One copy of equal tails of 30, 40, ... 80 characters and then of a short string that ends the text four times; a closing behind what was cut."""
+
+    def copies(x: Column, size: int) -> Column:
+        """How often the text's last ``size`` characters end it, one after the other."""
+        last = F.right(x, F.lit(size))
+        spots = F.sequence(F.lit(1), F.greatest((F.length(x) / size).cast("int"), F.lit(1)))
+        same = F.transform(spots, lambda k: F.substring(x, F.length(x) - k * size + 1, F.lit(size)) == last)
+        first_other = F.array_position(same, F.lit(False))
+        return F.when(F.length(x) < size, 0).when(first_other > 0, first_other - 1).otherwise(F.size(same)).cast("int")
+
+    def cut(x: Column, sizes: list[int], least: int, sound) -> Column:
+        counts = F.array(*[F.struct(F.when(sound(n), copies(x, n)).otherwise(0).alias("n"), F.lit(n).alias("size")) for n in sizes])
+        first = F.get(F.filter(counts, lambda c: c["n"] >= least), 0)
+        return bind(first, lambda c: F.when(c.isNotNull(), F.left(x, F.length(x) - (c["n"] - 1) * c["size"])).otherwise(x))
+
+    long = bind(t, lambda x: cut(x, list(range(30, 81, 10)), 2, lambda n: F.length(x) >= 2 * n))
+    short = bind(long, lambda x: cut(x, list(range(2, 11)), 4, lambda n: (F.least(F.length(x), F.lit(60)) >= 4 * n) & (F.length(trim_ws(F.right(x, F.lit(n)))) >= 2)))
+    ending = F.lit(" " + closing if closing else "")
+    return bind(short, lambda x: F.when(F.length(trim_ws(x)) < F.length(trim_ws(t)), F.concat(trim_ws(x), ending)).otherwise(trim_ws(x)))
 
 
 def fingerprint(t: Column, most: int = 48) -> Column:
@@ -268,9 +307,28 @@ def is_resegmentation(token: Column, corrected: Column) -> Column:
     return (bare(token) == bare(corrected)) & (bare(token) != "")
 
 
+def without_caption(title: Column) -> Column:
+    """A chapter's title without the sentence of a picture's caption run into it."""
+    t = trim_ws(title)
+    chapter = F.regexp_extract(t, CAPTION_PREFIX, 2)
+    return F.when(chapter != "", trim_ws(chapter)).otherwise(t)
+
+
+def normal_toc_title(title: Column) -> Column:
+    """A contents title with its marker once, and from a section's number on where a dozen characters of prose come before that."""
+
+    def section(t: Column) -> Column:
+        found = F.regexp_substr(t, F.lit(EMBEDDED_SECTION))
+        at = F.instr(t, found)
+        before = trim_ws(F.substring(t, F.lit(1), at - 1))
+        return F.when(found.isNotNull() & (F.length(before) >= 12) & before.rlike(r"\p{Ll}"), trim_ws(F.substring(t, at, F.length(t)))).otherwise(t)
+
+    return bind(F.regexp_replace(trim_ws(title), TWICE_MARKED, "$1"), section)
+
+
 def strip_watermarks(t: Column) -> Column:
     for p in WATERMARKS:
-        t = F.regexp_replace(t, p, "")
+        t = F.regexp_replace(t, p, " ")
     return F.regexp_replace(t, r" {2,}", " ")
 
 

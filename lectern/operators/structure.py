@@ -26,6 +26,7 @@ PUBLISHING_TITLES = [
 ]
 LICENSE_START = r"(?im)^\s*\*\s*\*\s*\*\s*START\s+OF\s+(?:THE\s+|THIS\s+)?PROJECT\s+GUTENBERG\s+(?:E-?BOOK|ETEXT|EBOOK\s*™?).*?\*\s*\*\s*\*\s*$"
 LICENSE_END = r"(?im)^\s*\*\s*\*\s*\*\s*END\s+OF\s+(?:THE\s+|THIS\s+)?PROJECT\s+GUTENBERG\s+(?:E-?BOOK|ETEXT|EBOOK\s*™?).*?\*\s*\*\s*\*\s*$"
+BYLINE_END = r"(?im)^\s*End\s+of\s+(?:the\s+|this\s+)?Project\s+Gutenberg(?:['’]s|\s*™)?\b.*$"
 # Thresholds of the page check.
 FEW_CHARS, CAPS_TOKENS, MIXED_TOKENS, LONG_WORDS, LONG_WORD_CHARS = 50, 3, 3, 9.0, 100
 SEED_WEIGHTS = {"font": 0.30, "bold": 0.15, "caps": 0.15, "gap": 0.15, "indent": 0.15, "shape": 0.10}
@@ -65,14 +66,6 @@ def furniture(page_lines: DataFrame, band: int = 2, max_words: int = 8, least_pa
     return told.where(F.col("lone") | (F.col("hit") & ~F.coalesce(stays, F.lit(False)))).select("grp", "page", "line")
 
 
-def without_recurring(images: DataFrame, least: int = 3, share: float = 0.2) -> DataFrame:
-    """Images (doc_id, page, image) but those on ``least`` pages and ``share`` of their document's pages with images or more."""
-    pages = images.groupBy("doc_id").agg(F.count_distinct("page").alias("_pages"))
-    seen = images.groupBy("doc_id", "image").agg(F.count_distinct("page").alias("_seen"))
-    often = seen.join(pages, "doc_id").where((F.col("_seen") >= least) & (F.col("_seen") >= share * F.col("_pages")))
-    return images.join(often.select("doc_id", "image"), ["doc_id", "image"], "left_anti").select(*images.columns)
-
-
 def running_headers(candidates: DataFrame, least: int = 3, window: int = 5, neighbours: int = 2) -> DataFrame:
     """Candidates (grp, page, zone, form) that repeat, and on enough other pages nearby."""
     c = candidates.distinct()
@@ -118,10 +111,31 @@ def merge_tiers(first: Column, second: Column, mode: Column) -> Column:
 
 
 def license_bounds(t: Column) -> Column:
-    """(begin, end): content between the licence's markers, as offsets; without markers the whole text."""
-    start, stop = F.regexp_substr(t, F.lit(LICENSE_START)), F.regexp_substr(t, F.lit(LICENSE_END))
-    begin = F.when(start.isNotNull(), F.instr(t, start) - 1 + F.length(start)).otherwise(0)
-    return F.struct(begin.alias("begin"), F.when(stop.isNotNull(), F.instr(t, stop) - 1).otherwise(F.length(t)).alias("end"))
+    """(begin, end): where content starts after the licence's first marker and stops before its last, as offsets; without markers the whole text.
+
+    A line that ends the book without stars counts if it comes at most 3000 characters before the last marker, or, without
+    that marker, in the last 15 % of the text. Markers in the wrong order count for nothing.
+    """
+    start = F.regexp_substr(t, F.lit(LICENSE_START))
+    last = lambda p: F.try_element_at(F.regexp_extract_all(t, F.lit(p), F.lit(0)), F.lit(-1))
+    place = lambda x: F.length(t) - F.instr(F.reverse(t), F.reverse(x)) + 1 - F.length(x)  # noqa: E731  the last one
+    n = F.length(t)
+
+    def ends(x: Column) -> Column:
+        near = x["star"].isNull() & (x["line"] * 100 > n * 85) | (x["line"] < x["star"]) & (x["star"] - x["line"] <= 3000)
+        return F.when(F.coalesce(near, F.lit(False)), x["line"]).otherwise(x["star"])
+
+    pair = F.get(F.transform(F.array(F.struct(last(LICENSE_END).alias("s"), last(BYLINE_END).alias("l"))), lambda x: F.struct(place(x["s"]).alias("star"), place(x["l"]).alias("line"))), 0)
+
+    def told(x: Column) -> Column:
+        marker = F.instr(t, start) - 1 + F.length(start)
+        wrong = F.coalesce(x <= marker, F.lit(False))
+        begin = marker + F.length(F.regexp_extract(F.substring(t, marker + 1, n), r"(?U)^(\s*)", 1))
+        before = F.substring(t, F.lit(1), x)
+        end = F.length(F.regexp_replace(before, r"(?U)\s+$", ""))
+        return F.struct(F.when(start.isNotNull() & ~wrong & (begin < n), begin).otherwise(0).alias("begin"), F.when(x.isNotNull() & ~wrong & (end > 0), end).otherwise(n).alias("end"))
+
+    return bind(bind(pair, ends), told)
 
 
 def dot_leader_runs(page_lines: DataFrame, least: int = 3) -> DataFrame:

@@ -303,16 +303,6 @@ def summary_clear(spark, sf):
     return keyed.delete(e, e.where("vec_id >= 400 and label = 3"), ["vec_id"]).select("vec_id", "label")
 
 
-@query("""
-WITH i AS (SELECT l_suppkey AS doc_id, l_orderkey % 40 AS page, l_partkey % 30 AS image, l_linenumber AS n FROM lineitem),
-t AS (SELECT doc_id, count(DISTINCT page) AS pages FROM i GROUP BY doc_id), k AS (SELECT doc_id, image, count(DISTINCT page) AS seen FROM i GROUP BY doc_id, image)
-SELECT DISTINCT i.doc_id, i.page, i.image FROM i JOIN t USING (doc_id) JOIN k USING (doc_id, image) WHERE NOT (seen >= 3 AND seen >= 0.2 * pages)""")
-def recurring_images(spark, sf):
-    """Images that recur on a fifth of a document's pages are furniture and go."""
-    i = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") % 40).alias("page"), (F.col("l_partkey") % 30).alias("image"))
-    return S.without_recurring(i.distinct(), least=3, share=0.2)
-
-
 @query(_UNITS + r""", h AS (SELECT doc_id, sequence / 10.0 AS n FROM units WHERE regexp_matches(text, '(?:^|[^\p{L}\p{N}_])(?:The|Die|Le|La|De|And)(?:$|[^\p{L}\p{N}_])')),
 g AS (SELECT *, CASE WHEN n - lag(n) OVER (PARTITION BY doc_id ORDER BY n) <= 4 THEN 0 ELSE 1 END AS fresh FROM h), r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM g)
 SELECT doc_id, CAST(min(n) AS DOUBLE) AS first, CAST(max(n) AS DOUBLE) AS last FROM r GROUP BY doc_id, run HAVING count(*) >= 2""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contents, memory, scans, search, streams, structures, texts  # noqa: F401  they register
+from . import contents, library, memory, scans, search, streams, structures, texts  # noqa: F401  they register
 from .registry import ORACLES, QUERIES, Query
 
 

@@ -216,17 +216,23 @@ def toc_classify(spark, sf):
 
 
 _START = "*** START OF THE PROJECT GUTENBERG EBOOK OF WORDS ***"
+_ENDS = ["\n\nEnd of Project Gutenberg's Words, by Nobody\n", "\n*** END OF THE PROJECT GUTENBERG EBOOK OF WORDS ***\nterms"]
 
 
 @query(f"""
-SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN {len(_START) + 5} ELSE 0 END AS begin, CASE WHEN doc_id % 3 = 0 THEN {len(_START) + 6} + length(text) + 1 WHEN doc_id % 3 = 1 THEN {len(_START) + 6} + length(text) ELSE length(text) END AS "end" FROM documents""")
+WITH d AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 5 < 3 THEN {len(_START) + 7} ELSE 0 END AS begin,
+CASE doc_id % 5 WHEN 0 THEN {len(_START) + 7} + length(t) WHEN 1 THEN {len(_START) + 7} + length(t) WHEN 2 THEN {len(_START) + 7} + length(t) WHEN 3 THEN CASE WHEN (length(t) + 1) * 100 > (length(t) + {len(_ENDS[0])}) * 85 THEN length(t) ELSE length(t) + {len(_ENDS[0])} END ELSE {len(_ENDS[1])} + {len(_START) + 2} + length(t) END AS "end"
+FROM d WHERE t <> ''""")
 def license_bounds(spark, sf):
-    """Documents behind a licence's first marker, before its last, and without either."""
-    t, k = F.col("text"), F.col("doc_id") % 3
-    head = F.concat(F.lit("Book\n" + _START + "\n"), t)
-    text = F.when(k == 0, F.concat(head, F.lit("\n*** END OF THE PROJECT GUTENBERG EBOOK OF WORDS ***\nterms"))).when(k == 1, head).otherwise(t)
+    """Documents behind a licence's first marker, before its last, before a last line and the marker, before a last line alone, and with the markers in the wrong order."""
+    t, k = F.regexp_replace("text", r"^\s+|\s+$", ""), F.col("doc_id") % 5
+    head = F.concat(F.lit("Book\n" + _START + "\n\n"), t)
+    line, star = F.lit(_ENDS[0]), F.lit(_ENDS[1])
+    text = F.when(k == 0, F.concat(head, star)).when(k == 1, head).when(k == 2, F.concat(head, line, star)).when(k == 3, F.concat(t, line)).otherwise(F.concat(star, F.lit("\n" + _START + "\n"), t))
     b = S.license_bounds(F.col("t"))
-    return read(spark, sf, "documents").select("doc_id", text.alias("t")).select("doc_id", b["begin"].alias("begin"), b["end"].alias("end"))
+    d = read(spark, sf, "documents").where(t != "")
+    return d.select("doc_id", text.alias("t")).select("doc_id", b["begin"].alias("begin"), b["end"].alias("end"))
 
 
 @query(_BOOK_LINES + r""", h AS (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM l WHERE regexp_matches(text, '[.·•…]{3,}\s*\d{1,4}\s*$'))

@@ -142,7 +142,7 @@ def norm_mojibake(spark, sf):
     return d.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"))
 
 
-@query(_sql(r"regexp_replace(regexp_replace(regexp_replace(" + _DIRTY + r", '(?is)Evaluation Only\.\s*Created with Aspose\.[A-Za-z]+\.[^.]*\.', '', 'g'), '(?is)(?:Generated|Created)\s+(?:by|with)\s+[Cc]alibre[^.\n]{0,80}\.', '', 'g'), ' {2,}', ' ', 'g')"))
+@query(_sql(r"regexp_replace(regexp_replace(regexp_replace(" + _DIRTY + r", '(?is)Evaluation Only\.\s*Created with Aspose\.[A-Za-z]+\.[^.]*\.', ' ', 'g'), '(?is)(?:Generated|Created)\s+(?:by|with)\s+[Cc]alibre[^.\n]{0,80}\.', ' ', 'g'), ' {2,}', ' ', 'g')"))
 def strip_watermarks(spark, sf):
     return _digest(spark, sf, T.strip_watermarks, column=W.dirty(F.col("text")))
 

@@ -47,7 +47,7 @@ def one(spark):
         (T.fingerprint, "short", "short"),
         (P.role_asked, "Who is the editor of this?", "editor"),
         (P.role_asked, "who translated it", "translat"),
-        (H.byline, "<h1>T</h1><h2>By A. Body</h2>", "By A. Body"),
+        (H.byline, '<h1>T</h1><h4 class="author">Written by A. Body</h4>', "A. Body"),
     ],
 )
 def test_text_functions(one, step, text, want):
