@@ -221,7 +221,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     asking = rows.where("asks").groupBy("id").agg(F.min("vec").alias("vec"))
     asking = cut(asking.select("id", "vec").mapInArrow(_asked(k, seeded, rotation, longest), "q_id long, q_vec array<double>, floor double, reach int"))
     blocks = max(1, -(-(asking.agg(F.sum(F.size("q_vec"))).first()[0] or 0) // cells))
-    asking = cut(asking.repartitionByRange(blocks, F.col("reach").desc(), "q_id").select("*", F.spark_partition_id().alias("block")))
+    if blocks > 1:
+        asking = cut(asking.repartitionByRange(blocks, F.col("reach").desc(), "q_id").select("*", F.spark_partition_id().alias("block")))
+    else:
+        asking = asking.withColumn("block", F.lit(0))
     reach = asking.groupBy("block").agg(F.max("reach").alias("reach"), F.count("*").alias("n")).toArrow()  # a row per block of queries
     met = {int(p): [int(b) for b, r in zip(reach.column("block").to_numpy(), reach.column("reach").to_numpy()) if r > place] for place, p in enumerate(parts)}
     where = spark.createDataFrame([(p, place, b) for place, p in enumerate(map(int, parts)) if (b := met[p])], "part int, place int, blocks array<int>")
