@@ -251,3 +251,173 @@ def suspect_tokens(docs: DataFrame, dictionary: DataFrame, most: int = 1000) ->
     split = cuts.join(dictionary.select(F.col("word").alias("a")), "a", "left_semi").join(dictionary.select(F.col("word").alias("b")), "b", "left_semi")
     order = Window.partitionBy("doc_id").orderBy("at")
     return split.select("doc_id", "token", "at").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("doc_id", "token")
+
+
+# A catalogue's opening sentences and words of its lines, shapes of entries told by keywords, bounds of the walk.
+CATALOG_ANCHORS = ["There are several editions of this ebook", "Click on any of the filenumbers below"]
+CATALOG_WORDS = ["ebook", "filenumber", "characteristics", "preferred file"]
+CATALOG_CHARS, WALK_GAP = 3000, 5000
+KEYWORD_LINE = re.compile(r"(?im)^\s*(?:chapter|part|section|appendix|book|volume)\s+[ivxlcdm0-9]+\b.{0,200}$")
+KEYWORD = re.compile(r"(?i)\b(?:chapter|part|section|appendix)\s+[ivxlcdm0-9]+\b")
+ANCHOR_PAGES, MORE_PAGES, TITLE_WORDS, ENTRY_CHARS = 8, 4, 16, 250
+EPUB_FRONT = ["produced in epub format by the internet archive", "created with hocr-to-epub", "<title>notice</title>", "epub:type=\"toc\"", "epub:type='toc'"]
+ROMAN = re.compile(r"^M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$")
+
+
+def catalog_region_end(text: str, skip: int) -> int | None:
+    """Where a catalogue of editions after ``skip`` ends: lines past its opening that are blank, numbers, bracketed or speak of files; None without one."""
+    if skip >= len(text):
+        return None
+    head = text[skip : skip + CATALOG_CHARS]
+    anchored = lambda x: any(a.lower() in x.lower() for a in CATALOG_ANCHORS)
+    at, end = skip, None
+    for line in head.split("\n"):
+        at += len(line) + 1
+        bare = line.strip(" \t\xa0")
+        if end is None:
+            end = at if anchored(bare) else None
+        elif not bare or re.fullmatch(r"\d+", bare) or (bare[0] == "(" and bare[-1] == ")") or any(w in bare.lower() for w in CATALOG_WORDS):
+            end = at
+        else:
+            break
+    return None if end is None else min(end, len(text))
+
+
+def first_prose(text: str, start: int, end: int) -> int | None:
+    """Offset of the first line between that reads as prose: 60 characters, five small letters, a sentence's end."""
+    at = start
+    while at < end:
+        stop = text.find("\n", at, end)
+        stop = end if stop < 0 else stop
+        line = text[at:stop].strip()
+        if len(line) >= 60 and sum(c.islower() for c in line) >= 5 and re.search("[.!?]", line):
+            return at
+        at = stop + 1
+    return None
+
+
+def walk_start(toc: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, start, by_prose): where reading starts, from a walk of the contents to the first title of the body.
+
+    toc: (doc_id, play_order, title, offset); docs: (doc_id, text, skip). Entries at or before the skip don't count. Past publishing matter the
+    body's offset holds; without any, a gap of more than 5000 characters gives way to the first prose in it. Null without a body title.
+    """
+    from .structure import classify_title
+
+    e = toc.join(docs.select("doc_id", "skip"), "doc_id").where(F.col("offset") > F.col("skip")).withColumn("class", classify_title(F.col("title")))
+    body = e.where("class = 'body'").groupBy("doc_id").agg(F.min("play_order").alias("first"), F.min_by("offset", "play_order").alias("body"))
+    passed = e.where("class = 'publishing'").groupBy("doc_id").agg(F.min("play_order").alias("matter"))
+    d = docs.join(body, "doc_id", "left").join(passed, "doc_id", "left").withColumn("walked", F.coalesce(F.col("matter") < F.col("first"), F.lit(False)))
+    line = F.split(F.substring("text", F.col("skip") + 1, F.col("body") - F.col("skip")), "\n")
+    prose = lambda x: (F.length(trim_ws(x)) >= 60) & (F.regexp_count(trim_ws(x), F.lit(r"\p{Ll}")) >= 5) & trim_ws(x).rlike("[.!?]")
+    begin = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("found"))
+    seek = F.aggregate(line, begin, lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.coalesce(a["found"], F.when(prose(x), a["at"])).alias("found")), lambda a: a["found"])
+    found = F.when(F.col("body").isNotNull() & ~F.col("walked") & (F.col("body") - F.col("skip") > WALK_GAP), seek)
+    d = d.withColumn("found", found)
+    use = F.coalesce(F.col("found") > 0, F.lit(False))
+    return d.select("doc_id", F.when(use, F.col("skip") + F.col("found")).otherwise(F.col("body")).cast("long").alias("start"), use.alias("by_prose"))
+
+
+def page_value(token: str) -> int | None:
+    """The page that a token of digits or a small roman numeral names."""
+    if re.fullmatch(r"\d{1,4}", token):
+        return int(token) or None
+    if len(token) >= 2 and token == token.lower() and ROMAN.match(token.upper()):
+        values = [{"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}[c] for c in token.upper()]
+        return sum(-v if v < max(values[n:]) else v for n, v in enumerate(values)) or None
+    return None
+
+
+def flow_entries(text: str) -> list[tuple[str, int]]:
+    """(title, page) of running text: words up to a page number, of which there are at most sixteen."""
+    out: list[tuple[str, int]] = []
+    held: list[str] = []
+    for token in re.split(r"[ \n\t\r]+", text):
+        bare = token.strip(".,:;()[]")
+        if not bare:
+            continue
+        page = page_value(bare)
+        if page is None:
+            held.append(token)
+            held = [] if len(held) > TITLE_WORDS else held
+            continue
+        title = " ".join(held).strip()
+        for anchor in ("table of contents", "contents"):
+            if title.lower().startswith(anchor):
+                title = title[len(anchor) :]
+                break
+        title = title.strip(" \t\n.…:;,-")
+        if len(title) >= 3 and sum(c.isalpha() for c in title) >= 3:
+            out.append((title, page))
+        held = []
+    return out
+
+
+def keyword_contents(pages: list[str]) -> tuple[int, int, list[tuple[str, int]]] | None:
+    """(begin, end, entries) of contents told by keywords: a page among the first that names contents and has five entries, and those that go on.
+
+    Entries are kept where there are five and their pages mostly rise; None without entries by lines or by flow.
+    """
+    by_line = lambda t: len(KEYWORD_LINE.findall(t))
+    by_word = lambda t: len(KEYWORD.findall(t))
+    names = lambda t: "table of contents" in t.lower() or re.search(r"(?:^|\s)contents(?:\s|$)", t.lower())
+    first = next((n for n, t in enumerate(pages[:ANCHOR_PAGES]) if names(t) and (by_line(t) >= ENTRIES or by_word(t) >= ENTRIES)), None)
+    if first is None:
+        return None
+    last = first
+    for n in range(first + 1, min(len(pages), first + MORE_PAGES + 1)):
+        lines = by_line(pages[n])
+        if not (len(pages[n]) // max(lines, 1) < ENTRY_CHARS if lines >= ENTRIES else by_word(pages[n]) >= ENTRIES):
+            break
+        last = n
+    begin = sum(len(t) + 2 for t in pages[:first])
+    end = begin + sum(len(t) + 2 for t in pages[first : last + 1])
+    found = flow_entries("\n\n".join(pages[first : last + 1]))
+    rising = [b >= a for (_, a), (_, b) in zip(found, found[1:])]
+    sound = found if len(found) >= ENTRIES and rising and sum(rising) / len(rising) >= 0.7 else []
+    return (begin, end, sound) if sound or by_line(pages[first]) >= ENTRIES else None
+
+
+def front_matter(spine: DataFrame) -> DataFrame:
+    """(doc_id, skip_until): where content starts behind a spine's (doc_id, n, html, start) items of front matter; 0 without any.
+
+    The last such item with an item behind it decides; an item of front matter at the end doesn't.
+    """
+    hit = F.lit(False)
+    for sign in EPUB_FRONT:
+        hit = hit | F.contains(F.lower("html"), F.lit(sign))
+    s = spine.select("doc_id", "n", "start", hit.alias("hit")).withColumn("after", F.lead("start").over(Window.partitionBy("doc_id").orderBy("n")))
+    return s.groupBy("doc_id").agg(F.coalesce(F.max_by(F.when(F.col("hit"), F.col("after")), F.when(F.col("hit") & F.col("after").isNotNull(), F.col("n"))), F.lit(0)).alias("skip_until"))
+
+
+def text_structure(pages: DataFrame) -> DataFrame:
+    """(doc_id, begin, end, entries) of (doc_id, page, text): contents by dot leaders, else by keywords; entries are (title, page)."""
+    per = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p")).select("doc_id", F.transform("p", lambda x: x["text"]).alias("texts"))
+    kind = f"doc_id {pages.schema['doc_id'].dataType.simpleString()}"
+
+    def by_leaders(texts: list[str]) -> tuple[int, int, list[tuple[str, int]]] | None:
+        leaders = [len(re.findall(LEADER, t)) for t in texts]
+        names = [("table of contents" in t.lower() or re.search(r"(?:^|\s)contents(?:\s|$)", t.lower())) and n >= ENTRIES for t, n in zip(texts, leaders)]
+        first = next((n for n, x in enumerate(names[:FIRST_PAGES]) if x), None)
+        if first is None:
+            return None
+        last = first
+        while last + 1 < len(texts) and leaders[last + 1] >= ENTRIES and len(texts[last + 1]) / leaders[last + 1] < CONTINUED:
+            last += 1
+        begin = sum(len(t) + 2 for t in texts[:first])
+        return begin, begin + sum(len(t) + 2 for t in texts[first : last + 1]), [e for t in texts[first : last + 1] for e in entries(t)]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for d, texts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                one = by_leaders(texts)
+                two = keyword_contents(texts) if one is None or not one[2] else None
+                if one or two:
+                    begin, end = (one or two)[:2]
+                    rows.append((d, begin, end, [{"title": t, "page": p} for t, p in ((one and one[2]) or (two and two[2]) or [])]))
+            cols = list(zip(*rows)) or [[]] * 4
+            entry = pa.list_(pa.struct([("title", pa.string()), ("page", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (b.schema.field(0).type, pa.int64(), pa.int64(), entry))], ["doc_id", "begin", "end", "entries"])
+
+    return per.mapInArrow(run, f"{kind}, begin long, end long, entries array<struct<title:string,page:long>>")

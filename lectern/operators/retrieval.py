@@ -183,3 +183,17 @@ def expansion_terms(response: Column) -> Column:
     clean = lambda s: F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.trim(s), r"^[\p{P}\p{N}•\s]+", "")), r"[^\p{L}\p{N} -]", ""))
     terms = F.transform(F.split(response, "\n"), clean)
     return F.slice(F.array_distinct(F.filter(terms, lambda s: (F.length(s) >= 2) & (F.length(s) <= 30) & ~F.contains(s, F.lit("  ")))), 1, 10)
+
+
+def trace(fused: DataFrame, most: int = 25) -> DataFrame:
+    """(query_id, id, rank, rrf, cosine, sem_rank, lex_rank, lexical_only) of each query's first rows: how a passage came to its place."""
+    order = Window.partitionBy("query_id").orderBy(F.round("rrf", 9).desc(), "id")
+    r = fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return r.select("query_id", "id", "rank", "rrf", F.col("sem_score").alias("cosine"), "sem_rank", "lex_rank", F.col("sem_rank").isNull().alias("lexical_only"))
+
+
+def evaluation(fused: DataFrame, texts: DataFrame, most: int = 5) -> DataFrame:
+    """(query_id, passages, best, total): each query's first passages put together, with their scores; texts: (id, text)."""
+    r = trace(fused, most).join(texts, "id")
+    per = r.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("p"), F.max("rrf").alias("best"), F.sum("rrf").alias("total"))
+    return per.select("query_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("passages"), "best", "total")

@@ -56,20 +56,30 @@ def plain_text(units: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.array_join(F.transform("u", lambda x: x["text"]), "\n\n").alias("plain_text"))
 
 
+def _beside(u: DataFrame, offsets: DataFrame, before: bool) -> DataFrame:
+    """Offsets with ``near``: the last unit that starts at or before each, or the first that ends past it; one window over both, so nothing is joined by range."""
+    at = F.col("start") if before else F.col("end") - 1
+    marks = u.select("doc_id", at.alias("at"), F.struct("sequence", "start", "end").alias("u"))
+    both = offsets.distinct().select("doc_id", F.col("offset").alias("at"), F.lit(None).cast(marks.schema["u"].dataType).alias("u"), F.lit(True).alias("asks")).unionByName(marks.withColumn("asks", F.lit(False)))
+    side = "asks"  # units come before the offsets that are equal to theirs
+    order = [F.col("at").asc_nulls_first(), F.col(side).asc()] if before else [F.col("at").desc_nulls_last(), F.col(side).asc()]
+    line = Window.partitionBy("doc_id").orderBy(*order, F.col("u.sequence").asc() if before else F.col("u.sequence").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("near", F.last("u", ignorenulls=True).over(line)).where("asks").select("doc_id", F.col("at").alias("offset"), "near")
+
+
 def unit_at(units: DataFrame, offsets: DataFrame) -> DataFrame:
     """(doc_id, offset, sequence): the unit that holds each offset; null in a gap; the text's end belongs to the last unit."""
-    u = with_offsets(units.where(is_prose(F.col("kind"))))
+    u = with_offsets(units.where(is_prose(F.col("kind")))).where("end > start")
     last = u.groupBy("doc_id").agg(F.max(F.struct("end", "sequence")).alias("last"))
-    held = (F.col("offset") >= F.col("start")) & (F.col("offset") < F.col("end"))
-    hit = offsets.join(u, "doc_id").where(held).select("doc_id", "offset", "sequence")
-    at = offsets.distinct().join(hit.distinct(), ["doc_id", "offset"], "left").join(last, "doc_id", "left")
-    return at.select("doc_id", "offset", F.coalesce("sequence", F.when(F.col("offset") == F.col("last.end"), F.col("last.sequence"))).alias("sequence"))
+    at = _beside(u, offsets, before=True).join(last, "doc_id", "left")
+    held = F.when(F.col("offset") < F.col("near.end"), F.col("near.sequence"))
+    return at.select("doc_id", "offset", F.coalesce(held, F.when(F.col("offset") == F.col("last.end"), F.col("last.sequence"))).alias("sequence"))
 
 
 def first_unit_after(units: DataFrame, offsets: DataFrame) -> DataFrame:
     """(doc_id, offset, sequence): the first prose unit that ends past each offset."""
-    u = with_offsets(units.where(is_prose(F.col("kind"))))
-    return offsets.join(u, "doc_id").where("end > offset").groupBy("doc_id", "offset").agg(F.min("sequence").alias("sequence"))
+    u = with_offsets(units.where(is_prose(F.col("kind")))).where("end > start")
+    return _beside(u, offsets, before=False).where("near is not null").select("doc_id", "offset", F.col("near.sequence").alias("sequence"))
 
 
 def page_numbers(units: DataFrame) -> DataFrame:
@@ -118,7 +128,41 @@ def demote_relisted(units: DataFrame, least: int = 3) -> DataFrame:
 
 
 def replace_token(units: DataFrame, original: str, corrected: str) -> DataFrame:
-    """Whole-word replacement; ``changed`` marks the rows that need new sentences."""
+    """Whole-word replacement in prose; ``changed`` marks the rows that need new sentences, ``times`` how often it was made.
+
+    Where units have them, a changed one's ``revision`` rises by one and its ``source_tier`` is ``token_replace``.
+    """
     quoted = r"\b" + "".join("\\" + c if not c.isalnum() else c for c in original) + r"\b"
     new = F.regexp_replace("text", quoted, corrected.replace("\\", "\\\\").replace("$", "\\$"))
-    return units.withColumn("changed", new != F.col("text")).withColumn("text", new)
+    times = F.when(is_prose(F.col("kind")), F.regexp_count("text", F.lit(quoted))).otherwise(0)
+    out = units.withColumn("times", times).withColumn("changed", F.col("times") > 0).withColumn("text", F.when(F.col("changed"), new).otherwise(F.col("text")))
+    if "revision" in units.columns:
+        out = out.withColumn("revision", F.col("revision") + F.col("changed").cast("int"))
+    if "source_tier" in units.columns:
+        out = out.withColumn("source_tier", F.when(F.col("changed"), "token_replace").otherwise(F.col("source_tier")))
+    return out
+
+
+def replace_token_everywhere(units: DataFrame, sentences: DataFrame, notes: DataFrame, original: str, corrected: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(units, sentences, notes): the token replaced in units, changed units cut into sentences anew, and the notes' marked texts follow.
+
+    sentences: (doc_id, sequence, n, text); notes: with ``anchor_text``.
+    """
+    from ..functions.text import sentences as cut_sentences
+
+    new = replace_token(units, original, corrected)
+    due = new.where("changed").select("doc_id", "sequence", F.posexplode(cut_sentences(F.col("text"))).alias("n", "text"))
+    kept = sentences.join(new.where("changed").select("doc_id", "sequence"), ["doc_id", "sequence"], "left_anti")
+    as_unit = notes.withColumnRenamed("text", "_text") if "text" in notes.columns else notes
+    marked = replace_token(as_unit.withColumn("text", F.col("anchor_text")).withColumn("_kind", F.col("kind")).withColumn("kind", F.lit("prose")), original, corrected)
+    marked = marked.withColumn("anchor_text", F.col("text")).withColumn("kind", F.col("_kind")).drop("text", "times", "changed", "_kind")
+    marked = marked.withColumnRenamed("_text", "text") if "text" in notes.columns else marked
+    return new, kept.unionByName(due), marked.select(*notes.columns)
+
+
+def skip_references(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """(doc_id, skip_seq, end_seq) of documents (doc_id, skip_seq, end_seq); a reference to a unit that isn't there is null."""
+    at = units.select("doc_id", "sequence")
+    skip, end = (at.withColumnRenamed("sequence", c) for c in ("skip_seq", "end_seq"))
+    told = docs.join(skip.withColumn("_skip", F.lit(True)), ["doc_id", "skip_seq"], "left").join(end.withColumn("_end", F.lit(True)), ["doc_id", "end_seq"], "left")
+    return told.select("doc_id", F.when(F.col("_skip"), F.col("skip_seq")).alias("skip_seq"), F.when(F.col("_end"), F.col("end_seq")).alias("end_seq"))

@@ -309,3 +309,55 @@ SELECT doc_id, CAST(min(n) AS DOUBLE) AS first, CAST(max(n) AS DOUBLE) AS last F
 def editorial_runs(spark, sf):
     u = units(spark, sf).withColumn("n", F.col("sequence") / 10)
     return S.editorial_runs(u, ["The", "Die", "Le", "La", "De", "And"], least_names=2, least_bios=0)
+
+
+_CATALOG = "Listing\nThere are several editions of this ebook in the collection.\n\n12345\n(Plain text)\nThe preferred file is first\n"
+
+
+@query(f"SELECT doc_id, CAST(0 AS BIGINT) AS n, CAST({len(_CATALOG)} + CASE WHEN starts_with(text, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS fin FROM documents WHERE regexp_matches(text, '^[^(0-9 \\n][^\\n]{{10}}') AND NOT regexp_matches(lower(string_split(text, chr(10))[1]), 'ebook|filenumber|characteristics|preferred file')")
+def catalog_region(spark, sf):
+    """Documents behind a catalogue of editions."""
+    first = F.lower(F.substring_index("text", "\n", 1))
+    d = read(spark, sf, "documents").where(F.col("text").rlike(r"^[^(0-9 \n][^\n]{10}") & ~first.rlike("ebook|filenumber|characteristics|preferred file"))
+    return G.each_part(d.select("doc_id", F.concat(F.lit(_CATALOG), "text").alias("text")), lambda t: [(C.catalog_region_end(t, 3),)], "fin long")
+
+
+_WALK = "t AS (SELECT doc_id, repeat(CASE WHEN doc_id % 2 = 0 THEN 'SHORT LINE' ELSE 'short line.' END || chr(10), CASE WHEN doc_id % 3 = 0 THEN 100 ELSE 600 END) || 'It was a long line of prose that goes on for more than sixty characters, and ends.' || chr(10) AS text FROM documents)"
+
+
+@query(f"""
+WITH {_WALK}, b AS (SELECT doc_id, length(text) AS body, length(text) - 83 AS prose, doc_id % 5 = 0 AS walked, doc_id % 7 = 0 AS none FROM t)
+SELECT doc_id, CASE WHEN none THEN NULL WHEN NOT walked AND body - 10 > 5000 THEN prose ELSE body END AS start, NOT none AND NOT walked AND body - 10 > 5000 AS by_prose FROM b""")
+def walk_start(spark, sf):
+    """Short lines and then prose before the body; some contents pass a colophon, some name no body."""
+    k = F.col("doc_id")
+    line = F.when(k % 2 == 0, "SHORT LINE\n").otherwise("short line.\n")
+    times = F.when(k % 3 == 0, 100).otherwise(600)
+    text = F.concat(F.repeat(line, times), F.lit("It was a long line of prose that goes on for more than sixty characters, and ends.\n"))
+    d = read(spark, sf, "documents").select("doc_id", text.alias("text"), F.lit(10).alias("skip"))
+    n = F.length("text")
+    rows = F.array(*[F.struct(F.lit(o).alias("play_order"), t.alias("title"), at.alias("offset")) for o, t, at in [(1, F.lit("Chapter 0"), F.lit(4)), (2, F.when(k % 5 == 0, "Colophon").otherwise("THE BOOK"), F.lit(20)), (3, F.when(k % 7 == 0, "Some words").otherwise("Chapter I"), n), (4, F.lit("Imprint"), n + 5)]])
+    toc = d.select("doc_id", F.explode(rows).alias("e")).select("doc_id", "e.*")
+    return C.walk_start(toc, d)
+
+
+@query("""
+WITH p AS (SELECT doc_id, length(text) + 2 AS lead, text FROM documents WHERE NOT regexp_matches(lower(text), 'contents'))
+SELECT doc_id, lead AS begin, lead + 130 AS "end", 5 AS n, 'Chapter I One' AS first, 25 AS last FROM p""")
+def keyword_contents(spark, sf):
+    """A contents page without dot leaders behind each document as the first page, and a page of prose behind that."""
+    page = "Contents\n" + "\n".join(f"Chapter {r} {w} {5 * n}" for n, (r, w) in enumerate([("I", "One"), ("II", "Two"), ("III", "Three"), ("IV", "Four"), ("V", "Five")], 1))
+    page = page + " " * (128 - len(page))
+    d = read(spark, sf, "documents").where(~F.lower("text").rlike("contents"))
+    pages = d.select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("page"), F.col("text")), F.struct(F.lit(2).alias("page"), F.lit(page).alias("text")), F.struct(F.lit(3).alias("page"), F.lit("Prose. " * 40).alias("text")))).alias("p")).select("doc_id", "p.*")
+    t = C.text_structure(pages)
+    return t.select("doc_id", "begin", "end", F.size("entries").alias("n"), F.get("entries", 0)["title"].alias("first"), F.try_element_at("entries", F.lit(-1))["page"].cast("int").alias("last"))
+
+
+@query("SELECT o_custkey AS doc_id, CAST(coalesce(max(CASE WHEN front THEN after END), 0) AS BIGINT) AS skip_until FROM (SELECT o_custkey, o_orderkey % 3 = 0 AS front, lead(o_orderkey * 10) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS after FROM orders) GROUP BY o_custkey")
+def epub_front_matter(spark, sf):
+    """Orders as a customer's spine, of which a third are front matter by one of its signs."""
+    k = F.col("o_orderkey")
+    html = F.when(k % 3 == 0, F.get(F.array(*[F.lit(f"<html>{x.upper()}</html>") for x in C.EPUB_FRONT]), (k % 5).cast("int"))).otherwise("<title>A chapter</title>")
+    s = read(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("n"), html.alias("html"), (k * 10).alias("start"))
+    return C.front_matter(s)

@@ -98,14 +98,18 @@ def asof_anchor(spark, sf):
     return C.as_of(e.where("event_type <> 'signup'"), e.where("event_type = 'signup'"), "user_id", "ts").select("event_id", "anchor")
 
 
-@query()
+@query(f"""
+WITH {_T}, s AS (SELECT DISTINCT conv_id, turn, conv_id * 7 + i * turn AS off, round(0.01 * (i + 1), 6) AS relevance FROM c, (SELECT unnest(range(5)) AS i) WHERE role = 'assistant'),
+o AS (SELECT conv_id, turn, off, max(relevance) AS relevance FROM s WHERE relevance >= 0.02 GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY relevance DESC, off) AS r FROM o)
+SELECT conv_id, turn, off AS "offset", relevance FROM r WHERE r <= 3""")
 def cited_passages(spark, sf):
     """Sources written as JSON on each assistant turn, read back and ranked."""
     t = turns(spark, sf).withColumn("chunks", F.to_json(F.array(*[F.struct((F.col("conv_id") * 7 + i * F.col("turn")).alias("offset"), (F.lit(0.01) * (i + 1)).alias("relevance")) for i in range(5)])))
-    return C.cited(t)
+    return C.cited(t).withColumn("relevance", F.round("relevance", 6))
 
 
-@query()
+@query(f"""
+WITH {_T} SELECT conv_id, '# Conversation ' || conv_id || chr(10) || chr(10) || string_agg(CASE role WHEN 'user' THEN '**You:** ' WHEN 'assistant' THEN '**Answer:** ' ELSE '**Note:** ' END || trim(text), chr(10) || chr(10) ORDER BY turn, role) || chr(10) AS markdown FROM c GROUP BY conv_id""")
 def annotation_export(spark, sf):
     from ..sources.sinks import conversation_markdown
 
@@ -119,3 +123,9 @@ def pair_summary(spark, sf):
     a = t.where("role = 'assistant'").select("conv_id", F.col("turn").alias("assistant_turn"), F.col("text").alias("a"))
     p = C.pairs(t).join(u, ["conv_id", "user_turn"]).join(a, ["conv_id", "assistant_turn"])
     return p.select("conv_id", "assistant_turn", C.fallback_summary(F.col("q"), F.col("a")).alias("summary"))
+
+
+@query(f"WITH {_T} SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM c WHERE role = 'system'")
+def anchor_rows(spark, sf):
+    """A conversation's turns of one role, the newest first."""
+    return C.latest(turns(spark, sf), 1 << 30, ["system"]).select("conv_id", "turn", F.col("age").cast("long").alias("age"))

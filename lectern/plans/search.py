@@ -131,9 +131,14 @@ def expansion_reason(spark, sf):
     return R.expansion_reason(fused(spark, sf).withColumn("rrf", F.round("rrf", 9)))
 
 
-@query()
+@query(r"""
+WITH l AS (SELECT conv_id, turn, list_transform(string_split('1. First   thing' || chr(10) || '- Second, thing!' || chr(10) || text, chr(10)), lambda s: trim(regexp_replace(lower(regexp_replace(trim(s), '^[\p{P}\p{N}•\s]+', '')), '[^\p{L}\p{N} -]', '', 'g'))) AS t FROM conversations),
+k AS (SELECT conv_id, turn, list_filter(t, lambda x: length(x) >= 2 AND length(x) <= 30 AND NOT contains(x, '  ')) AS t FROM l)
+SELECT conv_id, turn, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i)[1:10], '|') AS terms FROM k""")
 def expansion_terms(spark, sf):
-    return read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(R.expansion_terms(F.col("text")), "|").alias("terms"))
+    """A numbered and a bulleted line before each turn's own."""
+    t = F.concat(F.lit("1. First   thing\n- Second, thing!\n"), "text")
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(R.expansion_terms(t), "|").alias("terms"))
 
 
 @query("""
@@ -212,3 +217,20 @@ def earliest_occurrence(spark, sf):
     """The first document that a query's five best come from."""
     f = fused(spark, sf).where(F.round("rrf", 9) >= round(1 / 65, 9)).select("query_id", "id", F.round("rrf", 9).alias("score"))
     return R.ranked(f, 5).groupBy("query_id").agg(F.min("id").alias("earliest"))
+
+
+_TRACE = f"{_ASK}, {_SEM}, {_FUSED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, id) AS rank FROM f)"
+
+
+@query(f"WITH {_TRACE} SELECT query_id, id, rank, round(rrf, 6) AS rrf, round(sem_score, 6) AS cosine, sem_rank, lex_rank, sem_rank IS NULL AS lexical_only FROM r WHERE rank <= 25")
+def retrieval_trace(spark, sf):
+    t = R.trace(fused(spark, sf))
+    return t.withColumns({"rrf": F.round("rrf", 6), "cosine": F.round("cosine", 6), **{c: F.col(c).cast("long") for c in ("rank", "sem_rank", "lex_rank")}})
+
+
+@query(f"WITH {_TRACE} SELECT query_id, md5(string_agg(d.text, chr(10) || chr(10) ORDER BY rank)) AS digest, round(max(rrf), 6) AS best, round(sum(rrf), 6) AS total FROM r JOIN documents d ON d.doc_id = r.id WHERE rank <= 5 GROUP BY query_id")
+def retrieval_evaluation(spark, sf):
+    """The five best documents of each query as its passages."""
+    texts = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    e = R.evaluation(fused(spark, sf), texts)
+    return e.select("query_id", F.md5("passages").alias("digest"), F.round("best", 6).alias("best"), F.round("total", 6).alias("total"))

@@ -104,9 +104,36 @@ def heading_demotion(spark, sf):
     return U.demote_relisted(book_units(spark, sf)).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
-@query(_UNITS + "SELECT doc_id, sequence, contains(regexp_replace(text, '\\bthe\\b', 'THE', 'g'), 'THE') AND text <> regexp_replace(text, '\\bthe\\b', 'THE', 'g') AS changed FROM units")
+_THE = r"regexp_replace(regexp_replace({}, '(^|[^\p{{L}}\p{{N}}_])the($|[^\p{{L}}\p{{N}}_])', '\1THE\2', 'g'), '(^|[^\p{{L}}\p{{N}}_])the($|[^\p{{L}}\p{{N}}_])', '\1THE\2', 'g')"
+
+
+def _replaced(spark, sf):
+    u = units(spark, sf).withColumns({"revision": F.lit(3), "source_tier": F.lit("import")})
+    s = u.select("doc_id", "sequence", F.posexplode(T.sentences(F.col("text"))).alias("n", "text"))
+    n = u.where("sequence = 10").select("doc_id", F.lit("note").alias("kind"), F.left("text", F.lit(60)).alias("anchor_text"))
+    return U.replace_token_everywhere(u, s, n, "the", "THE")
+
+
+@query(_UNITS + f"SELECT doc_id, sequence, text <> {_THE.format('text')} AS changed, md5({_THE.format('text')}) AS digest, CASE WHEN text <> {_THE.format('text')} THEN 4 ELSE 3 END AS revision FROM units")
 def token_replace(spark, sf):
-    return U.replace_token(units(spark, sf), "the", "THE").select("doc_id", "sequence", "changed")
+    return _replaced(spark, sf)[0].select("doc_id", "sequence", "changed", F.md5("text").alias("digest"), "revision")
+
+
+@query(_UNITS + f"SELECT doc_id, md5({_THE.format('left(text, 60)')}) AS digest FROM units WHERE sequence = 10")
+def token_replace_notes(spark, sf):
+    return _replaced(spark, sf)[2].select("doc_id", F.md5("anchor_text").alias("digest"))
+
+
+@query(_UNITS + f", s AS (SELECT doc_id, sequence, list_filter(list_transform(regexp_extract_all({_THE.format('text')}, '[^.!?]*[.!?]|[^.!?]+$'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM units) SELECT doc_id, sequence, CAST(len(s) AS BIGINT) AS n, md5(array_to_string(s, '|')) AS digest FROM s WHERE len(s) > 0")
+def token_replace_sentences(spark, sf):
+    s = _replaced(spark, sf)[1].groupBy("doc_id", "sequence").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("a"))
+    return s.select("doc_id", "sequence", F.size("a").cast("long").alias("n"), F.md5(F.array_join(F.transform("a", lambda x: x["text"]), "|")).alias("digest"))
+
+
+@query(_UNITS + "SELECT d.doc_id, a.sequence AS skip_seq, b.sequence AS end_seq FROM documents d LEFT JOIN units a ON a.doc_id = d.doc_id AND a.sequence = 20 LEFT JOIN units b ON b.doc_id = d.doc_id AND b.sequence = 90")
+def skip_references(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", F.lit(20).cast("long").alias("skip_seq"), F.lit(90).cast("long").alias("end_seq"))
+    return U.skip_references(d, units(spark, sf))
 
 
 @query("SELECT doc_id, i AS line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS hit FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) WHERE contains(lower(t), 'license')")
