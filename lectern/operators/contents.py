@@ -347,7 +347,7 @@ def flow_entries(text: str) -> list[tuple[str, int]]:
                 title = title[len(anchor) :]
                 break
         title = title.strip(" \t\n.…:;,-")
-        if len(title) >= 3 and sum(c.isalpha() for c in title) >= 3:
+        if 2 <= len(title) <= 120 and any(c.isalpha() for c in title) and any(c.isupper() for c in title):
             out.append((title, page))
         held = []
     return out

@@ -113,7 +113,14 @@ def heading_scores(spark, sf):
     return q.select("doc_id", "placed", F.round("order_ratio", 6).alias("order_ratio"), F.round("quality", 6).alias("quality"))
 
 
-@query()
+_MAP = """{name} AS (SELECT doc_id, n, page * 10 + line AS idx, gap * 10 AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, line, text) AS n FROM l WHERE {cut})),
+{name}_h AS (SELECT *, max(idx) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM {name}),
+{name}_q AS (SELECT doc_id, count(*) AS placed, avg(CASE WHEN high IS NULL OR idx > high THEN 1.0 ELSE 0.0 END) AS ord, count(*) * avg(CASE WHEN high IS NULL OR idx > high THEN 1.0 ELSE 0.0 END) * (0.5 + 0.5 * avg(score)) AS quality FROM {name}_h GROUP BY doc_id)"""
+_FONT_LINES = "l AS (SELECT l_suppkey AS doc_id, l_orderkey % 50 AS page, l_linenumber AS line, 'Line ' || l_orderkey AS text, round(l_quantity / 5) AS font_size, l_returnflag = 'R' AS bold, l_linestatus = 'O' AS all_caps, l_discount AS gap, l_tax AS indent FROM lineitem)"
+
+
+@query("WITH " + _FONT_LINES + ", " + _MAP.format(name="a", cut="bold") + ", " + _MAP.format(name="b", cut="all_caps") + """
+SELECT coalesce(a_q.doc_id, b_q.doc_id) AS doc_id, CASE WHEN a_q.placed >= 4 AND a_q.ord >= 0.90 THEN 'built-in' WHEN coalesce(b_q.quality > 1.3 * coalesce(a_q.quality, 0) AND b_q.placed >= 3, false) THEN 'seedless' ELSE 'built-in' END AS choice FROM a_q FULL JOIN b_q ON a_q.doc_id = b_q.doc_id""")
 def heading_choice(spark, sf):
     q = lambda cut: S.map_quality(_fonts(spark, sf).withColumns({"score": F.col("gap_above") * 10, "idx": F.col("page") * 10 + F.col("line")}).where(cut).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "line", "text"))))
     return C.choose_map(q("bold"), q("all_caps"))

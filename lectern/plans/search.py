@@ -199,7 +199,7 @@ def sentence_index(spark, sf):
 
 @query()
 def entity_grounding(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", "text", F.left("text", F.lit(300)).alias("summary"))
+    d = read(spark, sf, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Zyxwv Qwertz said so. "), "text")).otherwise(F.col("text")).alias("summary"))
     return d.select("doc_id", F.array_join(G.ungrounded_names(F.col("summary"), F.col("text")), "|").alias("ungrounded"))
 
 

@@ -308,16 +308,21 @@ def heading_match(spark, sf):
     return S.nearest_heading(titles, u.select("doc_id", "sequence", "text", "start")).select("doc_id", "at", "sequence", "exact")
 
 
-@query()
+_LIST = ["\n1. the same long item\n", "2. The same long item.\n", "- short\n- short\n\n3. the same long item\nand on"]
+
+
+@query(f"SELECT DISTINCT conv_id || '-' || turn AS key, md5(text || {W.literal(_LIST[0] + _LIST[2])}) AS digest FROM conversations WHERE NOT regexp_matches(text, '(^|\\n)\\s*(\\d+[.)]|[-*•])\\s')")
 def list_dedup(spark, sf):
-    """Repeated numbered items of assistants' turns."""
+    """A list with a repeated item behind each turn that holds no list of its own."""
     from ..operators.lists import dedup_items
 
-    return dedup_items(read(spark, sf, "conversations").withColumn("key", F.concat_ws("-", "conv_id", "turn")), "key", "text").select("key", F.md5("text").alias("digest"))
+    c = read(spark, sf, "conversations").distinct().where(~F.col("text").rlike(r"(^|\n)\s*(\d+[.)]|[-*•])\s"))
+    t = c.select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.concat("text", F.lit("".join(_LIST))).alias("text"))
+    return dedup_items(t, "key", "text").select("key", F.md5("text").alias("digest"))
 
 
 @query()
 def list_dedup_inline(spark, sf):
     from ..operators.lists import dedup_inline
 
-    return read(spark, sf, "documents").select("doc_id", F.md5(dedup_inline(F.col("text"))).alias("digest"))
+    return read(spark, sf, "documents").select("doc_id", F.md5(dedup_inline(F.concat("text", F.lit(" It was a long day, it was hot, it was a long day, and over.")))).alias("digest"))

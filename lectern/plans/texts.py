@@ -86,9 +86,19 @@ def norm_italics(spark, sf):
     return _digest(spark, sf, N.italics, column=t)
 
 
+#: Letters and digits spread out, as glyph by glyph output has them.
+_SPREAD = [(" the ", " T H E "), (" de ", " d e l a "), (" and ", " 1 8 5 0 2 "), (" la ", " X Y ")]
+
+
+def spread(t: str) -> str:
+    for was, new in _SPREAD:
+        t = t.replace(was, new)
+    return t
+
+
 @query()
 def norm_spaced_letters(spark, sf):
-    return _digest(spark, sf, lambda t: N.spaced_digits(N.spaced_letters(t)))
+    return _digest(spark, sf, lambda t: N.spaced_digits(N.spaced_letters(t)), column=W.replaced(F.col("text"), _SPREAD))
 
 
 def _universal_sql(t: str, unwrapped: bool) -> str:
@@ -109,7 +119,7 @@ def norm_universal(spark, sf):
 
 @query()
 def norm_page(spark, sf):
-    return _digest(spark, sf, N.normalize_page)
+    return _digest(spark, sf, N.normalize_page, column=W.replaced(F.col("text"), _SPREAD))
 
 
 @query(_sql(r"array_to_string(list_transform(string_split(text, chr(10) || chr(10)), lambda p: array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' ')), chr(10) || chr(10))"))
@@ -233,21 +243,39 @@ def html_title(spark, sf):
     return read(spark, sf, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
 
 
-@query()
+_SITES = [("The Whale - Some Site", "The Whale"), ("Moby-Dick | Wikipedia", "Moby-Dick (Wikipedia article)"), ("A – B — Encyclopedia Britannica", "A – B (Britannica article)"), ("Plain", "Plain"), ("T - a very long name of a site that is no suffix", "T - a very long name of a site that is no suffix"), ("x" * 201, "A File")]
+_FILES = [("pg1342-pride_and_prejudice.txt", "Pride And Prejudice"), ("2701-moby-dick-images.epub", "Moby Dick"), ("NASA_report_v2.html", "NASA Report V2"), ("84_cleaned.txt", "Cleaned"), (".txt", ".txt"), ("war--and__peace-12.md", "War And Peace"), ("pg12.txt", "Untitled")]
+
+
+@query("SELECT page_id, CASE page_id % 10 " + " ".join(f"WHEN {n} THEN {W.literal(b)}" for n, (_, b) in enumerate(_SITES)) + " ELSE 'A File' END AS title FROM pages")
 def html_title_resolved(spark, sf):
-    title = T.strip_site_suffix(T.html_title(F.col("html")))
-    return read(spark, sf, "pages").select("page_id", T.resolve_title(title, F.regexp_extract("url", r"([^/]+)/?$", 1)).alias("title"))
+    """Titles behind sites' names; where there is none, or too long a one, the file's name tells."""
+    raw = W.in_turn(F.col("page_id"), [a for a, _ in _SITES], F.lit("  "))
+    page = F.concat(F.lit("<html><title>"), raw, F.lit("</title>"), F.lit("<p>x</p>"))
+    return read(spark, sf, "pages").select("page_id", page.alias("h")).select("page_id", T.resolve_title(T.strip_site_suffix(T.html_title(F.col("h"))), F.lit("a_file.html")).alias("title"))
 
 
-@query()
+@query("SELECT page_id, CASE page_id % 10 " + " ".join(f"WHEN {n} THEN {W.literal(b)}" for n, (_, b) in enumerate(_FILES)) + " ELSE 'Page ' || page_id END AS title FROM pages")
 def clean_filenames(spark, sf):
-    return read(spark, sf, "pages").select("page_id", T.clean_filename(F.regexp_extract("url", r"([^/]+)/?$", 1)).alias("title"))
+    own = F.concat(F.lit("page "), F.col("page_id").cast("string"), F.lit(".html"))
+    return read(spark, sf, "pages").select("page_id", T.clean_filename(W.in_turn(F.col("page_id"), [a for a, _ in _FILES], own)).alias("title"))
+
+
+#: Openings of books before the documents, by the id's remainder.
+_OPENINGS = [
+    "Title: The Whale\n  or, the Ship\nAuthor: H. Body\n\n", "The Project Gutenberg eBook of Words\nRelease Date: May 1, 2004\n\n*** START ***\n\nMOBY-DICK;\n\nor, THE WHALE.\n\nBy A. Body\n",
+    "# A Marked Title\nFirst published in 1851\n", "\n\nA short line\n## Second\nChapter 1\n", "title:\nProduced by Hand\nCopyright 1999\n",
+]
+
+
+def titled(i: int, t: str) -> str:
+    return (_OPENINGS[i % 10] if i % 10 < len(_OPENINGS) else "") + t
 
 
 @query()
 def text_titles(spark, sf):
-    t = F.col("text")
-    return read(spark, sf, "documents").select("doc_id", T.txt_title(t).alias("title"), T.markdown_title(t).alias("markdown_title"), T.bibliography(t)["year"].alias("year"))
+    t = F.concat(W.in_turn(F.col("doc_id"), _OPENINGS, F.lit("")), "text")
+    return read(spark, sf, "documents").select("doc_id", t.alias("text")).withColumn("t", F.col("text")).select("doc_id", T.txt_title(F.col("t")).alias("title"), T.markdown_title(F.col("t")).alias("markdown_title"), T.bibliography(F.col("t"))["year"].alias("year"))
 
 
 @query("SELECT p_partkey, array_to_string(list_filter(list_transform(regexp_split_to_array(replace(p_name || ' and ' || p_brand, ' and ', ','), '[,;&]'), lambda x: trim(x)), lambda x: length(x) >= 2), '|') AS authors FROM part")
@@ -263,19 +291,52 @@ def sentence_list(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "|")).alias("digest"))
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT doc_id, regexp_split_to_array(replace(text, '. ', '.7 '), '\.[0-9]{1,3}\s+') AS p FROM documents)
+SELECT doc_id, CAST(1 + len(list_filter(range(1, len(p)), lambda i: regexp_matches(p[i], '[^0-9\s.]$') AND regexp_matches(p[i + 1], '^\p{Lu}'))) AS INTEGER) AS n FROM p""")
 def footnote_split(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.size(T.footnote_parts(F.col("text"))).alias("n"))
+    """Each sentence's full stop takes a footnote's number."""
+    return read(spark, sf, "documents").select("doc_id", F.size(T.footnote_parts(F.replace("text", F.lit(". "), F.lit(".7 ")))).alias("n"))
 
 
-@query()
+_LOOP = "The same words come again now."  # 30 characters
+_LOOPS = "(CASE doc_id % 5 WHEN 0 THEN text || repeat('" + _LOOP + "', 3) WHEN 1 THEN text || 'ab ab ab ab ' WHEN 2 THEN text || repeat('" + _LOOP + " abcdef', 3) WHEN 3 THEN left(text, 100) || repeat('" + _LOOP + "', 3) ELSE text END)"
+
+
+def _looping():
+    t, k = F.col("text"), F.col("doc_id") % 5
+    return F.when(k == 0, F.concat(t, F.lit(_LOOP * 3))).when(k == 1, F.concat(t, F.lit("ab ab ab ab "))).when(k == 2, F.concat(t, F.lit((_LOOP + " abcdef") * 3))).when(k == 3, F.concat(F.left(t, F.lit(100)), F.lit(_LOOP * 3))).otherwise(t)
+
+
+def _tail(size: int, back: int) -> str:
+    return f"substr(t, length(t) - {size * back} + 1, {size})"
+
+
+def _loops_sql() -> str:
+    long = [f"(length(t) >= {3 * n} AND {_tail(n, 1)} = {_tail(n, 2)} AND {_tail(n, 2)} = {_tail(n, 3)})" for n in range(30, 81, 10)]
+    short = [rf"(length(regexp_replace({_tail(n, 1)}, '^\s+|\s+$', '', 'g')) >= 2 AND {_tail(n, 1)} = {_tail(n, 2)} AND {_tail(n, 2)} = {_tail(n, 3)} AND {_tail(n, 3)} = {_tail(n, 4)})" for n in range(2, 11)]
+    return f"SELECT doc_id, length(t) >= 200 AND ({' OR '.join(long + short)}) AS repetition FROM (SELECT doc_id, {_LOOPS} AS t FROM documents)"
+
+
+@query(_loops_sql())
 def repetition_flag(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", T.is_repetition(F.col("text")).alias("repetition"))
+    """A paragraph three times, a short string four times, a loop of another length, a text too short, and none."""
+    return read(spark, sf, "documents").select("doc_id", _looping().alias("t")).select("doc_id", T.is_repetition(F.col("t")).alias("repetition"))
 
 
 @query()
 def repetition_trim(spark, sf):
-    return _digest(spark, sf, lambda t: T.trim_repetition(F.right(t, F.lit(600))))
+    d = read(spark, sf, "documents").select("doc_id", _looping().alias("t"))
+    return d.select("doc_id", F.md5(T.trim_repetition(F.col("t"), "And so on.")).alias("digest"))
+
+
+#: What an answer names before its own words.
+ANSWER = 'It is "a secret name" by the House of Long Winters, on Gemma 4 and Qwen-3.5. '
+
+
+def summary(i: int, t: str) -> str:
+    """Every third document gets a name that it lacks."""
+    return ("Zyxwv Qwertz said so. " if i % 3 == 0 else "") + t
 
 
 @query()
@@ -288,7 +349,7 @@ def answer_grounding(spark, sf):
     u = c.select("conv_id", F.col("turn").alias("user_turn"), F.col("text").alias("question")).distinct()
     a = c.select("conv_id", F.col("turn").alias("assistant_turn"), F.col("text").alias("answer")).distinct()
     j = p.distinct().join(u, ["conv_id", "user_turn"]).join(a, ["conv_id", "assistant_turn"])
-    return j.select("conv_id", "assistant_turn", F.array_join(T.ungrounded(F.col("answer"), F.col("question")), "|").alias("ungrounded"))
+    return j.select("conv_id", "assistant_turn", F.array_join(T.ungrounded(F.concat(F.lit(ANSWER), "answer"), F.col("question")), "|").alias("ungrounded"))
 
 
 @query("SELECT event_id, CAST(round((greatest(CAST(round(value) AS BIGINT), 0) / 5.0) / (155.0 * 1.0)) AS BIGINT) AS minutes FROM events WHERE value IS NOT NULL")
@@ -307,10 +368,12 @@ def token_ceiling(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.trim_to_tokens(F.col("text"), 100).alias("head"))
 
 
-@query()
+_ROMANS = [("XIV", 14), ("MCMXC", 1990), ("iiii", None), ("ix", 9), ("MMMM", None), ("", None), ("CDXLIV", 444), ("words", None), ("mdc", 1600), ("MMMCMXCIX", 3999)]
+
+
+@query("SELECT doc_id, CASE doc_id % 10 " + " ".join(f"WHEN {n} THEN {'NULL' if b is None else b}" for n, (_, b) in enumerate(_ROMANS)) + " END AS value FROM documents")
 def roman_numerals(spark, sf):
-    n = F.regexp_extract("text", r"\b([IVXLCDM]+)\b", 1)
-    return read(spark, sf, "documents").select("doc_id", n.alias("numeral"), T.roman_value(n).alias("value"))
+    return read(spark, sf, "documents").select("doc_id", T.roman_value(W.in_turn(F.col("doc_id"), [a for a, _ in _ROMANS], F.lit(None))).alias("value"))
 
 
 @query("SELECT doc_id, substr(text, 101, 40) AS anchor_text, substr(text, 53, 48) AS before, substr(text, 141, 48) AS after FROM documents WHERE length(text) > 200")
