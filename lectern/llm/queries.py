@@ -116,10 +116,10 @@ def _op9_sql() -> str:
 WITH t(template, label, phrase, grams, k, tpos, words) AS (VALUES {', '.join(rows)}),
 d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 p AS (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS pos FROM d, (SELECT DISTINCT k FROM t) WHERE len(w) >= k),
-g AS (SELECT doc_id, template, label, phrase, grams, pos - tpos AS diagonal, list(DISTINCT tpos) AS at FROM p JOIN t ON t.k = p.k AND t.words = p.w[pos + 1:pos + p.k] GROUP BY ALL),
+g AS (SELECT doc_id, template, label, phrase, grams, pos - tpos AS diagonal, list(DISTINCT tpos) AS places FROM p JOIN t ON t.k = p.k AND t.words = p.w[pos + 1:pos + p.k] GROUP BY ALL),
 n AS (SELECT *, CASE WHEN phrase OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > 3, true) THEN 1 ELSE 0 END AS fresh FROM g),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM n),
-s AS (SELECT doc_id, label, phrase, min(diagonal) AS start, len(list_distinct(flatten(list(at))))::DOUBLE / grams AS share FROM r GROUP BY doc_id, template, label, phrase, grams, run),
+s AS (SELECT doc_id, label, phrase, min(diagonal) AS start, len(list_distinct(flatten(list(places))))::DOUBLE / grams AS share FROM r GROUP BY doc_id, template, label, phrase, grams, run),
 f AS (SELECT *, phrase AND share = 1 AS base, (phrase AND share = 1) OR (NOT phrase AND share >= 0.6) AS found FROM s)
 SELECT d.doc_id, len(any_value(w)) AS n_words, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
 coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE found), '') AS labels,
