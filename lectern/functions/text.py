@@ -262,7 +262,7 @@ def fingerprint(t: Column, most: int = 48) -> Column:
     """The head of the text, cut at a word's end where that leaves half of it."""
     s = trim_ws(t)
     head = F.substring(s, 1, most)
-    cut = F.regexp_replace(head, r"\s+\S*$", "")
+    cut = F.regexp_replace(head, r"\s+\S*\z", "")
     return F.when(F.length(s) <= most, s).when(F.length(cut) >= most // 2, cut).otherwise(head)
 
 
