@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.units import STEP
-from .markup import PARSERS, html_blocks, markdown_blocks, sniff
+from .markup import PARSERS, epub_contents, html_blocks, markdown_blocks, sniff
 
 UNITS = "path string, format string, content_hash string, sequence long, kind string, level int, text string, error string"
 
@@ -47,3 +47,29 @@ def parse_column(df: DataFrame, key: str, column: str, markup: str = "html") ->
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (b.schema.field(0).type, pa.int64(), pa.string(), pa.int32(), pa.string()))], [key, "sequence", "kind", "level", "text"])
 
     return df.select(key, column).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, sequence long, kind string, level int, text string")
+
+
+CONTENTS = "path string, play_order long, title string, level int, offset long, error string"
+
+
+def read_contents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Contents entries of every EPUB file under the path; a file that can't be read is one row with its error, other formats have none."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = (files.option("pathGlobFilter", glob) if glob else files).load(path)
+
+    def run(batches):
+        names = [c.split()[0] for c in CONTENTS.split(", ")]
+        types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string()]
+        for b in batches:
+            rows = []
+            for p, data in zip(b.column(0).to_pylist(), b.column(1)):
+                try:
+                    body = data.as_py()
+                    if sniff(body, p) == "epub":
+                        rows += [(p, n, title, level, at, None) for title, at, level, n in epub_contents(body)]
+                except Exception as e:  # noqa: BLE001  whatever a broken file does, the others go on
+                    rows.append((p, None, None, None, None, f"{type(e).__name__}: {e}"))
+            cols = list(zip(*rows)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names)
+
+    return files.select("path", "content").mapInArrow(run, CONTENTS)

@@ -160,9 +160,11 @@ def rtf_paragraphs(data: bytes) -> list[tuple[str, float]]:
     size, skip, uc, at = 12.0, False, 1, 0
     sizes: list[float] = []
     for m in re.finditer(r"\\([a-z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\([^a-z])|([{}])|([^\\{}\r\n]+)", text):
-        if m.start() < at:
-            continue
         word, number, hexed, sign, brace, plain = m.groups()
+        if m.start() < at:  # what stands in for a Unicode character is passed over, and no more
+            if not plain or m.end() <= at:
+                continue
+            plain = text[at : m.end()]
         if brace == "{":
             stack.append((size, skip))
         elif brace == "}":
@@ -213,6 +215,11 @@ def rtf_blocks(data: bytes) -> list[tuple[str, int, str]]:
     return [("heading", (top.index(s) if s in top else 2) + 1, t) if n in heads else ("prose", 0, t) for n, (t, s) in enumerate(paras)]
 
 
+# Titles of navigation, bare numbers and letters, and a caption before a chapter's title.
+NAV = [r"(?i)project\s+gutenberg.{0,25}licen[sc]e", r"(?i)^\[\s*p(?:g|age)\s*\d+\s*\]$"]
+ENUMERATOR = r"^(?:[IVXLCDMivxlcdm]+|\d{1,4}|[A-Za-z])\.?$"
+CAPTION = "(?i)^(.+?[.!?][\"'“”‘’]?\\s+)(chapter\\s+[ivxlcdm0-9]+\\b.*)$"
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -259,6 +266,132 @@ def epub_blocks(data: bytes) -> list[tuple[str, int, str]]:
     return out
 
 
+def _package(data: bytes):
+    """(archive, folder of the package file, its items by id, hrefs of the spine in order, the nav item's and the NCX's href or None)."""
+    z = zipfile.ZipFile(io.BytesIO(data))
+    container = ET.fromstring(z.read("META-INF/container.xml"))
+    opf = next(e.get("full-path") for e in container.iter() if _local(e) == "rootfile")
+    package = ET.fromstring(z.read(opf))
+    items = {e.get("id"): e for e in package.iter() if _local(e) == "item"}
+    spine = [items[e.get("idref")].get("href") for e in package.iter() if _local(e) == "itemref" and e.get("idref") in items]
+    nav = next((e.get("href") for e in items.values() if "nav" in (e.get("properties") or "").split()), None)
+    ncx = next((e.get("href") for e in items.values() if e.get("media-type") == "application/x-dtbncx+xml"), None)
+    return z, posixpath.dirname(opf), items, spine, nav, ncx
+
+
+def _nav_entries(source: str) -> list[tuple[str, str, int]]:
+    """(title, href, level) of an EPUB 3 navigation document's contents; lists in lists are deeper levels."""
+    m = re.search(r"""(?si)<nav\b[^>]*epub:type\s*=\s*["'][^"']*\btoc\b[^"']*["'][^>]*>(.*?)</nav\s*>""", source) or re.search(r"(?si)<nav\b[^>]*>(.*?)</nav\s*>", source)
+    out, level = [], 0
+    for t in re.finditer(r"""(?si)<(/?)ol\b[^>]*>|<a\b[^>]*href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>""", m[1] if m else ""):
+        if t[2] is None:
+            level += -1 if t[1] else 1
+        else:
+            out.append((re.sub(r"\s+", " ", _html.unescape(re.sub(r"<[^>]+>", "", t[3]))).strip(), _html.unescape(t[2]), max(1, level)))
+    return out
+
+
+def _ncx_entries(source: bytes) -> list[tuple[str, str, int]]:
+    """(title, href, level) of an EPUB 2 NCX, in the order of the file."""
+    out: list[tuple[str, str, int]] = []
+
+    def walk(e: ET.Element, level: int) -> None:
+        for point in (c for c in e if _local(c) == "navPoint"):
+            title = next(("".join(x.itertext()).strip() for x in point if _local(x) == "navLabel"), "")
+            href = next((x.get("src", "") for x in point if _local(x) == "content"), "")
+            out.append((re.sub(r"\s+", " ", title), href, level))
+            walk(point, level + 1)
+
+    for nav_map in (e for e in ET.fromstring(source).iter() if _local(e) == "navMap"):
+        walk(nav_map, 1)
+    return out
+
+
+def epub_contents(data: bytes) -> list[tuple[str, int, int, int]]:
+    """(title, offset, level, play order): the navigation document's contents, else the NCX's, else one entry for each item of the spine.
+
+    Offsets are places in the chapters' texts, joined by two line feeds: where an anchor's element starts, else its file; -1 where neither is known.
+    Titles of navigation go, and a caption run into a chapter's title.
+    """
+    z, folder, _, spine, nav, ncx = _package(data)
+    at = lambda href: posixpath.normpath(posixpath.join(folder, _html.unescape(href)))
+    names, places, size = set(z.namelist()), {}, 0
+    sources = [(href, z.read(at(href)).decode("utf-8", "replace")) for href in spine if at(href) in names]
+    for href, source in sources:
+        bare = posixpath.basename(href.split("#")[0])
+        places[bare] = size
+        for m in re.finditer(r"""(?si)<[a-z][^>]*\b(?:id|name)\s*=\s*["']([^"']+)["'][^>]*>""", source):
+            before = "\n\n".join(t for _, _, t in html_blocks(source[: m.start()]))
+            places.setdefault(f"{bare}#{m[1]}", size + len(before) + 2 * bool(before))
+        size += len("\n\n".join(t for _, _, t in html_blocks(source))) + 2
+    raw: list[tuple[str, str, int]] = []
+    if nav and at(nav) in names:
+        raw = _nav_entries(z.read(at(nav)).decode("utf-8", "replace"))
+    elif ncx and at(ncx) in names:
+        raw = _ncx_entries(z.read(at(ncx)))
+    out = []
+    for n, (title, href, level) in enumerate(raw, 1):
+        nothing = not title or any(re.search(p, title) for p in NAV) or (level >= 2 and re.match(ENUMERATOR, title))
+        if not nothing:
+            bare, _, anchor = href.partition("#")
+            bare = posixpath.basename(bare)
+            chapter = re.match(CAPTION, title)
+            out.append((chapter[2].strip() if chapter else title, places.get(f"{bare}#{anchor}", places.get(bare, -1)), level, n))
+    if out:
+        return out
+    for n, (href, source) in enumerate(sources, 1):
+        found = [re.sub(r"<[^>]+>", "", m[1]) for p in (r"(?si)<h[1-3][^>]*>(.*?)</h[1-3]>", r"(?si)<title[^>]*>(.*?)</title>") if (m := re.search(p, source))]
+        title = next((t for t in (re.sub(r"\s+", " ", _html.unescape(x)).strip() for x in found) if t), "")
+        stem = posixpath.basename(href).rsplit(".", 1)[0]
+        if not title and stem and stem not in ("ch", "index") and not stem.isnumeric():
+            title = stem.replace("_", " ").replace("-", " ").strip()
+        out.append((title or f"Chapter {n}", places[posixpath.basename(href.split("#")[0])], 1, n))
+    return out
+
+
+def rtf_headings(data: bytes, text: str) -> list[tuple[str, int, int]]:
+    """(title, level, offset) of an RTF file's headings in its text: looked for by 40 characters, else by eight or more plain ones, each past the last and past lines of a listing."""
+    weight: dict[float, int] = {}
+    paras = rtf_paragraphs(data)
+    for t, size in paras:
+        weight[size] = weight.get(size, 0) + len(t)
+    body = max(weight, key=lambda x: (weight[x], x), default=12.0)
+    heads = [(t, size) for t, size in paras if size >= 1.15 * body and len(t) <= 200]
+    top = sorted({size for _, size in heads}, reverse=True)[:3]
+    out, at = [], 0
+    for title, size in heads:
+        needle = re.sub(r"\s+", " ", title).strip()[:40]
+        place = text.find(needle, at)
+        if place < 0:
+            needle = (re.match(r"[\x00-\x7f]*", re.sub(r"\s+", " ", title).strip())[0]).strip()
+            place = text.find(needle, at) if len(needle) >= 8 else -1
+        if place < 0:
+            continue
+        end = text.find("\n", place)
+        line = text[place : len(text) if end < 0 else end].strip()
+        out.append((line or title, (top.index(size) if size in top else 2) + 1, place))
+        at = place + len(needle)
+        while m := re.compile(r"[^\n]*\n?").match(text, at):
+            bare = m[0].strip()
+            if not m[0] or (bare and not re.match(r"^.+?(?:\t+|\.{4,})\s*\d+\s*$", bare)):
+                break
+            at = m.end()
+    return out
+
+
+def rtf_images(data: bytes) -> list[tuple[str, bytes, str]]:
+    """(format, bytes, the up to 60 characters of text before it) of pictures given in hexadecimal; broken ones are left out."""
+    out = []
+    for m in re.finditer(rb"\{\\(?:\*\\shppict\s*\{\\)?pict\b(.*?)\}", data, re.S):
+        body = m[1]
+        kind = "png" if rb"\pngblip" in body else "jpeg" if rb"\jpegblip" in body else None
+        digits = re.sub(rb"\s+", b"", re.sub(rb"\\[a-z]+-?\d* ?|\{[^}]*\}", b"", body))
+        if kind and digits and len(digits) % 2 == 0 and re.fullmatch(rb"[0-9a-fA-F]+", digits):
+            before = " ".join(t for t, _ in rtf_paragraphs(data[: m.start()]))
+            out.append((kind, bytes.fromhex(digits.decode()), before[-60:]))
+    return out
+
+
 def text_of(data: bytes) -> str:
     """Bytes as text by the first encoding that takes them all."""
     for name in ("utf-8-sig", "utf-16") if data[:2] in (b"\xff\xfe", b"\xfe\xff") else ("utf-8-sig", "cp1252", "latin-1"):
