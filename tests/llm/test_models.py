@@ -283,3 +283,64 @@ def test_bytes_that_are_no_utf8(spark):
     docs = spark.range(3).select(F.col("id").alias("doc_id"), F.unhex(F.lit("666F6FFF20626172")).cast("string").alias("text"))
     labels = spark.createDataFrame([(0, 1, 1)], "doc_id long, quality int, toxic int")
     assert quality.score_table(docs, labels).count() == toxicity.score_table(docs, labels).count() == lm.scores(docs).count() == 3
+
+
+def weighted_code_length(training, text, depth):
+    """log10 probability by the definition: at each node half its own estimate and half the product over the contexts one byte longer."""
+    pad = bytes([lm.END]) * depth
+    counts = {}  # (context, nearest byte last; place in the decisions): zeros and ones
+    for t in training:
+        s = pad + t + bytes([lm.END])
+        for i in range(depth, len(s)):
+            for level in range(8):
+                place, bit = (256 | s[i]) >> (8 - level), (s[i] >> (7 - level)) & 1
+                for d in range(depth + 1):
+                    counts.setdefault((s[i - d : i], place), [0, 0])[bit] += 1
+    below = {}
+    for ctx, place in counts:
+        if ctx:
+            below.setdefault((ctx[1:], place), []).append((ctx, place))
+    kt = lambda z, o: math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
+    known = {}
+
+    def whole(node):
+        """(log of the weighted probability, share of the node's own estimate)."""
+        if node not in known:
+            own = kt(*counts[node])
+            if len(node[0]) == depth:
+                known[node] = own, 1.0
+            else:
+                split = sum(whole(k)[0] for k in below[node])
+                most = max(own, split)
+                both = math.exp(own - most) + math.exp(split - most)
+                known[node] = most + math.log(both / 2), math.exp(own - most) / both
+        return known[node]
+
+    def one(ctx, place, d):
+        node = (ctx[len(ctx) - d :], place)
+        if node not in counts:
+            return 0.5
+        z, o = counts[node]
+        share = whole(node)[1]
+        return share * (o + 0.5) / (z + o + 1) + ((1 - share) * one(ctx, place, d + 1) if d < depth else 0.0)
+
+    total, s = 0.0, pad + text + bytes([lm.END])
+    for i in range(depth, len(s)):
+        for level in range(8):
+            p = one(s[i - depth : i], (256 | s[i]) >> (8 - level), 0)
+            total += math.log10(p if (s[i] >> (7 - level)) & 1 else 1 - p)
+    return total
+
+
+@pytest.mark.parametrize(("depth", "split_blocks"), [(2, 512), (3, 512), (3, 1)])
+def test_scores_are_those_of_the_definition(spark, depth, split_blocks):
+    rng = random.Random(depth)
+    rows = [(i, "".join(rng.choice("abcdeé ") for _ in range(rng.randint(0, 90)))) for i in range(30)] + [(40, "never seen: XYZ!"), (41, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    raw = {i: lm._bytes(pa.array([t]).cast(pa.binary()))[0] for i, t in rows}
+    training = [raw[i] for i, _ in rows if not held(i)]
+    got = {r.doc_id: r.score for r in lm.scores(docs, depth=depth, split_blocks=split_blocks, block_bytes=500).withColumnRenamed("id", "doc_id").collect()}
+    assert any(held(i) for i, _ in rows)
+    for i, t in raw.items():
+        assert math.isclose(got[i], weighted_code_length(training, t, depth), rel_tol=1e-4, abs_tol=1e-4), i
