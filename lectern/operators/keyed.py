@@ -46,6 +46,21 @@ def with_status(rows: DataFrame, column: str, statuses: list[str]) -> DataFrame:
     return rows.where(F.col(column).isin(statuses)) if statuses else rows.where(F.lit(False))
 
 
+def numbered(rows: DataFrame, key: str, order: list, name: str = "place") -> DataFrame:
+    """``name`` from 1 in the key's order, for keys of which a few may hold most rows: no one task sorts a key.
+
+    Rows are dealt into ranges by key and order, and numbered in each range from the sizes of the ranges before it. The ranges are
+    checkpointed, as sizes and numbers must come from the same ones. The order should tell rows apart.
+    """
+    ranged = cut(rows.repartitionByRange(key, *order).withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_p", key).agg(F.count("*").alias("_n"))  # a row per range and key
+    before = Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select(F.col("_p").alias("_q"), F.col(key).alias("_key"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    told = ranged.join(base, (F.col("_p") == F.col("_q")) & F.col(key).eqNullSafe(F.col("_key")))
+    line = F.row_number().over(Window.partitionBy("_p", key).orderBy(*order))
+    return told.withColumn(name, F.col("_base") + line).select(*rows.columns, name)
+
+
 def stride_sample(rows: DataFrame, order: str, most: int) -> DataFrame:
     """Every n-th row in order, n = max(1, rows div most).
 

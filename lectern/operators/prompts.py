@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_estimate
-from ..shared import cut
+from .keyed import numbered
 
 # Sections of a prompt with their shares of tokens, and the tail shown of what was read.
 SECTIONS = {"system": 200, "history": 400, "passages": 1800, "recalled": 300, "question": 200}
@@ -62,18 +62,10 @@ def assemble(rows: DataFrame, budgets: dict[str, int] = SECTIONS) -> DataFrame:
 def work_order(jobs: DataFrame) -> DataFrame:
     """``place`` in a queue of (doc_id, lane, added): embedding before trees, then by arrival; a document's repeated job once.
 
-    Places count within a lane. The two lanes are dealt into ranges by arrival and numbered from the ranges' sizes, so that no one task orders all.
+    Places count within a lane.
     """
     once = jobs.groupBy("doc_id", "lane").agg(F.min("added").alias("added")).withColumn("lane_no", F.when(F.col("lane") == "embed", 0).otherwise(1))
-    ranged = cut(once.repartitionByRange("lane_no", "added", "doc_id").withColumn("_p", F.spark_partition_id()))
-    sizes = ranged.groupBy("_p", "lane_no").agg(F.count("*").alias("n")).collect()  # a row per range and lane
-    base, so_far = [], {0: 0, 1: 0}
-    for r in sorted(sizes, key=lambda r: (r["lane_no"], r["_p"])):
-        base.append((r["_p"], r["lane_no"], so_far[r["lane_no"]]))
-        so_far[r["lane_no"]] += r["n"]
-    starts = jobs.sparkSession.createDataFrame(base, "_p int, lane_no int, _base long")
-    order = Window.partitionBy("_p", "lane_no").orderBy("added", "doc_id")
-    return ranged.join(F.broadcast(starts), ["_p", "lane_no"]).withColumn("place", F.row_number().over(order) + F.col("_base")).select("doc_id", "lane", "added", "lane_no", "place")
+    return numbered(once, "lane", ["added", "doc_id"])
 
 
 def look_ahead(segments: DataFrame, at: int, most: int = 50) -> DataFrame:

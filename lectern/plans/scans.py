@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import keyed
@@ -11,8 +10,8 @@ from .registry import query, read
 
 @query("SELECT doc_id, source, lang, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents")
 def doc_list_latest(spark, sf):
-    order = Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")
-    return read(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", F.row_number().over(order).cast("long").alias("place"))
+    d = read(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars")
+    return keyed.numbered(d, "source", [F.col("n_chars").desc(), "doc_id"])
 
 
 @query("SELECT source, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY source")
@@ -56,7 +55,7 @@ def chunk_range_scan(spark, sf):
 @query("SELECT d.doc_id, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS place FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NULL")
 def null_fill_queue(spark, sf):
     d = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id", "left").where("quality is null")
-    return d.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("place"))
+    return keyed.numbered(d.select("doc_id", "source"), "source", ["doc_id"]).select("doc_id", "place")
 
 
 @query("SELECT DISTINCT d.source FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NULL")

@@ -223,3 +223,12 @@ def test_summary_layer_takes_every_leaf(spark):
     leaves = [(i, [float(i % 7 == k) + 0.01 * (i % 5) for k in range(7)], f"Leaf {i}.") for i in range(700)]
     got = rows(W.summary_layer(spark.createDataFrame(leaves, "id long, vec array<double>, text string")))
     assert sum(r[1] for r in got) == 700
+
+
+def test_numbers_over_ranges_are_those_of_one_sort(spark):
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, None).otherwise(F.col("id").cast("string")).alias("k"), (F.col("id") * 7919 % 3001).alias("o"))
+    got = {(r.k, r.o): r.place for r in keyed.numbered(d, "k", [F.col("o").desc()]).collect()}
+    want = {}
+    for r in d.collect():
+        want.setdefault(r.k, []).append(r.o)
+    assert got == {(k, o): n for k, v in want.items() for n, o in enumerate(sorted(v, reverse=True), 1)}
