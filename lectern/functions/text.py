@@ -37,6 +37,10 @@ LIST_MARK = r"^(?:•|\d+\.)\s+"
 CAPTION_PREFIX = "^(?i)(.+?[.!?][\"'“”‘’]?\\s+)(chapter\\s+[ivxlcdm0-9]+\\b.*)$"
 TWICE_MARKED = r"^(?i:[ivxlcdm]{1,8}\s+)((?i:chapter|part|section|appendix|article|book)\s+(?i:[ivxlcdm\d]{1,8})\b.*)$"
 EMBEDDED_SECTION = r"\b\d{1,3}(?:\.\d{1,3}){0,3}\.?\s+[A-Z]"
+# Loops at the start of a reversed text, and the one copy that stays of them: 30, 40, ... 80 characters twice, and 2 to 10
+# characters, of which two are not white space, four times. A look-behind goes back to the text's start at most.
+LONG_LOOPS = r"\A(?s)(?:" + "|".join(rf"(.{{{n}}})\{k}+" for k, n in enumerate(range(30, 81, 10), 1)) + ")", "$1$2$3$4$5$6"
+SHORT_LOOPS = r"\A(?sU)(?:" + "|".join(rf"(.{{{n}}})(?<=\S.{{0,20}}\S.{{0,20}})\{k}{{3,}}" for k, n in enumerate(range(2, 11), 1)) + ")", "$1$2$3$4$5$6$7$8$9"
 # How lines begin that tell of a book, and that end its title.
 METADATA = [
     "the project gutenberg", "project gutenberg", "this ebook is", "release date:", "language:", "character set",
@@ -237,25 +241,14 @@ def is_repetition(t: Column) -> Column:
 
 
 def trim_repetition(t: Column, closing: str = "") -> Column:
-    """One copy of equal tails of 30, 40, ... 80 characters and then of a short string that ends the text four times; a closing behind what was cut."""
-
-    def copies(x: Column, size: int) -> Column:
-        """How often the text's last ``size`` characters end it, one after the other."""
-        last = F.right(x, F.lit(size))
-        spots = F.sequence(F.lit(1), F.greatest((F.length(x) / size).cast("int"), F.lit(1)))
-        same = F.transform(spots, lambda k: F.substring(x, F.length(x) - k * size + 1, F.lit(size)) == last)
-        first_other = F.array_position(same, F.lit(False))
-        return F.when(F.length(x) < size, 0).when(first_other > 0, first_other - 1).otherwise(F.size(same)).cast("int")
-
-    def cut(x: Column, sizes: list[int], least: int, sound) -> Column:
-        counts = F.array(*[F.struct(F.when(sound(n), copies(x, n)).otherwise(0).alias("n"), F.lit(n).alias("size")) for n in sizes])
-        first = F.get(F.filter(counts, lambda c: c["n"] >= least), 0)
-        return bind(first, lambda c: F.when(c.isNotNull(), F.left(x, F.length(x) - (c["n"] - 1) * c["size"])).otherwise(x))
-
-    long = bind(t, lambda x: cut(x, list(range(30, 81, 10)), 2, lambda n: F.length(x) >= 2 * n))
-    short = bind(long, lambda x: cut(x, list(range(2, 11)), 4, lambda n: (F.least(F.length(x), F.lit(60)) >= 4 * n) & (F.length(trim_ws(F.right(x, F.lit(n)))) >= 2)))
+    """One copy of equal tails of 30, 40, ... 80 characters and then of a short string that ends the text four times; a closing behind what was cut.
+
+    Copies are matched at the start of the reversed text, so that the work grows with the text's length alone.
+    """
     ending = F.lit(" " + closing if closing else "")
-    return bind(short, lambda x: F.when(F.length(trim_ws(x)) < F.length(trim_ws(t)), F.concat(trim_ws(x), ending)).otherwise(trim_ws(x)))
+    cut = lambda x: F.reverse(F.regexp_replace(F.regexp_replace(F.reverse(x), *LONG_LOOPS), *SHORT_LOOPS))
+    both = bind(t, lambda x: F.struct(trim_ws(cut(x)).alias("cut"), F.length(trim_ws(x)).alias("n")))
+    return bind(both, lambda x: F.when(F.length(x["cut"]) < x["n"], F.concat(x["cut"], ending)).otherwise(x["cut"]))
 
 
 def fingerprint(t: Column, most: int = 48) -> Column:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +74,15 @@ def test_predicates(one, test, text, want):
     assert one(test, text) == want
 
 
+def test_repetition_is_trimmed_in_time_that_grows_with_the_length(one):
+    trim = lambda t: T.trim_repetition(t, "End.")
+    assert one(trim, "it was 😀😁😀😁😀😁😀😁") == "it was 😀😁 End."
+    begun = time.monotonic()
+    assert one(trim, "b" + "a" * 200000) == "baa End."
+    assert one(trim, "word and " * 20000 + "so") == "word and " * 20000 + "so"
+    assert time.monotonic() - begun < 20
+
+
 def test_bibliography_and_names(one):
     b = one(T.bibliography, "A Book\nby Jane Doe and John Roe\nCopyright © 1911")
     assert b.authors == ["Jane Doe", "John Roe"] and b.year == "1911"
