@@ -22,7 +22,7 @@ PRINT_HEADERS = [
 SPACED_CAPITALS = r"(?<!\p{Lu})\p{Lu}(?: \p{Lu}){2,}(?!\p{Lu})"
 SPACED_SMALL = r"(?<!\p{Ll})\p{Ll}(?: \p{Ll}){2,}(?!\p{Ll})"
 SPACED_DIGITS = r"\d(?: \d){3,}"
-DIMENSIONS = r"\d+\.\d+ in\b"
+DIMENSIONS = r"\d(?<![\d.]\d)\d*\.\d+ in\b"  # not the end of an address of four numbers
 NUMERIC_BRACKETS = r"\[\s*\d[\d\s]*\]"
 
 

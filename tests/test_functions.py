@@ -31,6 +31,7 @@ def one(spark):
         (N.spaced_letters, "C H A P T E R one t w o s", "CHAPTER one twos"),
         (N.spaced_digits, "in 1 8 6 5 it 1 2", "in 1865 it 1 2"),
         (N.numeric_brackets, "see [ 1 2 ] and [a]", "see [12] and [a]"),
+        (N.dimensions, "to 27.64.135.48 in a 12.5 in b", "to 27.64.135.48 in a b"),
         (N.illustration_markers, "x [Illustration: A _fine_ day] y", "x \n\nA fine day\n\n y"),
         (N.strip_control, "a\x00b\x07\tc", "ab\tc"),
         (N.normalize, "﻿ a\r\nb  \n\n\n\nc  d ", "a\nb\n\nc d"),
