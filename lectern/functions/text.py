@@ -89,10 +89,10 @@ def is_lone_page_number(t: Column) -> Column:
     return s.rlike(r"^\d+$") | (s.rlike(ROMAN) & (F.length(s) <= 7) & (s != ""))
 
 
-def header_form(t: Column) -> Column:
-    """Spaces single, digit runs <N>, roman numeral words <R>."""
-    s = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"\d+", "<N>")
-    return F.trim(F.regexp_replace(s, r"(?i)\b[ivxlcdm]+\b", "<R>"))
+def header_form(t: Column, letters: str = r"\p{L}\p{M}\p{N}_") -> Column:
+    """Spaces single, digit runs <N>, roman numeral words <R>; ``letters``: what a word goes on with, on either side."""
+    s = F.regexp_replace(F.regexp_replace(t, r"[ \t\n\f\r]+", " "), r"\d+", "<N>")
+    return F.trim(F.regexp_replace(s, rf"(?<![{letters}])[IVXLCDMivxlcdm]++(?![{letters}])", "<R>"))
 
 
 def roman_value(t: Column) -> Column:

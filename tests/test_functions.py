@@ -42,6 +42,7 @@ def one(spark):
         (T.page_signature, "Page 12 of 300", "page # of #"),
         (T.numeric_anchor, "DOCID: 3803783 12", "num:3803783"),
         (T.header_form, "Chapter  IV page 12", "Chapter <R> page <N>"),
+        (T.header_form, "ción mid ñ ü. même éd", "ción <R> ñ ü. même éd"),
         (T.roman_value, "MCMXIV", 1914),
         (T.roman_value, "IIII", None),
         (T.token_estimate, "", 0),

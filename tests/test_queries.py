@@ -59,3 +59,21 @@ def test_every_query_of_the_set_is_asked(spark, sf, db, name):
     if name == "expansion_reason":  # lexical rows alone are never as good as a first place by vectors
         want |= {x for x, in db.execute("SELECT item_id FROM benchmark").fetchall()}
     assert len(want) > 1 and want <= asked
+
+
+@pytest.mark.parametrize(
+    "name, texts",
+    [
+        ("running_header_window", ["ción mid ñ\x0bü.\nmême éd, DIX"] * 4),
+    ],
+)
+def test_query_over_texts_that_the_tables_lack(spark, tmp_path, name, texts):
+    rows = [(n, t, "en", "src0", len(t or "")) for n, t in enumerate(texts)]
+    (tmp_path / "sf").mkdir()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/sf/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/sf/documents.parquet/*.parquet'")
+    got = con.execute(slate.oracle_sql()[name])
+    want = got.fetchall()
+    df = slate.queries()[name](spark, f"{tmp_path}/sf").select(*[d[0] for d in got.description])
+    assert want and sorted(map(tuple, df.collect())) == sorted(want)
