@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+_FILE_ROWS = 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,10 +31,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage ends in files that outlive any executor."""
+def in_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more partitions than about so many rows need, or the cores if they are more, whatever the session deals its shuffles to; none is added."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // _FILE_ROWS)))
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Reliable checkpoint: lineage ends in files that outlive any executor, as many as ``rows`` need where that is told."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else in_files(df, rows)).checkpoint(eager=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

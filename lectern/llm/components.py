@@ -12,14 +12,15 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(u, v) for each node u that isn't the smallest of its component v; ``edges``: columns a and b, longs.
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """(u, v) for each node u that isn't the smallest of its component v; ``edges``: columns a and b, longs, about ``rows`` of them.
 
     Nulls and loops are no edges. The work of a step is joins of edges with one row per
-    node, so a hub is a skewed join side, which adaptive execution splits.
+    node, so a hub is a skewed join side, which adaptive execution splits. Each step is written, in as many
+    files as its edges need.
     """
     e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = cut(e)
+    e = cut(e, rows)
     state = _state(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(least, "u")
         small = pairs.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = cut(small.distinct())
+        e = cut(small.distinct(), state[0])
         was, state = state, _state(e)
         if was == state:
             break

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh_name, fresh_path
+from .common import cut, fresh_name, fresh_path, in_files
 from .components import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -178,6 +178,21 @@ class BKTree:
         return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
 
 
+def _join(of: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins components by pairs of rows, which aren't kept; ``of``, by row: the first row of its component."""
+    a, b = of[a], of[b]
+    apart = a != b
+    a, b = a[apart], b[apart]
+    now = np.arange(len(of))
+    while len(a):
+        was = now.copy()
+        np.minimum.at(now, a, now[b])
+        np.minimum.at(now, b, now[a])
+        if (was == now).all():
+            break
+    of[:] = now[of]
+
+
 def _shard_edges(radius: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         node = rows["node"].to_numpy().astype(np.int64)
@@ -191,30 +206,23 @@ def _shard_edges(radius: int):
         begins = dict(zip(group[grown].tolist(), tree.root.tolist()))
         root = np.array([begins.get(g, -1) for g in group[asking].tolist()], np.int64)
         asking, root = asking[root >= 0], root[root >= 0]
-        low = node.copy()  # smallest node known to be linked, by row
-        ends: list[tuple[np.ndarray, np.ndarray]] = []
-        for at in range(0, len(asking), 256):
-            q, n = tree.within(codes[asking[at : at + 256]], radius, root[at : at + 256])
-            a, b = asking[at : at + 256][q], grown[n]
-            keep = a != b
-            ends.append((a[keep], b[keep]))
-        a, b = (np.concatenate(x) for x in zip(*ends)) if ends else (np.zeros(0, int),) * 2
-        while True:  # smallest label of the local component
-            was = low.copy()
-            np.minimum.at(low, a, low[b])
-            np.minimum.at(low, b, low[a])
-            if (was == low).all():
-                break
+        of, step = np.arange(len(codes)), max(1, 256 // codes.shape[1])
+        for at in range(0, len(asking), step):
+            q, n = tree.within(codes[asking[at : at + step]], radius, root[at : at + step])
+            _join(of, asking[at : at + step][q], grown[n])
+        low = node.copy()  # smallest node of the local component, at the component's first row
+        np.minimum.at(low, of, node)
+        low = low[of]
         out = low != node
         return pd.DataFrame({"a": node[out], "b": low[out]})
 
     return run
 
 
-def _met(keyed: DataFrame) -> DataFrame:
-    """Rows (node, code, block, value) whose value another row shares, with ``n``, the rows that do."""
+def _met(keyed: DataFrame, rows: int) -> DataFrame:
+    """Rows (node, code, block, value), ``rows`` at most, whose value another row shares, with ``n``, the rows that do."""
     shared = keyed.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1")
-    return cut(keyed.join(shared, ["block", "value"]))
+    return cut(keyed.join(shared, ["block", "value"]), rows)
 
 
 def _in_groups(near: DataFrame, radius: int, tree_rows: int) -> DataFrame:
@@ -242,19 +250,20 @@ def links(codes: DataFrame, radius: int = 2, tree_rows: int = 4096, steps: int =
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     rows = codes.select(F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("code"))
     masks, edges = [0], []
-    rows = rows.withColumn("block", F.lit(0))
+    rows, n = rows.withColumn("block", F.lit(0)), codes.count()
     for step in range(steps):
         finer = [[m | c for c in _cuts(whole & ~m, radius + 1)] for m in masks]
         lists = F.get(F.array(*[F.array(*[F.lit(signed(m)) for m in x]) for x in finer]), F.col("block"))
         keys = F.transform(lists, lambda m, k: F.struct((F.col("block") * (radius + 1) + k).alias("block"), F.col("node").bitwiseAND(m).alias("value")))
-        near = _met(rows.select("node", "code", F.explode(keys).alias("key")).select("node", "code", "key.block", "key.value"))
+        near = _met(rows.select("node", "code", F.explode(keys).alias("key")).select("node", "code", "key.block", "key.value"), n * (radius + 1))
         masks = [m for x in finer for m in x]
         if step + 1 == steps:
             edges.append(_in_groups(near, radius, tree_rows))
             break
         edges.append(_in_groups(near.where(F.col("n") <= tree_rows), radius, tree_rows))
         rows = near.where(F.col("n") > tree_rows).select("node", "code", "block")
-        if rows.isEmpty():
+        n = rows.count()
+        if not n:
             break
     return reduce(DataFrame.unionByName, edges)
 
@@ -263,11 +272,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component) per row: component is the smallest id that links reach."""
     rows = cut(fingerprints(docs, id_col, text_col, words_per_shingle))
     codes = rows.groupBy("fp").agg(F.min("id").alias("first_id"))
-    codes = cut(codes)
-    roots = components(links(codes.select("fp"), radius, tree_rows))
+    n = rows.count()
+    codes = cut(codes, n)
+    roots = components(links(codes.select("fp"), radius, tree_rows), n * (radius + 1))
     of = codes.join(roots, codes["fp"] == roots["u"], "left").select("fp", "first_id", F.coalesce("v", "fp").alias("root"))
     named = of.groupBy("root").agg(F.min("first_id").alias("component"))
-    return rows.join(of.join(named, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+    return in_files(rows.join(of.join(named, "root").select("fp", "component"), "fp").select("id", "fp", "component"), n)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words_per_shingle: int = 5, tree_rows: int = 4096) -> DataFrame:
@@ -292,9 +302,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     rows = stored.select(F.col(row).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(code).alias("code"), F.col(bands).alias("bands"))
     order = F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), "row", "bands")
     codes = rows.groupBy("code").agg(F.min(order).alias("first"))
-    codes = cut(codes.select("code", F.col("first.row").alias("node"), "first.bands", F.struct("first.no_id", "first.id", "first.row").alias("first")))
-    near = _met(codes.select("node", "code", F.posexplode("bands").alias("block", "value")))
-    roots = components(_in_groups(near, radius_of(similarity), tree_rows))
+    n = rows.count()
+    codes = cut(codes.select("code", F.col("first.row").alias("node"), "first.bands", F.struct("first.no_id", "first.id", "first.row").alias("first")), n)
+    near = _met(codes.select("node", "code", F.posexplode("bands").alias("block", "value")), n * _BANDS)
+    roots = components(_in_groups(near, radius_of(similarity), tree_rows), n * _BANDS)
     of = codes.join(roots, codes["node"] == roots["u"], "left").select("code", "first", F.coalesce("v", "node").alias("root"))
     stays = of.groupBy("root").agg(F.min("first").alias("least"))
     stays = of.join(stays.select("root", F.col("least.row").alias("stays")), "root").select("code", "stays")

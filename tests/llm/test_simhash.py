@@ -1,7 +1,10 @@
+import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import xxhash
 
 from lectern.llm import components, simhash
@@ -181,3 +184,38 @@ def test_one_large_group_of_near_copies(spark):
     words = [f"w{rng.randrange(900)}" for _ in range(200)]
     docs = spark.createDataFrame([(i, edited(rng, words, 1)) for i in range(300)], "doc_id long, text string")
     assert [r.doc_id for r in simhash.keep_one(docs, tree_rows=64).collect()] == [0]
+
+
+def test_pairs_of_a_dense_group_are_not_kept():
+    rng = np.random.default_rng(5)
+    codes = np.tile(rng.integers(0, 2**63, 8, dtype=np.uint64), (1500, 1))
+    for c in codes:
+        c ^= np.uint64(1) << rng.integers(0, 63, 8, dtype=np.uint64)
+    rows = pd.DataFrame({"shard": 0, "i": 0, "j": 0, "tree": True, "node": np.arange(1500)[::-1] + 7, "code": [c.tobytes() for c in codes], "block": 0, "value": 0})
+    tracemalloc.start()
+    try:
+        edges = simhash._shard_edges(85)(rows)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(zip(edges["a"], edges["b"])) == [(n, 7) for n in range(8, 1507)]
+    assert most < 30e6  # all pairs alone take 36 MB
+
+
+def test_steps_are_written_in_as_many_files_as_their_rows_need(spark):
+    docs = odd_documents(spark).coalesce(2)
+    want = sorted(((r.id, r.fp, r.component) for r in simhash.near_duplicates(docs).collect()), key=str)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    written = lambda: sum(f.startswith("part-") for _, _, names in os.walk(folder) for f in names)
+    told = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    were = {k: spark.conf.get(k) for k in told}
+    try:
+        for k, v in told.items():
+            spark.conf.set(k, v)
+        before = written()
+        rows = simhash.near_duplicates(docs)
+        assert sorted(((r.id, r.fp, r.component) for r in rows.collect()), key=str) == want
+        assert 0 < written() - before < 48
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
