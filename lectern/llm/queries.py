@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, language_model, licenses, packing, quality, secrets, simhash, token_counts, topk, toxicity
@@ -32,10 +32,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.5)
 
 
+def _of_kind(spans: str, rank: int) -> Column:
+    """Number of spans of a kind. The rank is an argument here: a second one of the lambda would be the place in the array."""
+    return F.size(F.filter(spans, lambda x: x["rank"] == rank)).cast("long")
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = {f"n_{kind}": F.size(F.filter("base", lambda x, n=n: x["rank"] == n)).cast("long") for n, kind in enumerate(secrets.KINDS[:3])}
-    return rows.select("doc_id", *[c.alias(n) for n, c in counts.items()], F.sha2(secrets.told(F.col("base")), 256).alias("base_sha256"), secrets.told(F.col("spans")).alias("spans"))
+    counts = [_of_kind("base", rank).alias(f"n_{kind}") for rank, kind in enumerate(secrets.KINDS[:3])]
+    return rows.select("doc_id", *counts, F.sha2(secrets.told(F.col("base")), 256).alias("base_sha256"), secrets.told(F.col("spans")).alias("spans"))
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,11 +35,11 @@ CLASSES = [
     (r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdefABCDEF", 3.0),
     (r"^[A-Za-z0-9+/=_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", 3.6),
 ]
-#: Not secrets: placeholder words, and parts that are UUIDs or words or dates joined by signs.
+#: Not secrets: placeholder words, and parts that are UUIDs or words or dates joined by signs (possessive, so that no long part takes the stack).
 PLACEHOLDERS = r"(?i)(?:examples?|samples?|placeholders?|changeme|dummy|xxxx+|0123456789|abcdefgh)"
 ALLOWED = [
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^[A-Za-z]*([-_/=+]+([A-Za-z]{2,}|[0-9]{1,4}))*[-_/=+]*$",
+    r"^[A-Za-z]*+(?:[-_/=+]++(?:[A-Za-z]{2,}+|[0-9]{1,4}+))*+[-_/=+]*+$",
 ]
 WINDOW = 20
 

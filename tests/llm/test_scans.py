@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import decontamination, licenses, secrets
+from lectern.llm import decontamination, licenses, queries, secrets
 
 from .helpers import empty_documents, odd_documents
 
@@ -206,6 +206,27 @@ def test_a_text_of_thousands_of_matches(spark):
     assert [(x.start, x.rank, x.end) for x in rows[0].base] == brute_base(text) and rows[1].base == []
 
 
+def test_secret_query_counts_match_brute_force(spark, tmp_path):
+    """Counts go by kind, wherever in the text a kind stands among the others."""
+    mixed = [(401, "0f" * 16 + " AKIAABCDEFGHIJKL token: abcdefgh"), (402, "AKIAABCDEFGHIJKL " * 3), (403, f"secret={'0f' * 20} 😀 api_key: 'abcdefgh' ſecret=abcdefgh api_\u212aey=abcdefgh")]
+    odd_documents(spark, SECRETS + mixed).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").collect()
+    got = queries.op3_secrets(spark, str(tmp_path)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()
+    want = []
+    for d in docs:
+        base = brute_base(d.text or "")
+        said = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        want.append((d.doc_id, *(sum(k == n for _, k, _ in base) for n in range(3)), hashlib.sha256(said.encode()).hexdigest()))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert {w[0]: w[1:4] for w in want if w[0] and w[0] > 400} == {401: (1, 1, 1), 402: (0, 3, 0), 403: (2, 0, 1)}
+
+
+def test_long_parts_on_the_allow_list(spark):
+    texts = ["ab-12-" * 50_000, "word_2024/" * 20_000, "ab-12-" * 20_000 + "Zx9Kq2Lm8PvT4wRs7YbN1cHd6Gf3"]
+    rows = secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [len(r.spans) for r in sorted(rows, key=lambda r: r.doc_id)] == [0, 0, 1]
+
+
 def test_repeats_of_a_part_are_no_license(spark):
     """Half of a notice, over and over with words between, never makes a whole one."""
     half = "permission is hereby granted free of charge to any"
